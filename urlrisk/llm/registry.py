@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ._common import scratch_dir
 from .packing import pack
+from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 
 
@@ -27,6 +28,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
     write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=2)
@@ -36,6 +42,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_simhash": op2_simhash,
         "op4_token_files": op4_token_files,
     }
 
