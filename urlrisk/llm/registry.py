@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import scratch_dir
+from .decontaminate import find_contaminated
+from .language import predict_language
 from .packing import pack
+from .quality import score_quality
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 
@@ -39,11 +42,26 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
         "op4_token_files": op4_token_files,
+        "op8_decontamination": op8_decontamination,
+        "op9_quality": op9_quality,
+        "op10_language": op10_language,
     }
 
 
