@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ._common import scratch_dir
 from .decontaminate import find_contaminated
+from .html_text import extract_text
 from .language import predict_language
 from .packing import pack
+from .pii import find_pii, summarize
 from .quality import score_quality
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
@@ -36,12 +38,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
     write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=2)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarize(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
+        "op3_html_text": op3_html_text,
         "op4_token_files": op4_token_files,
+        "op6_pii": op6_pii,
         "op8_decontamination": op8_decontamination,
         "op9_quality": op9_quality,
         "op10_language": op10_language,
