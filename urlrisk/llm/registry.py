@@ -11,6 +11,7 @@ from ._common import scratch_dir
 from .decontaminate import find_contaminated
 from .html_text import extract_text
 from .language import predict_language
+from .neighbours import nearest
 from .packing import pack
 from .pii import find_pii, summarize
 from .quality import score_quality
@@ -48,6 +49,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize(find_pii(_table(spark, sf_dir, "documents")))
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_html_text": op3_html_text,
         "op4_token_files": op4_token_files,
+        "op5_neighbours": op5_neighbours,
         "op6_pii": op6_pii,
         "op8_decontamination": op8_decontamination,
         "op9_quality": op9_quality,
