@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import scratch_dir
+from .chat import format_chats
 from .decontaminate import find_contaminated
 from .html_text import extract_text
 from .language import predict_language
@@ -58,6 +59,21 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize(find_pii(_table(spark, sf_dir, "documents")))
 
 
+#: How a speaker is marked in the transcripts of op7, by a hash of the conversation; one
+#: turn in eight carries no mark.
+_SPOKEN = """
+CASE WHEN role IS NULL OR pmod(xxhash64(conv_id, turn), 8) = 0 THEN text
+     WHEN pmod(xxhash64(conv_id), 3) = 0 THEN concat(initcap(role), ': ', text)
+     WHEN pmod(xxhash64(conv_id), 3) = 1 THEN concat('### ', CASE role WHEN 'user' THEN 'Human' ELSE initcap(role) END, ': ', text)
+     ELSE concat('[', upper(role), '] ', text) END
+"""
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoken = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_SPOKEN).alias("text"))
+    return format_chats(spoken)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op5_neighbours": op5_neighbours,
         "op6_pii": op6_pii,
+        "op7_chat": op7_chat,
         "op8_decontamination": op8_decontamination,
         "op9_quality": op9_quality,
         "op10_language": op10_language,
