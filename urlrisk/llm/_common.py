@@ -36,13 +36,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python worker turns into objects at a time.
+SLICE_ROWS = 1000
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df``; None gives no rows."""
+    """Apply ``fn`` to slices of each Arrow batch of ``df``; None gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                if (out := fn(batch.slice(at, SLICE_ROWS))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

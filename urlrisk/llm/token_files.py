@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import SLICE_ROWS
 from .tokens import encoder
 
 MAGIC = b"TOKBITS1"
@@ -133,7 +134,7 @@ def write_token_files(
             kinds = pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["path", "part", "shard", "n_docs", "n_ids"])
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             for doc, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 names.append(doc)
                 ids.append(data + end)

@@ -13,7 +13,7 @@ _UNUSUAL = re.compile("[^\x00-įı-ɏ]").search
 #: Letters, then marks that no pattern of the tokenizer joins to letters.
 _MARKED = re.compile(r"([^\W\d_İ]+)([.,;:!?()*#$%&|-]+)").fullmatch
 #: Words kept per Python worker before the memory is emptied.
-MAX_WORDS = 800_000
+MAX_WORDS = 400_000
 
 
 def load(path: str) -> Tokenizer:
