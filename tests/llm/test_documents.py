@@ -1,0 +1,163 @@
+"""Decontamination, quality, language, personal data, components."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from urlrisk.llm._common import connected_components
+from urlrisk.llm.decontaminate import drop_contaminated, find_contaminated, words_of
+from urlrisk.llm.language import predict_language
+from urlrisk.llm.pii import BASE, find_pii, find_spans, redact, redact_pii, summarize
+from urlrisk.llm.quality import FEATURES, features, keep_good, score_quality
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int"
+
+
+def shingles(text, n=5):
+    w = words_of(text)
+    n = min(n, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def contained(item, text):
+    own = shingles(item)
+    return own and sum(1 for g in own if any(tuple(words_of(text)[i : i + len(g)]) == g for i in range(len(words_of(text)) - len(g) + 1))) / len(own)
+
+
+@pytest.mark.parametrize("limit", [500_000, 5])
+def test_decontamination_equals_brute_force(spark, limit):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 4, 5, 8, 20, 40])))) for i in range(25)] + [(90, None), (91, ""), (92, "?!"), (1, items_text := "W1 w2, W3!")]
+    docs = []
+    for d in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(0, 80))
+        if d % 2:
+            piece = rng.choice(items[:25])[1].split()
+            if len(piece) > 10 and d % 4 == 1:
+                piece[rng.randrange(len(piece))] = "changed"
+            k = rng.randint(0, len(words))
+            words[k:k] = piece
+        docs.append((d, " ".join(words)))
+    docs += [(None, items_text), (70, None), (71, ""), (3, docs[3][1])]
+    table = spark.createDataFrame([(a, b, "en", "s", 1, 2) for a, b in docs], DOCS)
+    bench = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
+    got = sorted(((r.doc_id, r.item_id, round(r.containment, 9)) for r in find_contaminated(table, bench, max_shingles=limit).collect()), key=str)
+    want = sorted(((d, i, round(c, 9)) for d, t in docs for i, x in items if (c := contained(x, t or "")) and c >= 0.8 - 1e-12), key=str)
+    assert got == want
+    left = sorted((r.doc_id for r in drop_contaminated(table, bench).collect()), key=str)
+    bad = {d for d, *_ in want}
+    assert left == sorted((d for d, _ in docs if d not in bad), key=str)
+    assert find_contaminated(table, bench.limit(0)).count() == 0 and find_contaminated(table.limit(0), bench).count() == 0
+
+
+def is_held(i, n, rest):
+    return zlib.crc32(str(i).encode()) % n == rest
+
+
+def test_quality(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9)))
+    rows, labels = [], []
+    for i in range(400):
+        words = [word() for _ in range(rng.randint(20, 200))]
+        good = i % 4 != 0
+        text = " ".join(words) if good else " ".join(w.upper() + "!!" for w in words) if i % 8 else (" ".join(words[:2]) + " ") * 60
+        rows.append((i, text, "en", "s", len(text), 0))
+        labels.append((i, int(good), 0))
+    docs = spark.createDataFrame([*rows, (None, "x", "en", "s", 1, 0), (900, None, "en", "s", 0, 0), (901, "", "en", "s", 0, 0), (902, "a " * 90_000, "en", "s", 0, 0)], DOCS)
+    marks = spark.createDataFrame([*labels, (None, 1, 0), (5, None, 0)], "doc_id long, quality int, text int")
+    got = score_quality(docs, marks).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    held = [i for i in range(400) if is_held(i, 5, 0)]
+    assert all(by_id[i].held_out == (i in held) for i in range(400)) and not by_id[None].held_out
+    assert np.mean([by_id[i].predicted == labels[i][1] for i in held]) > 0.95
+    kept = {r.doc_id for r in keep_good(docs, marks).collect()}
+    assert kept == {r.doc_id for r in got if r.predicted == 1 or r.doc_id is None}
+    none = score_quality(docs, marks.limit(0)).collect()
+    assert len(none) == len(got) and all(r.score == 0.5 for r in none)
+    assert score_quality(docs.limit(0), marks).count() == 0
+
+
+def test_features_are_finite():
+    for t in (None, "", " ", "\n", "a", "!!!", "é" * 10, "A B", "\ud800"):
+        x = features(t)
+        assert len(x) == len(FEATURES) and np.isfinite(x).all()
+
+
+def test_language(spark):
+    rng = random.Random(3)
+    kinds = {"xx": "abcde", "yy": "fghij", "zz": "αβγδε"}
+    rows = [(i, " ".join("".join(rng.choices(kinds[k], k=5)) for _ in range(20)), k) for i, k in enumerate(rng.choices(list(kinds), k=200))]
+    more = [(500, None, "xx"), (501, "", "xx"), (502, "12 !?", "xx"), (503, "abcde", None), (None, "fghij", "yy")]
+    docs = spark.createDataFrame([(i, t, k, "s", 1, 2) for i, t, k in rows + more], DOCS)
+    got = {r.doc_id: r for r in predict_language(docs).collect()}
+    assert len(got) == 205 and all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[i].lang_pred == k for i, _, k in rows)
+    assert all(got[i].held_out == is_held(i, 4, 2) for i, *_ in rows)
+    assert [got[i].lang_pred for i in (500, 501, 502, 503, None)] == ["und", "und", "und", "xx", "yy"]
+    assert predict_language(docs.limit(0)).count() == 0
+    assert {r.lang_pred for r in predict_language(docs.where("doc_id = 503")).collect()} == {"und"}
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(s):
+    return sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def base_spans(t):
+    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(t)]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), m.end(), "card") for m in CARD.finditer(t) if 12 <= len(s := re.sub("[ -]", "", m[0])) <= 19 and luhn(s)]
+    out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out, key=lambda s: (s[0], BASE.index(s[2])))
+
+
+def test_pii_equals_patterns():
+    rng = random.Random(4)
+    parts = ["1", "2", "25", "255", ".", "@", "a", "b.", "+", "-", " ", "(", ")", "4111 1111 1111 1111", "1.2.3.4", "+1 (555) 010-9999", "x@y.co", "é", "http://", "IBAN ", "account: 12345678", "٣", "\n"]
+    for _ in range(20_000):
+        t = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert [s for s in find_spans(t) if s[2] in BASE] == base_spans(t), t
+
+
+def test_pii_more_kinds_and_redaction(spark):
+    t = 'Mail a.b@c.org, see https://x.org/p?q=1. IBAN DE89 3704 0044 0532 0130 00, account no: 12-345678; token = "abcdef0123" end'
+    assert [(k, t[a:z]) for a, z, k in find_spans(t)] == [
+        ("email", "a.b@c.org"), ("url", "https://x.org/p?q=1"), ("account", "DE89 3704 0044 0532 0130 00"), ("account", "12-345678"), ("secret", "abcdef0123"),
+    ]
+    assert redact("x a@b.co y", find_spans("x a@b.co y")) == "x [EMAIL] y"
+    docs = spark.createDataFrame([(1, "x a@b.co y", "en", "s", 10, 0), (2, None, "en", "s", 3, 0), (None, "", "en", "s", 0, 0), (3, "9" * 100_000, "en", "s", 1, 0)], DOCS)
+    rows = {r.doc_id: r for r in summarize(find_pii(docs)).collect()}
+    assert rows[1].spans == "email:2:8" and rows[1].n_email == 1 and rows[2].spans == "" and rows[None].n_card == 0 and rows[3].n_card == 0
+    clean = {r.doc_id: r for r in redact_pii(docs).collect()}
+    assert clean[1].text == "x [EMAIL] y" and clean[1].n_chars == 11 and clean[2].text is None and clean[2].n_chars == 3
+    assert find_pii(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 80)] + [(5, 5)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
