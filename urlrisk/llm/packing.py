@@ -10,6 +10,7 @@ its length. The plan depends on the number of distinct lengths only, at most
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +22,6 @@ from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLAN = "length long, first_rank long, last_rank long, first_sequence long, per_sequence long, base long"
-#: Pieces of one length that one task ranks; more are dealt to further buckets.
-RANK_ROWS = 50_000
 
 
 def encode_pieces(
@@ -105,20 +104,21 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return plan
 
 
-def assign_slots(pieces: DataFrame, capacity: int = 2048, rank_rows: int = RANK_ROWS) -> DataFrame:
+def assign_slots(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (with a ``length``) plus ``sequence_id`` and ``offset``.
 
     ``pieces`` must be cheap to read twice (a written table). Ranks within a length are
-    made of buckets: rows are dealt to as many buckets per length as its count asks
-    for, ranked there, and shifted by the counts of the buckets before. A length that a
-    third of all rows share is so spread over many tasks. Column names of ``pieces`` other
+    made of buckets: the n rows of a length are dealt to about sqrt(n) buckets, ranked
+    there, and shifted by the counts of the buckets before. A length that a third of all
+    rows share is so spread over many tasks, and neither a bucket nor the number of
+    buckets of a length grows faster than the root of its rows. Column names of ``pieces`` other
     than ``length`` are kept; none may be one of the new names. No rows give no rows.
     """
     spark = pieces.sparkSession
     keys = [c for c in pieces.columns if dict(pieces.dtypes)[c] != "binary"]
     counted = pieces.groupBy("length").count().collect()  # at most one row for each length up to capacity
     histogram = {r["length"]: r["count"] for r in counted}
-    buckets = spark.createDataFrame([(k, -(-n // rank_rows)) for k, n in histogram.items()], "length long, _buckets long")
+    buckets = spark.createDataFrame([(k, isqrt(n) + 1) for k, n in histogram.items()], "length long, _buckets long")
     dealt = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.expr(f"pmod(xxhash64({', '.join(keys)}), _buckets)"))
     before = (
         dealt.groupBy("length", "_bucket")
