@@ -61,6 +61,15 @@ def test_both_ways_to_similar_domains(spark):
     refs = reference_tables(spark, trusted=trusted)
     both = [{tuple(r) for r in similar_domains(domains, refs.trusted, path=p).collect()} for p in ("literal", "join")]
     assert both[0] == both[1] and len(both[0]) > 50
+    want = set()
+    for (domain,) in rows:
+        own = domain.split(".")[0]
+        for pos, name in enumerate(t.split(".")[0] for t in trusted):
+            if 0 < distance(own, name) <= (1 if max(len(own), len(name)) <= 6 else 2):
+                want.add((domain, pos, 1, trusted[pos]))
+            if any(c and (distance(c, name) <= (1 if len(name) <= 6 else 2) or c.translate(str.maketrans("01", "ol")) == name) for c in own.split("-") if "-" in own):
+                want.add((domain, pos, 3, trusted[pos]))
+    assert {r for r in both[0] if r[2] != 2 and r[0] in {d for (d,) in rows}} == want
     first = {r.registered_domain: r.domain for r in first_resemblance(similar_domains(domains, refs.trusted)).collect()}
     assert "google.com" not in first and first["e-shop.com"] == "x.com" and first["a.com"] == "x.com"
     strict = similar_domains(domains, refs.trusted, RiskConfig(min_trusted_sld_len=2))

@@ -44,6 +44,17 @@ def _near_literal(left: DataFrame, names: list[tuple]) -> DataFrame:
     return left.select("text", F.explode(close).alias("t")).select("text", "t.pos", "t.domain", "t.name")
 
 
+def _distance() -> Column:
+    """The restricted distance of ``text`` and ``name`` from the plain one, ``plain``, where
+    that settles it; swaps count twice in ``plain``, so the full table is needed only for
+    pairs whose characters allow for swaps. Right up to ``_REACH``; larger beyond."""
+    same = "array_sort(split(text, '')) = array_sort(split(name, ''))"
+    odd = "size(array_except(split({}, ''), split({}, ''))) <= 1"
+    close = f"abs(length(text) - length(name)) <= 1 AND {odd.format('text', 'name')} AND {odd.format('name', 'text')}"
+    settled = F.expr(f"plain <= 1 OR plain > 4 OR (plain IN (2, 4) AND NOT {same}) OR (plain = 3 AND NOT ({close}))")
+    return F.when(settled, F.col("plain")).otherwise(restricted_distance("text", "name"))
+
+
 def similar_domains(domains: DataFrame, trusted: DataFrame, cfg: RiskConfig | None = None, path: str = "auto") -> DataFrame:
     """``registered_domain, pos, rule, domain``: every trusted domain that each distinct
     ``registered_domain`` resembles, trusted ones left out.
@@ -61,12 +72,13 @@ def similar_domains(domains: DataFrame, trusted: DataFrame, cfg: RiskConfig | No
     literal = path == "literal" or path == "auto" and len(names) <= MAX_LITERALS
     own = domains.select("registered_domain").distinct().withColumn("sld", sld(F.col("registered_domain")))
     own = settle(own, "sld").join(trusted.select(F.col("domain").alias("registered_domain")), "registered_domain", "left_anti")
-    chunks = F.filter(F.transform(F.split("sld", "-"), F.trim), lambda x: x != "")
+    chunks = F.filter(F.transform(F.split("sld", "-"), lambda x: F.trim(x)), lambda x: x != "")
     parts = own.where(F.contains("sld", F.lit("-"))).select("registered_domain", F.lit(True).alias("is_chunk"), F.explode(chunks).alias("text"))
     texts = own.select("registered_domain", F.lit(False).alias("is_chunk"), F.col("sld").alias("text")).unionByName(parts)
     distinct = texts.select("text").distinct()
     pairs = _near_literal(distinct, names) if literal else _near(distinct, trusted)
-    pairs = settle(pairs.withColumn("d", restricted_distance("text", "name")), "d").where(F.col("d") <= _REACH)
+    pairs = settle(pairs.withColumn("plain", F.levenshtein("text", "name")), "plain")
+    pairs = settle(pairs.withColumn("d", _distance()), "d").where(F.col("d") <= _REACH)
     hits = texts.join(pairs, "text").withColumn("long", F.greatest(F.length("text"), F.length("name")))
     one = "NOT is_chunk AND d > 0 AND d <= if(long <= 6, 1, 2)"
     three = "is_chunk AND d <= if(length(name) <= 6, 1, 2)"

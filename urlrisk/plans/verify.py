@@ -18,6 +18,7 @@ from urlrisk.operators.signals import gather, signal
 from urlrisk.operators.typosquat import first_resemblance, flag_trusted, similar_domains, typosquat_evidence
 from urlrisk.sources.reference import References
 from urlrisk.sources.scratch import written
+from urlrisk.sources.urls import spread
 
 
 def domain_signals(hosts: DataFrame, refs: References, cfg: RiskConfig) -> DataFrame:
@@ -93,7 +94,7 @@ def signal_table(n: DataFrame, iocs: DataFrame, refs: References, cfg: RiskConfi
 def verify_urls(urls: DataFrame, iocs: DataFrame, refs: References, cfg: RiskConfig | None = None) -> DataFrame:
     """One verdict for each row of ``urls(url_id, url)``, whose ids must be unique; null and
     empty URLs have to be split off before (``split_accepted``)."""
-    n = normalize_urls(urls)
+    n = normalize_urls(spread(urls))
     rows = signal_table(n, iocs, refs, cfg).withColumn("signals", suppress_trusted("signals", "is_trusted"))
     return judge(rows).unionByName(malformed_verdicts(split_malformed(n)[1]))
 

@@ -18,6 +18,14 @@ def split_accepted(df: DataFrame, url_col: str = "url", id_col: str = "url_id")
     return rows.where(good), rows.where(~good)
 
 
+def spread(urls: DataFrame) -> DataFrame:
+    """``urls`` over at least as many partitions as the session has cores. A table of URLs
+    is small for the work it takes, so a few files would leave most cores idle; one with
+    partitions enough stays as it is."""
+    cores = urls.sparkSession.sparkContext.defaultParallelism
+    return urls if urls.isStreaming or urls.rdd.getNumPartitions() >= cores else urls.repartition(2 * cores)
+
+
 def read_urls(spark: SparkSession, path: str, fmt: str = "parquet", url_col: str = "url", id_col: str = "url_id", **options) -> tuple[DataFrame, DataFrame]:
     """A table of URLs in Parquet, CSV, JSON or any format that Spark reads, as
     ``split_accepted`` splits it."""
