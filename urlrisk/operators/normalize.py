@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlrisk.functions.text import settle
+from urlrisk.sources.scratch import written
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+\-.]*://"
 #: Schemes whose last path segment may carry parameters after a semicolon.
@@ -164,6 +165,8 @@ def decode_idn(hosts: DataFrame) -> DataFrame:
 
 
 def host_table(n: DataFrame, suffix_rules: DataFrame) -> DataFrame:
-    """Every distinct host of ``n`` with its registered domain, subdomain and IDN columns."""
-    hosts = distinct_hosts(n)
+    """Every distinct host of ``n`` with its registered domain, subdomain and IDN columns.
+    The distinct hosts are written first: three branches read them, and each would
+    otherwise normalize all URLs again."""
+    hosts = written(distinct_hosts(n), "distinct_hosts")
     return hosts.join(registered_domains(hosts, suffix_rules), "hostname").join(decode_idn(hosts), "hostname")
