@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ._common import map_batches
 
-_words = re.compile(r"\S+").findall
-_letters = re.compile(r"[^\W\d_]+").findall
 #: What each position of a feature vector says of a text.
 FEATURES = (
     "log_chars", "log_words", "mean_word", "sd_word", "upper_share", "digit_share", "mark_share", "odd_mark_share", "bang_per_word",
