@@ -4,6 +4,7 @@ import numpy as np
 
 from urlrisk.llm.chat import BEFORE, TRANSITIONS, best_path, emissions, format_chats, split_marker
 from urlrisk.llm.html_text import extract_text, main_text
+from urlrisk.llm import neighbours
 from urlrisk.llm.neighbours import nearest
 
 PAGE = """<html><head><title>T</title></head><body><header><a href=/>Home</a> site</header><div id="cookie-notice">We use cookies <button>ok</button></div>
@@ -70,7 +71,7 @@ def test_blocks_equal_one_pass(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1500, 16))
     x[700:] += 4 * rng.normal(size=(8, 16))[rng.integers(0, 8, 800)]
@@ -94,6 +95,10 @@ def test_nearest(spark):
         total += 5
     assert set(by_query) == set(range(0, 1500, 50)) and found / total >= 0.9
     assert [r.vec_id for r in sorted(by_query[50], key=lambda r: r.rank)] == [40, 41, 42, 43, 44]
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 10)
+    again = nearest(df, df.where("vec_id % 50 = 0"), leaf_rows=64, trees=8).collect()
+    assert {(r.query_id, r.rank, r.vec_id) for r in again} == {(r.query_id, r.rank, r.vec_id) for r in got}
+    monkeypatch.undo()
     few = nearest(df.where("vec_id < 3"), df.where("vec_id < 1")).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2)]
     assert nearest(df.where("vec_id > 1999"), df.where("vec_id > 1999")).count() == 0

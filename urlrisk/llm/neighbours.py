@@ -31,6 +31,10 @@ SAMPLE_ROWS = 40_000
 #: Vectors whose neighbours are found by brute force to set the number of leaves, and
 #: the number of leaves at which that search ends.
 TRIAL_ROWS, TRIAL_LEAVES = 64, 50_000
+#: Vectors, and queries, that one task has of a leaf: larger leaves are dealt to several.
+GROUP_ROWS = 50_000
+#: Sampled vectors in a leaf at least: this bounds the size of the forest.
+LEAF_SAMPLE = 16
 
 
 @dataclass(frozen=True)
@@ -190,7 +194,7 @@ def nearest(
     share = min(1.0, sample_rows / n)
     picked = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("v").limit(2 * sample_rows)
     x = np.array([r.v for r in picked.toLocalIterator()] or [classes.first().v], np.float64)
-    depth = int(np.clip(np.ceil(np.log2(max(1, n / leaf_rows))), 0, np.floor(np.log2(max(1, len(x))))))
+    depth = int(np.clip(np.ceil(np.log2(max(1, n / leaf_rows))), 0, np.floor(np.log2(max(1, len(x) / LEAF_SAMPLE)))))
     forest = fit_forest(x / np.linalg.norm(x, axis=1, keepdims=True), trees, depth)
     held = spark.sparkContext.broadcast(forest)
     n_leaves = _leaves_needed(classes, forest, held, x[: TRIAL_ROWS * (len(x) // TRIAL_ROWS or 1) : len(x) // TRIAL_ROWS or 1], k, recall, d)
@@ -209,6 +213,13 @@ def nearest(
     asked = usable(queries).where(F.size("v") == d).distinct()
     asked = map_batches(asked, probe, "id long, v binary, codes array<long>").select("id", "v", F.explode("codes").alias("code"))
 
+    # a leaf's vectors are dealt to v parts and its queries to q, and each part meets each
+    v_parts = -(-n // (2**depth * GROUP_ROWS))
+    q_parts = -(-usable(queries).count() * n_leaves // (trees * 2**depth * GROUP_ROWS)) or 1
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    leaves = leaves.withColumn("vp", F.pmod(F.xxhash64("rep"), F.lit(v_parts)).cast("int")).withColumn("qp", every(q_parts))
+    asked = asked.withColumn("qp", F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int")).withColumn("vp", every(v_parts))
+
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The best classes of a leaf for each query that came to it."""
         if not len(left) or not len(right):
@@ -227,7 +238,7 @@ def nearest(
             best.append(reps[j])
         return pd.DataFrame({"query_id": np.concatenate(ids), "rep": np.concatenate(best)})
 
-    met = asked.groupBy("code").cogroup(leaves.groupBy("code")).applyInPandas(meet, "query_id long, rep long").distinct()
+    met = asked.groupBy("code", "vp", "qp").cogroup(leaves.groupBy("code", "vp", "qp")).applyInPandas(meet, "query_id long, rep long").distinct()
     pairs = met.join(classes, "rep").join(usable(queries).distinct().select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
