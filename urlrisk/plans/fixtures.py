@@ -36,12 +36,12 @@ SELECT page_id AS url_id,
 FROM pages
 """
 
-#: Messages that quote one URL of the corpus each.
+#: Messages that quote one URL of the corpus each; every turn is one, with its whole text.
 MESSAGES = """
 SELECT c.conv_id * 1000 + c.turn AS msg_id,
-       concat('Please see ', trim(p.url), ' now. ', substr(c.text, 1, 80)) AS text
-FROM conversations c JOIN url_corpus p ON p.url_id = (c.conv_id * 31 + c.turn) % 50
-WHERE trim(p.url) LIKE 'http%'
+       concat('Please see ', coalesce(trim(p.url), ''), ' now. ', coalesce(c.text, '')) AS text
+FROM (SELECT conv_id, turn, text, (conv_id * 31 + turn) % (SELECT count(*) FROM pages) AS quoted FROM conversations) c
+LEFT JOIN url_corpus p ON p.url_id = c.quoted
 """
 
 #: Reports of hosts, with a number that orders them.
