@@ -36,17 +36,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a Python worker turns into objects at a time.
-SLICE_ROWS = 1000
+#: Rows, and about how many bytes, that a Python worker turns into objects at a time.
+SLICE_ROWS, SLICE_BYTES = 1000, 16 << 20
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to slices of each Arrow batch of ``df``; None gives no rows."""
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and, but for single rows, ``size`` bytes."""
+    if batch.num_rows > rows or batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), rows, size)
+        yield from slices(batch.slice(half), rows, size)
+    elif batch.num_rows:
+        yield batch
+
+
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Apply ``fn`` to ``slices`` of each Arrow batch of ``df``; None gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                if (out := fn(batch.slice(at, SLICE_ROWS))) is not None:
+            for part in slices(batch, rows):
+                if (out := fn(part)) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)

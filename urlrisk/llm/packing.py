@@ -9,49 +9,55 @@ its length. The plan depends on the number of distinct lengths only, at most
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import map_batches, materialize
-from .tokens import encoder
+from .tokens import ENCODE_ROWS, encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long"
 PLAN = "length long, first_rank long, last_rank long, first_sequence long, per_sequence long, base long"
 
 
 def encode_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
 ) -> DataFrame:
     """One row per piece: the ids of a document, then ``separator``, cut every ``capacity`` ids.
 
-    ids: little-endian unsigned 32-bit values. Null and empty texts are the separator
-    alone. Documents of at most ``capacity`` ids are one piece; of a longer one the last
-    piece may be shorter. Null ids and repeated rows are kept. Other columns are ignored.
+    ids: little-endian unsigned 32-bit values; with ``digest`` there is ``ids_crc32 long``,
+    their CRC-32, in their place. Null and empty texts are the separator alone. Documents
+    of at most ``capacity`` ids are one piece; of a longer one the last piece may be
+    shorter. Null ids and repeated rows are kept. Other columns are ignored.
     """
-    end = separator.to_bytes(4, "little")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, piece, start, length, ids = [], [], [], [], []
-        for i, data in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
-            data += end
-            for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                part = data[at : at + 4 * capacity]
-                doc.append(i)
-                piece.append(k)
-                start.append(at // 4)
-                length.append(len(part) // 4)
-                ids.append(part)
+        ids, starts = encoder(tokenizer).encode(batch.column(1), separator)
+        n_pieces = -(-np.diff(starts) // capacity)
+        owner = np.repeat(np.arange(batch.num_rows), n_pieces)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+        first = starts[owner] + capacity * piece
+        length = np.minimum(capacity, starts[owner + 1] - first)
+        # pieces follow one another, so each ends where the next begins
+        cuts, data = (4 * np.append(first, len(ids))).astype(np.int32), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
+        if digest:
+            view = memoryview(data)
+            last = pa.array([zlib.crc32(view[a:z]) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.int64())
+        else:
+            last = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(cuts), data])
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-            names=["doc_id", "piece", "start", "length", "ids"],
+            [batch.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(capacity * piece), pa.array(length), last],
+            names=["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids"],
         )
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECES)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(rows, run, PIECES + (", ids_crc32 long" if digest else ", ids binary"), ENCODE_ROWS)
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -104,9 +110,12 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return plan
 
 
-def assign_slots(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+def assign_slots(pieces: DataFrame, capacity: int = 2048, row_col: str | None = None) -> DataFrame:
     """``pieces`` (with a ``length``) plus ``sequence_id`` and ``offset``.
 
+    ``row_col`` is a column that is different in every row, which deals equal rows to
+    different buckets; it is not returned. Without one all columns tell rows apart.
+
     ``pieces`` must be cheap to read twice (a written table). Ranks within a length are
     made of buckets: the n rows of a length are dealt to about sqrt(n) buckets, ranked
     there, and shifted by the counts of the buckets before. A length that a third of all
@@ -115,7 +124,8 @@ def assign_slots(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     than ``length`` are kept; none may be one of the new names. No rows give no rows.
     """
     spark = pieces.sparkSession
-    keys = [c for c in pieces.columns if dict(pieces.dtypes)[c] != "binary"]
+    kept = [c for c in pieces.columns if c != row_col]
+    keys = [row_col] if row_col else [c for c in kept if dict(pieces.dtypes)[c] != "binary"]
     counted = pieces.groupBy("length").count().collect()  # at most one row for each length up to capacity
     histogram = {r["length"]: r["count"] for r in counted}
     buckets = spark.createDataFrame([(k, isqrt(n) + 1) for k, n in histogram.items()], "length long, _buckets long")
@@ -132,7 +142,7 @@ def assign_slots(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     placed = ranked.join(F.broadcast(plan), F.expr("length = _length AND _rank BETWEEN first_rank AND last_rank"))
     nth = F.col("_rank") - F.col("first_rank")
     return placed.select(
-        *pieces.columns,
+        *kept,
         (F.col("first_sequence") + F.floor(nth / F.col("per_sequence"))).cast("long").alias("sequence_id"),
         (F.col("base") + (nth % F.col("per_sequence")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -144,9 +154,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int =
 
     Nulls, empty texts, repeated rows and an empty table as in ``encode_pieces``.
     """
-    pieces = encode_pieces(docs, tokenizer, capacity, separator, id_col, text_col)
-    table = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return assign_slots(table, capacity)
+    pieces = encode_pieces(docs, tokenizer, capacity, separator, id_col, text_col, digest=True)
+    return assign_slots(materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity, "_row")
 
 
 def build_sequences(pieces: DataFrame, slots: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
     write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=2)
-    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, folder, digest=True)
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,15 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import SLICE_ROWS
-from .tokens import encoder
+from ._common import slices
+from .tokens import ENCODE_ROWS, encoder
 
 MAGIC = b"TOKBITS1"
 BLOCK = 4096
+#: Ids that are unpacked at a time.
+READ_IDS = 1_000_000
 
 
 def width(vocabulary: int) -> int:
@@ -52,16 +56,15 @@ def unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def dump(docs: list[int | None], ids: list[bytes], bits: int, block: int = BLOCK) -> bytes:
-    """A shard file of documents and their ids (unsigned 32-bit little-endian)."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    starts = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype="<u8")
-    blocks = [pack_bits(flat[i : i + block], bits) for i in range(0, len(flat), block)]
+def dump(docs: list[int | None], ids: np.ndarray, starts: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
+    """A shard file of documents and their ids (unsigned 32-bit), those of document k being
+    ``ids[starts[k]:starts[k + 1]]``."""
+    blocks = [pack_bits(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.cumsum([0, *map(len, blocks)], dtype="<u8")
-    head = np.array([bits, block, len(docs), len(flat), len(blocks), 0, 0, 0], "<u8").tobytes()
+    head = np.array([bits, block, len(docs), len(ids), len(blocks), 0, 0, 0], "<u8").tobytes()
     names = np.array([0 if d is None else d for d in docs], "<i8").tobytes()
     nulls = bytes(d is None for d in docs)
-    return b"".join([MAGIC, head, names, nulls, starts.tobytes(), offsets.tobytes(), *blocks])
+    return b"".join([MAGIC, head, names, nulls, starts.astype("<u8").tobytes(), offsets.tobytes(), *blocks])
 
 
 class Shard:
@@ -100,6 +103,10 @@ class Shard:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+MANIFEST = "path string, part int, shard int, n_docs long, n_ids long"
+TOKENS = "doc_id long, start long, n_tokens long"
+
+
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_ids: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -108,62 +115,74 @@ def write_token_files(
     ``folder/manifest`` with one row per shard, which is returned:
     ``path, part int, shard int, n_docs long, n_ids long``, ordered by (part, shard).
 
-    Null and empty texts hold ``end_id`` alone; null ids come first; rows of equal id
-    are ordered by their ids' bytes. A task streams: it holds one shard at a time. Files
-    are written under a name of the attempt and then renamed, so a repeated attempt of
-    a lost task leaves the same file.
+    Null and empty texts hold ``end_id`` alone; null ids come first; rows of equal id are
+    ordered by a hash of their texts, and equal rows follow each other. Ranges are cut
+    within an id and within equal rows too, so no id is a hot key. A task streams: it holds
+    one shard at a time, which exceeds ``shard_ids`` by less than one document. Each
+    attempt of a task writes under names of its own and the manifest names those of the
+    attempt that Spark accepted, so nothing is ever renamed or overwritten; files of lost
+    attempts are named nowhere.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        bits, end = width(max(enc.size, end_id + 1)), end_id.to_bytes(4, "little")
-        part, shard, names, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        bits = width(max(enc.size, end_id + 1))
+        part, shard, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
         disk, root = fs.FileSystem.from_uri(folder)
         disk.create_dir(root, recursive=True)
+        names: list[int | None] = []
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            path = f"part-{part:06d}-{shard:06d}.tok"
-            attempt = f"{root}/.{path}.{uuid.uuid4().hex}"
-            with disk.open_output_stream(attempt) as out:
-                out.write(dump(names, ids, bits))
-            disk.move(attempt, f"{root}/{path}")
+            path = f"part-{part:06d}-{shard:06d}-{attempt}.tok"
+            with disk.open_output_stream(f"{root}/{path}") as out:
+                out.write(dump(names, np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes))), bits))
             row = [path], [part], [shard], [len(names)], [held]
             kinds = pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["path", "part", "shard", "n_docs", "n_ids"])
 
-        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
-            for doc, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                names.append(doc)
-                ids.append(data + end)
-                held += len(data) // 4 + 1
+        for batch in (x for b in batches for x in slices(b, ENCODE_ROWS)):
+            docs_here = batch.column(0).to_pylist()
+            ids, starts = enc.encode(batch.column(1), end_id)
+            at = 0
+            while at < len(docs_here):
+                # documents up to the one that fills the shard
+                stop = min(len(docs_here), int(np.searchsorted(starts, starts[at] + shard_ids - held)))
+                names += docs_here[at:stop]
+                parts.append(ids[starts[at] : starts[stop]])
+                sizes.append(np.diff(starts[at : stop + 1]))
+                held += int(starts[stop] - starts[at])
+                at = stop
                 if held >= shard_ids:
                     yield flush()
-                    shard, names, ids, held = shard + 1, [], [], 0
+                    shard, names, parts, sizes, held = shard + 1, [], [], [], 0
         if names:
             yield flush()
 
-    manifest = rows.mapInArrow(run, "path string, part int, shard int, n_docs long, n_ids long")
-    manifest.write.parquet(f"{folder}/manifest")
-    return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest").orderBy("part", "shard")
+    rows.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("part", "shard")
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document of the shard files: ``doc_id, start long, n_tokens long, ids binary``.
+def read_token_files(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """Every document of the shard files: ``doc_id, start long, n_tokens long, ids binary``,
+    or ``ids_crc32 long``, the CRC-32 of the ids, in place of them.
 
-    ``start`` is the number of ids of all documents before it; it adds the ids of the
-    shards before (one manifest row per shard, summed on the driver: a number of rows
-    that grows with the data divided by the size of a shard) to the place in the shard.
+    ``start`` is the number of ids of all documents before it: the ids of the parts before
+    (one sum for each writing task), of the shards before in the part, and the place in
+    the shard.
     """
-    shards, total = [], 0
-    for r in spark.read.parquet(f"{folder}/manifest").orderBy("part", "shard").toLocalIterator():
-        shards.append((r.path, total))
-        total += r.n_ids
-    schema = "doc_id long, start long, n_tokens long, ids binary"
-    if not shards:
-        return spark.createDataFrame([], schema)
+    shards = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    n_shards = shards.count()
+    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    sums = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("parts_before"))
+    own = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
+    placed = shards.withColumn("own", own).join(sums, "part").select("path", (F.col("own") + F.col("parts_before")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, root = fs.FileSystem.from_uri(folder)
@@ -171,19 +190,22 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with disk.open_input_file(os.path.join(root, path)) as f:
                     shard = Shard(lambda at, n, f=f: f.read_at(n, at))
-                    for k in range(0, shard.n_docs, 1000):
-                        stop = min(k + 1000, shard.n_docs)
-                        flat = shard.ids(int(shard.starts[k]), int(shard.starts[stop])).tobytes()
-                        at = (shard.starts[k : stop + 1] - shard.starts[k]) * 4
+                    k = 0
+                    while k < shard.n_docs:
+                        # documents of about a million ids at a time
+                        stop = min(shard.n_docs, max(k + 1, int(np.searchsorted(shard.starts, shard.starts[k] + READ_IDS))))
+                        flat = np.ascontiguousarray(shard.ids(int(shard.starts[k]), int(shard.starts[stop])), "<u4")
+                        at = 4 * (shard.starts[k : stop + 1] - shard.starts[k])
+                        if digest:
+                            view = memoryview(flat).cast("B")
+                            last = pa.array([zlib.crc32(view[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
+                        else:
+                            last = pa.BinaryArray.from_buffers(pa.binary(), stop - k, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
                         yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(shard.docs[k:stop], pa.int64()),
-                                pa.array(shard.starts[k:stop] + before, pa.int64()),
-                                pa.array(np.diff(at) // 4, pa.int64()),
-                                pa.array([flat[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
-                            ],
-                            names=["doc_id", "start", "n_tokens", "ids"],
+                            [pa.array(shard.docs[k:stop], pa.int64()), pa.array(shard.starts[k:stop] + before, pa.int64()), pa.array(np.diff(at) // 4, pa.int64()), last],
+                            names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                         )
+                        k = stop
 
-    files = spark.createDataFrame(shards, "path string, before long").repartition(min(len(shards), 4 * spark.sparkContext.defaultParallelism))
-    return files.mapInArrow(run, schema)
+    tasks = max(1, min(n_shards, 4 * spark.sparkContext.defaultParallelism))
+    return placed.repartition(tasks, "path").mapInArrow(run, TOKENS + (", ids_crc32 long" if digest else ", ids binary"))

@@ -2,111 +2,104 @@
 
 from __future__ import annotations
 
-import re
+import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Outside these characters a text is given to the tokenizer as it is: only within
-#: them is lower case the same for a character alone and in its context.
-_UNUSUAL = re.compile("[^\x00-įı-ɏ]").search
-#: Letters, then marks that no pattern of the tokenizer joins to letters.
-_MARKED = re.compile(r"([^\W\d_İ]+)([.,;:!?()*#$%&|-]+)").fullmatch
-#: Words kept per Python worker before the memory is emptied.
-MAX_WORDS = 400_000
-
-
-def load(path: str) -> Tokenizer:
-    """The tokenizer of a file; special tokens written in a text are ordinary text."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
 
+#: Letters, then marks that no pattern of the tokenizer joins to letters.
+_WORD = r"^(?P<letters>\p{L}+)(?P<marks>[.,;:!?()*#$%&|-]*)$"
+#: Only within these characters is lower case the same here and in the tokenizer.
+_UNUSUAL = "[^\x00-įı-ɏ]"
+#: Rows of an Arrow batch that are encoded at a time.
+ENCODE_ROWS = 4000
+#: Words of letters that go to the library as one text.
+JOINED = 50_000
 
-class _Words(dict):
-    """Ids by word. A word that is not there yet is noted in ``new`` and gives None."""
-
-    def __init__(self):
-        self.new: list[str] = []
 
-    def __missing__(self, word: str) -> None:
-        self.new.append(word)
+def _gather(table: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``table``, run k being its ``size[k]`` values from ``first[k]``
+    on, one after the other; and where each begins, with the total as the last."""
+    n = size[which]
+    at = np.append(0, np.cumsum(n))
+    return table[np.repeat(first[which] - at[:-1], n) + np.arange(at[-1])], at
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)``. For a
-    tokenizer that drops white space before its merges (``by_word``), the pieces between
-    blanks are encoded independently, so each distinct piece goes to the library once per
-    worker; new pieces of letters go there together, and the end-of-word mark of the
-    vocabulary tells their ids apart.
+    For a tokenizer that drops white space before its merges (``by_word``), the pieces
+    between ASCII white space are encoded independently, so each distinct piece of a slice
+    goes to the library once. Pieces of letters, and letters before marks, go there
+    together, and the end-of-word mark of the vocabulary tells their ids apart; all others,
+    those with special tokens among them, go there as typed. The rest is array work.
     """
 
     def __init__(self, path: str, by_word: bool = True):
-        self.tokenizer, self.by_word, self.known = load(path), by_word, _Words()
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        known = self.known
-        plain, later = [], []
-        for w in words:
-            if w.isalpha():
-                plain.append(w)
-            elif (m := _MARKED(w)) and m[1].isalpha():
-                later.append((w, m[1], m[2]))
-            else:
-                known[w] = self.whole(w)
-        plain.extend({a for _, a, _ in later}.difference(known, plain))
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), "<u4", int(sizes.sum())), sizes
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each``, for words of letters, many in one text."""
+        found = []
+        for at in range(0, len(words), JOINED):
+            part = words.slice(at, JOINED)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                data, start = ids.tobytes(), 0
-                for w, stop in zip(part, (stops * 4).tolist(), strict=True):
-                    known[w] = data[start:stop]
-                    start = stop
-            else:
-                for w in part:
-                    known[w] = self.whole(w)
-        for marks in {b for _, _, b in later}.difference(known):
-            known[marks] = self.whole(marks)
-        for w, a, b in later:
-            known[w] = known[a] + known[b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One value per text; null is the empty text."""
-        if not self.by_word:
-            return [self.whole(t) if t else b"" for t in texts]
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        known = self.known
-        rows, seen = [], known.new
-        get = known.__getitem__
-        for t in texts:
-            if not t:
-                rows.append([])
-                continue
-            t = t.lower() if _UNUSUAL(t) is None else t
-            rows.append(list(map(get, t.replace("\n", " ").split(" "))))
-        self._learn(set(seen))
-        new = iter(map(get, seen))
-        out = []
-        for row in rows:
-            at, holes = -1, row.count(None)
-            for _ in range(holes):
-                at = row.index(None, at + 1)
-                row[at] = next(new)
-            out.append(b"".join(row))
-        seen.clear()
-        return out
+            found.append((ids, np.diff(stops, prepend=0)) if len(stops) == len(part) else self._each(part.to_pylist()))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else self._each([])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each``, for distinct words without blanks."""
+        parts = pc.extract_regex(words, _WORD)
+        parted = pc.and_(pc.is_valid(parts), pc.invert(pc.match_substring(words, "İ")))
+        other = words.filter(pc.invert(parted))
+        letters, marks = parts.filter(parted).flatten()
+        letters = pc.if_else(pc.match_substring_regex(letters, _UNUSUAL), letters, pc.utf8_lower(letters)).dictionary_encode()
+        marks = marks.dictionary_encode()
+        found = [self._letters(letters.dictionary), self._each(marks.dictionary.to_pylist()), self._each(other.to_pylist())]
+        table, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        n_letters, n_marks = len(letters.dictionary), len(marks.dictionary)
+        # two runs for each word, the second being empty for other words
+        size = np.append(size, 0)
+        runs = np.full((len(words), 2), len(size) - 1)
+        mask = parted.to_numpy(zero_copy_only=False)
+        runs[mask, 0], runs[mask, 1] = letters.indices.to_numpy(), marks.indices.to_numpy() + n_letters
+        runs[~mask, 0] = np.arange(len(other)) + n_letters + n_marks
+        ids, at = _gather(table, np.cumsum(size) - size, size, runs.ravel())
+        return ids, np.diff(at[::2])
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, starts)``: the ids of all texts, one after the other and each followed by
+        ``end`` if that is given, and the place of each text's first id, with the total
+        as the last. Null is the empty text."""
+        texts = texts.fill_null("")
+        if self.by_word:
+            lists = pc.ascii_split_whitespace(texts)
+            words = lists.values.dictionary_encode()
+            table, size = self._words(words.dictionary)
+            ids, at = _gather(table, np.cumsum(size) - size, size, words.indices.to_numpy())
+            starts = at[lists.offsets.to_numpy()]
+        else:
+            ids, size = self._each(texts.to_pylist())
+            starts = np.append(0, np.cumsum(size))
+        if end is None:
+            return ids, starts
+        return np.insert(ids, starts[1:], np.uint32(end)), starts + np.arange(len(starts))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
