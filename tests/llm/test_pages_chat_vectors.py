@@ -1,12 +1,20 @@
+import os
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from urlrisk.llm.chat import BEFORE, TRANSITIONS, best_path, emissions, format_chats, split_marker
-from urlrisk.llm.html_text import extract_text, main_text
-from urlrisk.llm import neighbours
+from urlrisk.llm import neighbours, registry
+from urlrisk.llm.html_text import SURGE_SHARE, WINDOW, extract_text, main_text, regions
 from urlrisk.llm.neighbours import nearest
 
+SF = "/root/testdata/sf0.01"
+
 PAGE = """<html><head><title>T</title></head><body><header><a href=/>Home</a> site</header><div id="cookie-notice">We use cookies <button>ok</button></div>
 <div class="content"><h1>Title &amp; more</h1><p>First para with <a href=x>a link</a> and&nbsp;text that is long enough to count, really it is so.</p><p>Short.</p>
 <div class="ad-slot">Buy now</div><p>Second &lt;para&gt; &eacute;.</p></div><div class="sidebar"><p>Other stories you may like, long text long text long text long text</p></div>
@@ -22,6 +30,104 @@ def test_article_is_kept_whole():
     assert main_text(page) == 'H\nB.\nx y z\n"q"'
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {k} of the article goes on and on here.</p>" for k in range(6))
+TEXT = "\n".join(f"Paragraph {k} of the article goes on and on here." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="content has-sidebar">{PARAGRAPHS}</div>', TEXT),
+        (f'<div class="layout no-sidebar">{PARAGRAPHS}</div>', TEXT),
+        (f'<div class="sidebar"><div>{PARAGRAPHS}</div></div>', TEXT),  # it holds most of the text
+        (f'<article class="post comment-open">{PARAGRAPHS}<div class="legal"><p>Law</p></div></article>', TEXT + "\nLaw"),
+        (f'<article><div class="post-header"><h1>Head</h1></div>{PARAGRAPHS}</article>', "Head\n" + TEXT),
+        (f"<form id=aspnetForm><div>{PARAGRAPHS}</div></form>", TEXT),
+        (f"<body><div><h1>T</h1>{PARAGRAPHS}</div><div>Unrelated blurb text about something else.</div></body>", "T\n" + TEXT),
+        (f"<h1>T</h1><div class=ad>Buy</div><div>{PARAGRAPHS}</div>", "T\n" + TEXT),
+        (f"<div>{PARAGRAPHS}<p><a href=x>A paragraph that is mostly a link</a>.</p></div>", TEXT + "\nA paragraph that is mostly a link."),
+        (f"<article><h3><a href=1>Teaser</a></h3><p>few words</p></article><div>{PARAGRAPHS}</div>", TEXT),
+        (f"<article>{PARAGRAPHS}<section id=comments><article class=comment><p>{'I agree. ' * 99}</p></article></section></article>", TEXT),
+        (f"<article>{PARAGRAPHS}<p>a<span hidden>not</span>b</p></article>", TEXT + "\nab"),
+        ("<p>AT&am<b></b>p;T and AT&amp;T", "AT&amp;T and AT&T"),
+        ("<head><meta charset=x><body><p>The head was never closed", "The head was never closed"),
+    ],
+)
+def test_structure_only_weighs(page, text):
+    assert main_text(page) == text
+
+
+class Article(HTMLParser):
+    """The blocks of the article element of pages without other markup in it, by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks, self.now = False, [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.end()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.now.append(data)
+
+    def end(self):
+        if text := " ".join("".join(self.now).split()):
+            self.blocks.append(text)
+        self.now = []
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the generated tables")
+def test_query_equals_another_parser(spark):
+    """All pages of the table, whose article elements hold the whole article and nothing else."""
+    got = registry.op3_html_text(spark, SF).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(got) == len(pages)
+    for r in got:
+        truth = Article()
+        truth.feed(pages[r.page_id])
+        truth.close()
+        assert r.text == "\n".join(truth.blocks) and r.n_chars == len(r.text)
+
+
+def regions_by_definition(sizes):
+    """Surges and dives found by looking at every pair of places."""
+    n = len(sizes)
+    filled = [s != 0 for s in sizes]
+    stretches = []  # longest stretches that begin and end with text and have no gap as long as a window
+    for a in range(n):
+        for z in range(a + 1, n + 1):
+            inner = all(any(filled[k : k + WINDOW]) for k in range(a, z - WINDOW + 1))
+            closed = not any(filled[max(0, a - WINDOW) : a]) and not any(filled[z : z + WINDOW])
+            if filled[a] and filled[z - 1] and inner and closed:
+                stretches.append((a, z))
+    plus = [max(0, s) for s in sizes]
+    top = max((sum(plus[k : k + WINDOW]) for k in range(n)), default=0)
+    return [{k for k in range(a, z) if filled[k]} for a, z in stretches if any(sum(plus[k : k + WINDOW]) >= SURGE_SHARE * top > 0 for k in range(a, z))]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, -1, 1, 5, 30, 100]), max_size=25))
+def test_regions_equal_their_definition(sizes):
+    assert [{k for k in range(a, z) if sizes[k]} for a, z in regions(sizes)] == regions_by_definition(sizes)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</i>" * 40_000, '<a "' * 50_000, "<li><b>" * 50_000, "<p><b>x" * 50_000, "<select><div>" * 20_000, "<td>x" * 50_000, "<!--" * 50_000])
+def test_large_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_odd_pages(spark):
     assert [main_text(x) for x in (None, "", "plain", "a < b <p>c", "<nav><article><p>in", "<script>x</script>", "<p", "<!-- <p>no</p>")] == ["", "", "plain", "a < b\nc", "in", "", "", ""]
     rows = [(1, "u", PAGE, 1), (None, None, None, 2), (2, "v", "<p>" + "w " * 100_000, 3), (2, "v", "<p>" + "w " * 100_000, 3)]

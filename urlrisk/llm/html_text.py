@@ -1,19 +1,26 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into one line per block. A line's length is that of its text; it
-counts as zero if it stands in a container that pages use for other things than the
-article (menus, forms, adverts, comments ...), if most of it is link text, or if the
-page has an article element and the line is outside of it. Lengths are summed over
-sliding windows of ``WINDOW`` lines: text surges where a window's sum rises from zero
-past a threshold, and dives where it falls back to zero. The lines of a surge up to its
-dive are kept whole, short ones included, and so are other lines of the container in
-which a surge stands (text after an advert within the article).
+Markup is stripped into one line per block, and every container, where it opens and where
+it closes, leaves an empty line, an article element as many as a window is long. The
+lengths of the lines are summed over sliding windows of ``WINDOW`` lines. Text surges where
+the sums reach a share of the page's largest, and dives where they have fallen to nothing;
+what lies between is a region, reached back to where its text begins. The region with most
+text is the article, together with what shares its container and other regions that are
+nearly as large.
+
+Structure only weighs: lines within an article or main element count several times, and
+lines of containers that by their element or by a whole name are something else (menus,
+notices, adverts, comments ...) count nothing, unless such a container holds an article
+element or, on a page without one, most of the text. Lines that are mostly links don't raise a sum, but
+stay where the text around them does.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +29,16 @@ from pyspark.sql import functions as F
 from ._common import map_batches
 
 WINDOW = 3
-#: A surge needs this many characters in a window, or this share of the page's largest.
-SURGE_CHARS, SURGE_SHARE = 80, 0.3
+#: Text surges at this share of the page's largest window sum.
+SURGE_SHARE = 0.25
+#: How many times a line within an article or main element counts.
+OWN_WEIGHT = 4
+#: A region, or container beside the article's, of at least this share is article text too.
+ALSO_SHARE = 0.5
+#: A container holds the article if so much of its region lies in it.
+MAIN_SHARE = 2 / 3
+#: A line of at least so much link text is a link.
+LINK_SHARE = 0.6
 
 _tags = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|"
@@ -31,154 +46,282 @@ _tags = re.compile(
     re.S,
 )
 _raw = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-_names = re.compile(r"""(?:^|[\s"'/])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_names = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _hidden = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s/>=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-_parts = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
-#: Elements that never hold article text.
-_OTHER = frozenset("head script style noscript template svg math canvas object iframe nav footer aside form button select option datalist dialog menu audio video map title textarea".split())
-#: Words of class, id and role names of containers that are not the article.
+#: Elements that a head may have, and those whose content is never text of the page.
+_HEAD = frozenset("base link meta noscript script style template title".split())
+_SKIPPED = frozenset("head script style noscript template svg math canvas object iframe button select option datalist audio video map title textarea".split())
+#: Elements that are something else than the article, unless they hold it.
+_OTHER = frozenset("nav footer aside form dialog menu".split())
+#: Names of containers that are something else, and of their parts and places.
 _OTHER_NAMES = frozenset(
-    """ad ads adv advert advertisement adslot adsense advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs
-    footer sidebar aside widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login
+    """ad ads adv advert adverts advertisement adslot advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs
+    header footer sidebar aside widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login
     comment comments disqus respond replies share sharing social related recommended recommendations pagination pager toolbar search complementary contentinfo
-    dialog skip copyright legal masthead""".split()
+    dialog masthead""".split()
 )
+_PLACES = frozenset("area bar block bottom box container content form global inner left links list main outer page right section site slot top unit wrap wrapper".split())
+_COMMENTS = frozenset("comment comments disqus respond replies".split())
 _OWN = frozenset(("article", "main"))
-_BOXES = frozenset("body div section article main td".split())
-
-
-def _is_other(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds something else than the article; ``inside``: it is in one."""
-    if tag in _OTHER or tag == "header" and not inside:
-        return True
-    if tag in ("html", "body", "main") or not attributes:
-        return False
-    words = {w for m in _names.finditer(attributes) for w in _parts.findall((m[1] or m[2] or m[3] or "").lower())}
-    if tag == "article":
-        return "comment" in words
-    return bool(words & _OTHER_NAMES) or "header" in words and not inside and tag == "div" or _hidden.search(attributes) is not None
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters that count, inside an article, number of its container) of each
-    block in page order. A container that is left out gives one line of no text."""
-    out: list[tuple[str, int, bool, int]] = []
-    text: list[str] = []
-    stack: list[str] = []
-    boxes: list[int] = []  # for each open element the number of the container that it is or is in
-    box = opened = 0
-    links = own = skip = 0  # open links; open articles; depth at which the container left out was opened
-    linked = 0
+_BOXES = frozenset("body div article main td".split())
+
+
+class Line(NamedTuple):
+    """A block: its text, how much of it is link text, the numbers of its container, of the
+    article and of the doubtful container that it is in (0: none), and its element."""
+
+    text: str
+    linked: int
+    box: int
+    own: int
+    other: int
+    tag: str
+
+
+class Page:
+    """The lines of a page in order, with gaps, and the containers they stand in."""
+
+    def __init__(self) -> None:
+        self.order: list[Line | None] = []  # None: an empty line
+        self.box_parent, self.box_look = [0], [""]
+        self.other_parent, self.other_holds, self.other_talks = [0], [False], [False]
+
+
+def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is a doubtful container, and whether one of comments; ``inside``:
+    it is in an article."""
+    if tag in ("html", "body"):
+        return False, False
+    names = [n for m in _names.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
+    found = talks = False
+    for name in names:
+        parts = [p for p in re.split("[-_]+", name) if p]
+        hits = [p for p in parts if p in _OTHER_NAMES and not (p == "header" and inside)]
+        if hits and all(p in _OTHER_NAMES or p in _PLACES for p in parts):
+            found = True
+            talks |= any(p in _COMMENTS for p in hits)
+    if tag in _OWN:
+        return talks, talks
+    return found or tag in _OTHER or tag == "header" and not inside or bool(attributes) and _hidden.search(attributes) is not None, talks
+
+
+def parse(source: str) -> Page:
+    """The lines of a page; time is linear in it."""
+    page = Page()
+    order = page.order
+    pieces: list[str] = []
+    stack: list[tuple[str, bool, int, int, int]] = []  # element, whether it is skipped; container, article and doubtful container outside of it
+    depth: Counter[str] = Counter()
+    box = own = other = n_own = skipped = linked = 0
+    block = ""
 
     def flush() -> None:
         nonlocal linked
-        line = " ".join(html.unescape("".join(text)).split())
-        text.clear()
-        if line:
-            out.append((line, 0 if linked > 0.6 * len(line) else len(line), own > 0, box))
+        if pieces:
+            text = " ".join("".join(pieces).split())
+            if text:
+                order.append(Line(text, linked, box, own, other, block))
+            pieces.clear()
         linked = 0
 
-    at, n = 0, len(page)
+    def close(size: int) -> None:
+        """End open elements, the innermost first, until ``size`` are left."""
+        nonlocal box, own, other, skipped, block
+        while len(stack) > size:
+            top, skip, *outside = stack.pop()
+            depth[top] -= 1
+            if skip:
+                skipped -= 1
+            elif not skipped and top not in _INLINE:
+                flush()
+                if top in _BOXES:
+                    order.extend([None] * (WINDOW if top in _OWN else 1))
+                if outside[2] != other:
+                    order.extend([None] * WINDOW)
+            box, own, other = outside
+        block = next((x[0] for x in reversed(stack[-4:]) if x[0] not in _INLINE), "")
+
+    at, n = 0, len(source)
     while at < n:
-        m = _tags.search(page, at)
+        m = _tags.search(source, at)
         stop = m.start() if m else n
-        if stop > at and not skip:
-            piece = page[at:stop]
-            text.append(piece)
-            if links:
-                linked += len(piece)
+        if stop > at and not skipped:
+            piece = html.unescape(source[at:stop])
+            pieces.append(piece)
+            if depth["a"]:
+                linked += len(piece.strip())
         if not m:
             break
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing, attributes = (m[1] if m[2] else m[4]), (m[3] if m[2] else m[6]) or ""
-        if closing:
-            if tag in stack:
-                while True:
-                    top = stack.pop()
-                    box = boxes.pop()
-                    links -= top == "a" and not skip
-                    own -= top in _OWN and not skip
-                    if skip and len(stack) < skip:
-                        skip = 0
-                        out.append(("", 0, False, -1))
-                    if top not in _INLINE and not skip:
-                        # the block ends with the text that it holds, inside of what was open
-                        own += top in _OWN
-                        flush()
-                        own -= top in _OWN
-                    box = boxes[-1] if boxes else 0
-                    if top == tag:
-                        break
+        if m[1] if m[2] else m[4]:
+            if depth[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
+        attributes = (m[3] if m[2] else m[6]) or ""
         if tag in _raw:
-            end = _raw[tag].search(page, at)
+            end = _raw[tag].search(source, at)
             at = end.end() if end else n
             continue
-        if skip:
-            if tag in _OWN and stack[skip - 1] in ("nav", "header", "div", "head", "noscript") and not _is_other(tag, attributes, False):
-                del stack[skip - 1 :], boxes[skip - 1 :]  # that container was never closed
-                skip = 0
-                box = boxes[-1] if boxes else 0
-                out.append(("", 0, False, -1))
-            else:
-                if tag not in _VOID:
-                    stack.append(tag)
-                    boxes.append(box)
-                continue
+        if depth["head"] and tag not in _HEAD:  # where other elements begin the head has ended
+            close(next(k for k, x in enumerate(stack) if x[0] == "head"))
         if tag == "br":
-            text.append(" ")
-        elif tag not in _INLINE:
+            pieces.append(" ")
+        elif tag not in _INLINE and not skipped:
             flush()
         if tag in _VOID or attributes.endswith("/") and tag in ("path", "circle"):
             continue
-        if tag == "p" and "p" in stack[-8:]:  # a paragraph ends where the next begins
-            k = len(stack) - 1 - stack[::-1].index("p")
-            if all(x in _INLINE for x in stack[k + 1 :]):
-                links -= stack[k:].count("a")
-                del stack[k:], boxes[k:]
-        stack.append(tag)
+        if tag in ("p", "li", "a") and depth[tag]:  # it ends where the next begins
+            k = len(stack) - 1
+            while k >= 0 and stack[k][0] != tag and stack[k][0] in _INLINE:
+                k -= 1
+            if k >= 0 and stack[k][0] == tag:
+                close(k)
+        skip = tag in _SKIPPED or tag in _INLINE and bool(attributes) and _hidden.search(attributes) is not None
+        stack.append((tag, skip, box, own, other))
+        depth[tag] += 1
+        skipped += skip
+        if skipped or tag in _INLINE:
+            continue
+        block = tag
+        doubtful, talks = _kind(tag, attributes, own > 0)
+        if doubtful:
+            order.extend([None] * WINDOW)
+            page.other_parent.append(other)
+            page.other_holds.append(False)
+            page.other_talks.append(talks)
+            other = len(page.other_parent) - 1
+        if tag in _OWN and not talks:
+            k = other
+            while k and not page.other_holds[k]:
+                page.other_holds[k], k = True, page.other_parent[k]
+            n_own += 1
+            own = n_own if tag == "article" or not own else own
         if tag in _BOXES:
-            opened += 1
-            box = opened
-        boxes.append(box)
-        if _is_other(tag, attributes, own > 0):
-            skip = len(stack)
-        else:
-            links += tag == "a"
-            own += tag in _OWN
-    if not skip:
-        flush()
-    return out
-
-
-def main_text(page: str | None) -> str:
-    """The article of a page, its blocks joined by newlines; empty if there is none."""
-    lines = lines_of(page or "")
-    in_article = any(own and size for _, size, own, _ in lines)
-    sizes = [len(t) if own else 0 for t, _, own, _ in lines] if in_article else [size for _, size, _, _ in lines]
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    surge = 1 if in_article else min(SURGE_CHARS, SURGE_SHARE * max(sums, default=0))
-    kept: set[int] = set()
-    i = 0
-    while i < len(sizes):
-        if not sizes[i]:
+            order.extend([None] * (WINDOW if tag in _OWN else 1))
+            page.box_parent.append(box)
+            page.box_look.append(f"{tag} {attributes.strip()}" if attributes.strip() else "")
+            box = len(page.box_parent) - 1
+    close(0)
+    flush()
+    return page
+
+
+def line_sizes(page: Page) -> list[int]:
+    """What each line of ``page.order`` counts in the curve."""
+    lines = [x for x in page.order if x]
+    total = sum(len(x.text) for x in lines)
+    held = [0] * len(page.other_parent)
+    for x in lines:
+        held[x.other] += len(x.text)
+    for k in range(len(held) - 1, 0, -1):
+        held[page.other_parent[k]] += held[k]
+    owned = any(x.own and not x.other for x in lines)
+    out = [False] * len(held)
+    for k in range(1, len(held)):
+        keeps = page.other_holds[k] or not owned and not page.other_talks[k] and 2 * held[k] > total
+        out[k] = out[page.other_parent[k]] or not keeps
+    return [
+        0 if x is None or out[x.other] else -1 if x.linked >= LINK_SHARE * len(x.text) else len(x.text) * (OWN_WEIGHT if x.own else 1)
+        for x in page.order
+    ]  # -1: a link, which counts nothing but is not left out
+
+
+def regions(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first, after last) of the stretches between surges and dives: each goes back from its
+    surge to where its text begins, and on to where it dives."""
+    weights = [max(0, s) for s in sizes]
+    ahead = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    surge = SURGE_SHARE * max(ahead, default=0)
+    found, i = [], 0
+    while i < len(ahead):
+        if not ahead[i] or ahead[i] < surge:
             i += 1
             continue
-        dive = i
-        while dive < len(sizes) and sizes[dive]:
+        first = next(k for k in range(i, len(sizes)) if sizes[k])
+        while first and any(sizes[max(0, first - WINDOW) : first]):
+            first -= 1
+        dive = first
+        while dive < len(sizes) and any(sizes[dive : dive + WINDOW]):
             dive += 1
-        if max(sum(sizes[k : min(k + WINDOW, dive)]) for k in range(i, dive)) >= surge:
-            kept.update(range(i, dive))
+        found.append((first, dive))
         i = dive
-    boxes = {lines[k][3] for k in kept}
-    return "\n".join(t for k, (t, _, _, box) in enumerate(lines) if sizes[k] and (k in kept or box in boxes))
+    return found
+
+
+def main_text(source: str | None) -> str:
+    """The article of a page, its blocks joined by newlines; empty if there is none."""
+    page = parse(source or "")
+    order, sizes = page.order, line_sizes(page)
+    if max(sizes, default=0) <= 0:  # nothing but links
+        sizes = [len(x.text) if x and s else 0 for x, s in zip(order, sizes, strict=True)]
+    found = regions(sizes)
+    if not found:
+        return ""
+    mass = [sum(max(0, s) for s in sizes[a:z]) for a, z in found]
+    largest = max(range(len(found)), key=lambda k: (mass[k], -k))
+    a, z = found[largest]
+    body = [k for k in range(a, z) if order[k] and sizes[k]]
+    owner: Counter[int] = Counter()
+    for k in body:
+        owner[order[k].own] += max(0, sizes[k])
+    own = owner.most_common(1)[0][0]
+    if own:  # an article element: all of its lines that count
+        kept = {k for k, x in enumerate(order) if x and sizes[k] and x.own == own}
+    else:
+        kept = _kept_without_article(page, sizes, body)
+    for k, (first, after) in enumerate(found):
+        inside = [j for j in range(first, after) if order[j] and sizes[j] and bool(order[j].own) == bool(own)]
+        if k != largest and sum(max(0, sizes[j]) for j in inside) >= ALSO_SHARE * mass[largest]:
+            kept.update(inside)
+    return "\n".join(order[k].text for k in sorted(kept) if sizes[k] > 0 or not _in_link_list(order, sizes, k))
+
+
+def _kept_without_article(page: Page, sizes: list[int], body: list[int]) -> set[int]:
+    """The lines of the container that holds most of the region ``body``, those of the
+    region in containers around it, and in others that surge themselves or look alike."""
+    order, parent = page.order, page.box_parent
+    held = [0] * len(parent)
+    for k in body:
+        held[order[k].box] += max(0, sizes[k])
+    for b in range(len(parent) - 1, 0, -1):
+        held[parent[b]] += held[b]
+    main = max(b for b in range(len(parent)) if held[b] >= MAIN_SHARE * held[0])  # the innermost: children have larger numbers
+    around, b = {0}, main
+    while b:
+        around.add(b)
+        b = parent[b]
+    within = [False] * len(parent)
+    within[main] = True
+    for b in range(main + 1, len(parent)):
+        within[b] = within[parent[b]]
+    region = set(body)
+    kept = {k for k, x in enumerate(order) if x and sizes[k] and (within[x.box] or x.box in around and not x.own and (k in region or x.tag == "h1"))}
+    largest = max((sum(max(0, s) for s in sizes[k : k + WINDOW]) for k in body), default=0)
+    beside: dict[int, list[int]] = {}
+    for k in body:
+        if k not in kept:
+            beside.setdefault(order[k].box, []).append(k)
+    for b, rows in beside.items():
+        weights = [max(0, sizes[k]) for k in rows]
+        if max(sum(weights[i : i + WINDOW]) for i in range(len(weights))) >= ALSO_SHARE * largest or page.box_look[b] and page.box_look[b] == page.box_look[main]:
+            kept.update(rows)
+    return kept
+
+
+def _in_link_list(order: list[Line | None], sizes: list[int], k: int) -> bool:
+    """Whether a line that is a link stands next to another one in a list."""
+    near = [j for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j] and sizes[j] < 0 and order[j].box == order[k].box]
+    return order[k].tag in ("li", "ul", "ol", "dd", "td") and bool(near)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
