@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from urlrisk.llm import decontaminate
 from urlrisk.llm._common import connected_components
 from urlrisk.llm.decontaminate import drop_contaminated, find_contaminated, words_of
 from urlrisk.llm.language import predict_language
@@ -27,8 +28,11 @@ def contained(item, text):
     return own and sum(1 for g in own if any(tuple(words_of(text)[i : i + len(g)]) == g for i in range(len(words_of(text)) - len(g) + 1))) / len(own)
 
 
-@pytest.mark.parametrize("limit", [500_000, 5])
-def test_decontamination_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_decontamination_equals_brute_force(spark, monkeypatch, bits):
+    """With bitmaps of 64 bits nearly every shingle passes, and the join alone decides."""
+    monkeypatch.setattr(decontaminate, "MAX_BITS", bits)
+    monkeypatch.setattr(decontaminate, "MIN_BITS", min(bits, 1 << 12))
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(30)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 4, 5, 8, 20, 40])))) for i in range(25)] + [(90, None), (91, ""), (92, "?!"), (1, items_text := "W1 w2, W3!")]
@@ -42,18 +46,29 @@ def test_decontamination_equals_brute_force(spark, limit):
             k = rng.randint(0, len(words))
             words[k:k] = piece
         docs.append((d, " ".join(words)))
-    docs += [(None, items_text), (70, None), (71, ""), (3, docs[3][1])]
+    docs += [(None, items_text), (None, "clean text without an id"), (70, None), (71, ""), (3, docs[3][1]), (3, "another text of a repeated id")]
     table = spark.createDataFrame([(a, b, "en", "s", 1, 2) for a, b in docs], DOCS)
     bench = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
-    got = sorted(((r.doc_id, r.item_id, round(r.containment, 9)) for r in find_contaminated(table, bench, max_shingles=limit).collect()), key=str)
+    got = sorted(((r.doc_id, r.item_id, round(r.containment, 9)) for r in find_contaminated(table, bench).collect()), key=str)
     want = sorted(((d, i, round(c, 9)) for d, t in docs for i, x in items if (c := contained(x, t or "")) and c >= 0.8 - 1e-12), key=str)
     assert got == want
-    left = sorted((r.doc_id for r in drop_contaminated(table, bench).collect()), key=str)
-    bad = {d for d, *_ in want}
-    assert left == sorted((d for d, _ in docs if d not in bad), key=str)
+    left = sorted((str((r.doc_id, r.text)) for r in drop_contaminated(table, bench).collect()))
+    assert left == sorted(str(x) for x in docs if not any(contained(t, x[1] or "") >= 0.8 - 1e-12 for _, t in items if shingles(t)))
     assert find_contaminated(table, bench.limit(0)).count() == 0 and find_contaminated(table.limit(0), bench).count() == 0
 
 
+def test_signatures_choose_the_candidates(spark):
+    """A signature of one shingle less than the bound loses an item that lacks just the others."""
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(24)]
+    items = spark.createDataFrame([(1, " ".join(words))], "key long, words string")
+    grams = decontaminate._item_shingles(items, 5)
+    sizes, signed = decontaminate._signatures(grams, 0.8)
+    (size,), chosen = sizes.collect(), {r.gram for r in signed.collect()}
+    assert (size.size, size.need) == (20, 16) and len(chosen) == 31 - 25 + 1 and {r.least for r in signed.collect()} == {13}
+    assert chosen < {" ".join(words[k : k + 5]) for k in range(20)}
+
+
 def is_held(i, n, rest):
     return zlib.crc32(str(i).encode()) % n == rest
 
