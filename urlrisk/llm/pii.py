@@ -176,7 +176,7 @@ def _iban_end(t: str, start: int) -> int:
     up to four characters with a blank or hyphen between, or ``start``."""
     ends = [_run(t, start, _PLAIN)]
     size = ends[0] - start
-    while size < IBAN_MOST and ends[-1] < len(t) and t[ends[-1]] in " -":
+    while 0 < size < IBAN_MOST and ends[-1] < len(t) and t[ends[-1]] in " -":
         stop = _run(t, ends[-1] + 1, _PLAIN, ends[-1] + 6)
         group = stop - ends[-1] - 1
         if not 0 < group <= 4:
