@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,8 @@ from ._common import map_batches, materialize
 
 #: Rows on which the directions and split points are fitted; every row is indexed.
 SAMPLE_ROWS = 40_000
-#: Vectors whose neighbours are found by brute force to set the number of leaves, and
-#: the number of leaves at which that search ends.
-TRIAL_ROWS, TRIAL_LEAVES = 64, 50_000
+#: Vectors whose neighbours are found by brute force to set the number of leaves.
+TRIAL_ROWS = 64
 #: Vectors, and queries, that one task has of a leaf: larger leaves are dealt to several.
 GROUP_ROWS = 50_000
 #: Sampled vectors in a leaf at least: this bounds the size of the forest.
@@ -62,22 +62,24 @@ class Forest:
         """As ``leaves``, with another range of numbers for each tree."""
         return self.leaves(x) + np.arange(len(self.splits), dtype=np.int64) * 2**self.depth
 
-    def search(self, q: np.ndarray, n_leaves: int) -> list[tuple[int, int]]:
-        """(tree, leaf) of the ``n_leaves`` leaves that the shared queue gives first. A
-        node's priority is the worst margin on the way to it, the best first."""
+    def walk(self, q: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(tree, leaf) of all leaves in the order of the shared queue. A node's priority is
+        the worst margin on the way to it, the best first."""
         first = 2**self.depth - 1
         queue = [(-np.inf, t, 0) for t in range(len(self.splits))]
         heapq.heapify(queue)
-        out: list[tuple[int, int]] = []
-        while queue and len(out) < n_leaves:
+        while queue:
             worst, t, node = heapq.heappop(queue)
             while node < first:
                 margin = float(self.directions[t, node] @ q - self.splits[t, node])
                 near, far = (2 * node + 2, 2 * node + 1) if margin > 0 else (2 * node + 1, 2 * node + 2)
                 heapq.heappush(queue, (max(worst, abs(margin)), t, far))
                 node = near
-            out.append((t, node - first))
-        return out
+            yield t, node - first
+
+    def search(self, q: np.ndarray, n_leaves: int) -> list[tuple[int, int]]:
+        """(tree, leaf) of the ``n_leaves`` leaves that the shared queue gives first."""
+        return list(islice(self.walk(q), n_leaves))
 
 
 def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 42) -> Forest:
@@ -147,8 +149,19 @@ def _leaves_needed(classes: DataFrame, forest: Forest, held, trial: np.ndarray,
     found = classes.select("v").mapInArrow(best, "q int, cos double, codes array<long>")
     w = Window.partitionBy("q").orderBy(F.desc("cos"))
     found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect()
-    places = {q: {t * 2**forest.depth + leaf: i + 1 for i, (t, leaf) in enumerate(forest.search(v, TRIAL_LEAVES))} for q, v in enumerate(trial)}
-    need = sorted(min(places[r.q].get(c, TRIAL_LEAVES) for c in r.codes) for r in found)
+    wanted: dict[int, list[set[int]]] = {}
+    for r in found:
+        wanted.setdefault(r.q, []).append(set(r.codes))
+    need = []
+    for q, left in wanted.items():  # walk until every neighbour has been met in some tree
+        for i, (t, leaf) in enumerate(forest.walk(trial[q]), 1):
+            code = t * 2**forest.depth + leaf
+            met = [codes for codes in left if code in codes]
+            need += [i] * len(met)
+            left = [codes for codes in left if code not in codes]
+            if not left:
+                break
+    need.sort()
     return max(len(forest.splits), need[int(np.ceil(recall * len(need))) - 1] if need else 1)
 
 
@@ -209,16 +222,18 @@ def nearest(
         codes = [[t * 2**depth + leaf for t, leaf in held.value.search(row, n_leaves)] for row in unit]
         return pa.RecordBatch.from_arrays([batch.column(0), _packed(unit), pa.array(codes, pa.list_(pa.int64()))], names=["id", "v", "codes"])
 
-    leaves = map_batches(classes.select("rep", "v"), index, "rep long, v binary, codes array<long>").select("rep", "v", F.explode("codes").alias("code"))
+    indexed = materialize(map_batches(classes.select("rep", "v"), index, "rep long, v binary, codes array<long>"), "indexed")
     asked = usable(queries).where(F.size("v") == d).distinct()
-    asked = map_batches(asked, probe, "id long, v binary, codes array<long>").select("id", "v", F.explode("codes").alias("code"))
-
-    # a leaf's vectors are dealt to v parts and its queries to q, and each part meets each
-    v_parts = -(-n // (2**depth * GROUP_ROWS))
-    q_parts = -(-usable(queries).count() * n_leaves // (trees * 2**depth * GROUP_ROWS)) or 1
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    leaves = leaves.withColumn("vp", F.pmod(F.xxhash64("rep"), F.lit(v_parts)).cast("int")).withColumn("qp", every(q_parts))
-    asked = asked.withColumn("qp", F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int")).withColumn("vp", every(v_parts))
+    asked = materialize(map_batches(asked, probe, "id long, v binary, codes array<long>"), "asked")
+    # a crowded leaf's vectors are dealt to several parts and so are its queries, and each part meets each
+    leaves, asked = indexed.select("rep", "v", F.explode("codes").alias("code")), asked.select("id", "v", F.explode("codes").alias("code"))
+    parts = leaves.groupBy("code").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("v_parts"))
+    parts = parts.join(asked.groupBy("code").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("q_parts")), "code")
+    parts = materialize(parts, "parts")  # one row for each leaf that is asked for, at most trees * 2**depth
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    leaves = leaves.join(F.broadcast(parts), "code").withColumn("vp", deal("rep", "v_parts")).withColumn("qp", every("q_parts"))
+    asked = asked.join(F.broadcast(parts.toDF("code", "vs", "qs")), "code").withColumn("qp", deal("id", "qs")).withColumn("vp", every("vs"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The best classes of a leaf for each query that came to it."""
@@ -238,7 +253,7 @@ def nearest(
             best.append(reps[j])
         return pd.DataFrame({"query_id": np.concatenate(ids), "rep": np.concatenate(best)})
 
-    met = asked.groupBy("code", "vp", "qp").cogroup(leaves.groupBy("code", "vp", "qp")).applyInPandas(meet, "query_id long, rep long").distinct()
+    met = asked.select("code", "vp", "qp", "id", "v").groupBy("code", "vp", "qp").cogroup(leaves.select("code", "vp", "qp", "rep", "v").groupBy("code", "vp", "qp")).applyInPandas(meet, "query_id long, rep long").distinct()
     pairs = met.join(classes, "rep").join(usable(queries).distinct().select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
