@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 import time
@@ -8,10 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from urlrisk.llm.chat import BEFORE, TRANSITIONS, best_path, emissions, format_chats, split_marker
+from urlrisk.llm.chat import BEFORE, STATES, TRANSITIONS, best_path, block_matrix, emissions, format_chats, split_marker
 from urlrisk.llm import neighbours, registry
 from urlrisk.llm.html_text import SURGE_SHARE, WINDOW, extract_text, main_text, regions
-from urlrisk.llm.neighbours import nearest
+from urlrisk.llm.neighbours import fit_forest, nearest
 
 SF = "/root/testdata/sf0.01"
 
@@ -177,6 +178,84 @@ def test_blocks_equal_one_pass(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def all_paths(lines):
+    """The best of all paths, each scored as a whole."""
+    e = [emissions(*x) for x in lines]
+    n = len(STATES) - 1
+
+    def score(path):
+        return sum(TRANSITIONS[a, b] + x[b] for a, b, x in zip((BEFORE, *path), path, e, strict=False))
+
+    return max(itertools.product(range(n), repeat=len(lines)), key=score)
+
+
+def test_path_is_the_best_of_all():
+    rng = random.Random(12)
+    pieces = ["User: hi", "Assistant: yes", "what is it?", "Sure, here it is", "- item", "text", "", "You are a helper", "[system] be kind", "x" * 500]
+    for _ in range(40):
+        lines = [(rng.choice(pieces), rng.random() < 0.5) for _ in range(rng.randint(1, 4))]
+        best = all_paths(lines)
+        e = [emissions(*x) for x in lines]
+        assert best_path(e, BEFORE, best[-1]) == list(best)
+        assert np.isclose(block_matrix(e)[BEFORE].max(), block_matrix(e)[BEFORE][best[-1]])
+
+
+def test_crowded_blocks_are_cut(spark):
+    """Rows of one conversation that all have the same turn, or none, in blocks of at most ``span`` rows."""
+    rows = [(7, turn, f"{'User' if k % 2 else 'Assistant'}: line {k:05d}") for turn in (None, 4) for k in range(700)]
+    df = spark.createDataFrame([*rows, (8, 1, "User: hi"), (8, 900, "Sure, it is")], "conv_id long, turn long, text string")
+    got = sorted(format_chats(df, span=10, fan=4).collect(), key=lambda r: (r.conv_id, r.block))
+    assert max(r.n_lines for r in got) <= 10 and sum(r.n_lines for r in got) == 1402
+    order = [t.split(": ")[1] for turn in (None, 4) for t in sorted(t for _, u, t in rows if u == turn)]
+    chat = "".join(r.chat for r in got if r.conv_id == 7)
+    assert [line for line in chat.split("\n") if line.startswith("line")] == order
+    assert chat.count("<|user|>") == chat.count("<|assistant|>") == 700
+    whole = sorted(format_chats(df, span=10**6).collect(), key=lambda r: r.conv_id)
+    assert chat == whole[0].chat and "".join(r.chat for r in got if r.conv_id == 8) == whole[1].chat
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the generated tables")
+def test_query_recovers_roles(spark):
+    """Roles of the table's turns, and of those alone that have no mark in the transcript."""
+    truth = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("conv_id", "turn", "role", "pmod(xxhash64(conv_id, turn), 8) = 0 AS bare").collect()
+    chats = {}
+    for r in sorted(registry.op7_chat(spark, SF).collect(), key=lambda r: r.block):
+        chats.setdefault(r.conv_id, []).extend(r.roles.split(",") if r.roles else [])
+    by_conv = {}
+    for r in sorted(truth, key=lambda r: r.turn):
+        by_conv.setdefault(r.conv_id, []).append(r)
+    assert set(chats) == set(by_conv)
+    right = {c: len(chats[c]) == len(t) and [x.role for x in t] == chats[c] for c, t in by_conv.items()}
+    bare = [chats[c][k] == x.role for c, t in by_conv.items() if len(chats[c]) == len(t) for k, x in enumerate(t) if x.bare]
+    assert np.mean(list(right.values())) > 0.97 and len(bare) > 20 and np.mean(bare) > 0.95
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the generated tables")
+def test_query_finds_most_neighbours(spark):
+    """Recall of the query on the table of sf0.1, against brute force."""
+    folder = SF.replace("0.01", "0.1")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mine = {}
+    for r in registry.op5_neighbours(spark, folder).collect():
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    found = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        cos = x @ x[q]
+        cos[q] = -2
+        best = ids[np.lexsort((ids, -cos))[:5]]
+        found += len(mine[ids[q]] & set(best.tolist()))
+        total += 5
+    assert found / total >= 0.9
+
+
+def test_all_leaves_can_be_walked():
+    forest = fit_forest(np.random.default_rng(1).normal(size=(500, 8)), 3, 4)
+    leaves = list(forest.walk(np.zeros(8, np.float32)))
+    assert sorted(leaves) == [(t, k) for t in range(3) for k in range(16)]
+
+
 def test_nearest(spark, monkeypatch):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1500, 16))

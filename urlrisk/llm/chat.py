@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import materialize, runs
 
@@ -71,9 +73,8 @@ def split_marker(line: str) -> tuple[str | None, str]:
     return None, line
 
 
-def emissions(line: str, first: bool) -> np.ndarray:
-    """Log weight of the line in each state; ``first``: it is the first of its source row."""
-    role, rest = split_marker(line)
+@lru_cache(maxsize=None)  # at most a few hundred combinations of features
+def _weights(role: str | None, first: bool, asks: bool, answers: bool, lists: bool, long: bool, instructs: bool) -> np.ndarray:
     out = np.zeros(_S)
     for k, (r, begins) in enumerate(STATES[:BEFORE]):
         if role:
@@ -81,15 +82,19 @@ def emissions(line: str, first: bool) -> np.ndarray:
         elif begins:
             out[k] += np.log(0.15)
         out[k] += np.log((0.9 if first else 0.1) if begins else (0.02 if first else 0.98))
-        if r == "user" and rest.rstrip().endswith("?"):
-            out[k] += 1.0
-        if r == "assistant":
-            out[k] += 1.5 * (_assistant_start.match(rest) is not None) + 0.5 * (_list_line.match(rest) is not None) + 0.3 * (len(rest) > 400)
-        if r == "system" and _system_start.match(rest):
-            out[k] += 2.0
+        out[k] += {"user": 1.0 * asks, "assistant": 1.5 * answers + 0.5 * lists + 0.3 * long, "system": 2.0 * instructs}[r]
+    out.flags.writeable = False
     return out
 
 
+def emissions(line: str, first: bool) -> np.ndarray:
+    """Log weight of the line in each state; ``first``: it is the first of its source row."""
+    role, rest = split_marker(line)
+    return _weights(
+        role, first, rest.rstrip().endswith("?"), _assistant_start.match(rest) is not None, _list_line.match(rest) is not None, len(rest) > 400, _system_start.match(rest) is not None
+    )
+
+
 def block_matrix(e: list[np.ndarray]) -> np.ndarray:
     """Best score from each state before the lines to each state of the last one."""
     m = TRANSITIONS + e[0]
@@ -169,6 +174,34 @@ def _ends(nodes: DataFrame, fan: int) -> DataFrame:
     return _dealt(both, "up", "block", "m", "before", "last").mapInArrow(descend, "conv_id long, block long, before int, last int")
 
 
+def _cut_crowded(rows: DataFrame, span: int) -> DataFrame:
+    """``rows(conv_id, turn, text, block)`` with blocks of more than ``2 * span`` rows cut
+    into blocks of at most ``span``, and room in the numbers for these.
+
+    Rows of crowded blocks are sorted over all tasks, so that one block of very many rows
+    is cut where it stands; what is counted is one number for each block."""
+    counts = materialize(rows.groupBy("conv_id", "block").count(), "block_sizes")
+    crowded = counts.where(F.col("count") > 2 * span).select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"))
+    if crowded.isEmpty():
+        return rows
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))
+    calm = rows.join(crowded, same, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    full = rows.join(crowded, same, "left_semi").withColumn("n", F.monotonically_increasing_id())
+    full = full.repartitionByRange("conv_id", "block", "turn", "text", "n").sortWithinPartitions("conv_id", "block", "turn", "text", "n")
+    place = F.monotonically_increasing_id()  # the task, and the row within it
+    full = full.select("conv_id", "turn", "text", "block", F.shiftright(place, 33).alias("task"), place.bitwiseAND((1 << 33) - 1).alias("nth"))
+    full = materialize(full, "crowded")
+    tasks = full.groupBy("conv_id", "block", "task").agg(F.min("nth").alias("low"), F.ceil(F.count("*") / span).alias("pieces"))
+    tasks = tasks.withColumn("before", F.sum("pieces").over(Window.partitionBy("conv_id", "block").orderBy("task")) - F.col("pieces"))
+    tasks = materialize(tasks, "pieces")
+    most = tasks.agg(F.max(F.col("before") + F.col("pieces"))).first()[0]
+    near = F.col("f.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("f.block") == F.col("t.block")) & (F.col("f.task") == F.col("t.task"))
+    piece = F.col("before") + F.floor((F.col("nth") - F.col("low")) / span)
+    full = full.alias("f").join(tasks.alias("t"), near).select("f.conv_id", "turn", "text", "f.block", piece.cast("long").alias("piece"))
+    out = calm.unionByName(full)
+    return out.select("conv_id", "turn", "text", (F.col("block") * most + F.col("piece")).alias("block"))
+
+
 def format_chats(
     transcripts: DataFrame, span: int = SPAN, fan: int = FAN, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text"
 ) -> DataFrame:
@@ -180,8 +213,11 @@ def format_chats(
     (joined by commas) are those of the turns that begin in it. ``chat`` is the canonical
     form: ``<|role|>`` and a newline where a turn begins, then its lines without markers,
     each with a newline; the blocks of a conversation, joined in order, are its chat.
-    Null and empty texts are one empty line; a null order comes first, in the first block;
-    rows of a null id are one conversation; repeated rows are repeated lines. No rows give
+    Null and empty texts are one empty line; a null order comes first, in the first
+    block; rows of a null id are one conversation; repeated rows are repeated lines. Where
+    repeated or null order values give a block over ``2 * span`` rows, it is cut into
+    blocks of at most ``span`` consecutive rows (by order and text), so no block grows
+    with the data; numbers of blocks ascend but need not follow one another. No rows give
     no rows; other columns are ignored.
     """
     rows = transcripts.select(
@@ -189,6 +225,7 @@ def format_chats(
     )
     lowest = rows.agg(F.min("turn")).first()[0] or 0
     rows = rows.withColumn("block", F.coalesce(F.floor((F.col("turn") - lowest) / span).cast("long"), F.lit(0).cast("long")))
+    rows = _cut_crowded(rows, span)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, block), own in runs(batches, 2):
