@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches
+from ._common import map_batches, materialize, unused
 
 #: What each position of a feature vector says of a text.
 FEATURES = (
@@ -93,35 +94,40 @@ class Discriminant:
 def fit_discriminant(labelled: DataFrame, shrinkage: float = 0.1, to_pooled: float = 0.2) -> Discriminant | None:
     """Fit on all rows of ``labelled(x array<double>, y int)``, or None if a class is empty.
 
-    Spark sums counts, values and products per class (a fixed number of sums, whatever the
-    number of rows); the driver gets those sums. A class covariance is drawn towards the
+    Spark sums counts and values, then products of centred values, per class (a fixed number
+    of sums, whatever the number of rows); the driver gets those sums. A class covariance is drawn towards the
     pooled one by ``to_pooled`` and then towards its own mean variance by ``shrinkage``.
     Rows with a null in either column are left out.
     """
     d = len(FEATURES)
+    rows = labelled.where("x IS NOT NULL AND y IS NOT NULL").select("x", F.col("y").cast("int").alias("y"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, d)
-        y = np.array(batch.column(1).to_pylist(), np.int64)
-        rows = []
-        for c in (0, 1):
-            part = x[y == c]
-            if len(part):
-                rows.append((c, [float(len(part)), *part.sum(axis=0), *(part.T @ part).ravel()]))
-        if not rows:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.list_(pa.float64()))], names=["y", "v"])
+    def sums(of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        """The sum of ``of(rows of a class)`` for each class."""
 
-    rows = labelled.where("x IS NOT NULL AND y IS NOT NULL").select("x", F.col("y").cast("int").alias("y"))
-    sums = map_batches(rows, run, "y int, v array<double>").select("y", F.posexplode("v").alias("k", "v")).groupBy("y", "k").agg(F.sum("v").alias("v"))
-    table = np.zeros((2, 1 + d + d * d))
-    for r in sums.collect():
-        table[r.y, r.k] = r.v
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, d)
+            y = np.array(batch.column(1).to_pylist(), np.int64)
+            parts = [(c, of(x[y == c]).tolist()) for c in (0, 1) if (y == c).any()]
+            if not parts:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([v for _, v in parts], pa.list_(pa.float64()))], names=["y", "v"])
+
+        found = map_batches(rows, run, "y int, v array<double>").select("y", F.posexplode("v").alias("k", "v")).groupBy("y", "k").agg(F.sum("v").alias("v"))
+        table = np.zeros((2, size))
+        for r in found.collect():
+            table[r.y, r.k] = r.v
+        return table
+
+    table = sums(lambda x: np.append(len(x), x.sum(axis=0)), 1 + d)
     n = table[:, 0]
     if (n < 2).any():
         return None
-    means = table[:, 1 : 1 + d] / n[:, None]
-    own = [table[c, 1 + d :].reshape(d, d) / n[c] - np.outer(means[c], means[c]) for c in (0, 1)]
+    means = table[:, 1:] / n[:, None]
+    middle = table[:, 1:].sum(axis=0) / n.sum()
+    # products of what is left of the common mean: those of the values themselves would cancel
+    table = sums(lambda x: ((x - middle).T @ (x - middle)).ravel(), d * d)
+    own = [table[c].reshape(d, d) / n[c] - np.outer(means[c] - middle, means[c] - middle) for c in (0, 1)]
     pooled = (n[0] * own[0] + n[1] * own[1]) / n.sum()
     scale = np.maximum(np.diag(pooled), 1e-6)
     inverses, constants = [], []
@@ -149,8 +155,6 @@ def score_quality(
     class has under two rows every score is 0.5. Null and empty texts are scored as empty
     texts; a null id is not held out and never labelled. Other columns are ignored.
     """
-    from ._common import materialize
-
     table = materialize(document_features(docs, id_col, text_col), "features")
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)")
     model = fit_discriminant(table.where(~held_out("doc_id", folds)).join(marked, "doc_id").select("x", "y"))
@@ -166,8 +170,7 @@ def score_quality(
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``; rows of a null id stay."""
-    from ._common import materialize
-
     scored = score_quality(docs, labels, threshold, id_col, text_col, **how)
-    bad = materialize(scored.where("predicted = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti").select(*docs.columns)
+    i = unused(docs, "bad_id")
+    bad = materialize(scored.where("predicted = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(i)).distinct(), "rejected")
+    return docs.join(bad, F.col(id_col).cast("long") == F.col(i), "left_anti").select(*docs.columns)
