@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from urlrisk.llm import simhash
 from urlrisk.llm.near_copies import MAX_WEIGHT, keep_first, near_copies
 
 
@@ -63,3 +64,11 @@ def test_null_ids_and_empty(spark):
     docs = spark.createDataFrame([(None, base), (None, near), (4, near.replace("word9 ", "w ")), (4, base)], "doc_id long, text string")
     assert [r.doc_id for r in keep_first(docs).orderBy("doc_id").collect()] == [None, None, 4]
     assert keep_first(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("keep", [keep_first, simhash.keep_first])
+def test_one_id_with_several_texts(spark, keep):
+    """Different texts under one id are in different components, so both stay; a row that is there twice stays once."""
+    one, two = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = spark.createDataFrame([(5, one, 1), (5, two, 2), (5, two, 2), (7, one, 3), (8, two, 4)], "doc_id long, text string, _n int")
+    assert sorted((r.doc_id, r.text) for r in keep(docs).collect()) == [(5, one), (5, two)]

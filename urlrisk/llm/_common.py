@@ -94,6 +94,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def keep_rows(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``first(doc_id, h)`` names by their id and the hash of their
+    text, one for each, and those of a null id."""
+    i, h = unused(docs, "first_id"), unused(docs, "first_h")
+    first = materialize(first.select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct(), "kept")
+    same = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
+    kept = docs.join(first, same).dropDuplicates([i, h])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) of each run of rows that agree in the first ``n_keys`` columns; the rows
     must come sorted by them. A run may reach over batches."""

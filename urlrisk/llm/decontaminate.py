@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import map_batches, materialize
+from ._common import map_batches, materialize, unused
 
 _words = re.compile(r"\w+").findall
 #: The bounds of a bitmap: 8 MiB at most.
@@ -238,6 +238,7 @@ def drop_contaminated(
     them; rows of a null or repeated id are told apart by their texts."""
     rows = _texts(docs, id_col, text_col, "doc_id").withColumn("h", F.xxhash64("text"))
     found, _ = _matches(rows, _texts(items, item_id_col, item_text_col, "item_id"), width, threshold)
-    bad = materialize(found.select(F.col("doc_id").alias("_bad"), F.col("h").alias("_h")).distinct(), "contaminated")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_h"))
+    i, h = unused(docs, "bad_id"), unused(docs, "bad_h")
+    bad = materialize(found.select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct(), "contaminated")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
     return docs.join(bad, same, "left_anti").select(*docs.columns)

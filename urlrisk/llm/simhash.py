@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, map_batches, materialize
+from ._common import connected_components, keep_rows, map_batches, materialize
 
 #: Distinct fingerprints that one task compares with each other.
 MAX_BUCKET = 2048
@@ -42,6 +42,17 @@ def _fingerprint(words: list[bytes], width: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def _with_hash(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, h, fp``: as ``fingerprints``, with the hash of the text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [_fingerprint((t or "").encode("utf-8", "surrogatepass").lower().split(), width) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, "<u8").view("<i8"))], names=["doc_id", "h", "fp"])
+
+    text = F.col(text_col).cast("string")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")), run, "doc_id long, h long, fp long")
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, fp long``: the 64-bit SimHash of each whole text, as a signed number.
 
@@ -51,12 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     bit is set if it is set in over half of the hashes. Null and blank texts have the
     fingerprint 0. Null ids and repeated rows are kept; other columns are ignored.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [_fingerprint((t or "").encode("utf-8", "surrogatepass").lower().split(), width) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, "<u8").view("<i8"))], names=["doc_id", "fp"])
-
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
+    return _with_hash(docs, width, id_col, text_col).select("doc_id", "fp")
 
 
 def _signed(x: int) -> int:
@@ -160,6 +166,17 @@ def links(fps: DataFrame, distance: int = 3, max_bucket: int = MAX_BUCKET) -> Da
     return out.distinct()
 
 
+def _grouped(docs: DataFrame, width: int, distance: int, max_bucket: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(table, named)``: ``doc_id, h, fp`` of all documents, and ``fp, root, component_id``."""
+    table = materialize(_with_hash(docs, width, id_col, text_col), "fingerprints")
+    least = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = connected_components(links(least.select("fp"), distance, max_bucket))
+    joined = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = materialize(joined, "roots")
+    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return table, joined.join(groups, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 3, distance: int = 3, max_bucket: int = MAX_BUCKET, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -170,22 +187,17 @@ def near_duplicates(
     names none: if all ids of a component are null, so is its ``component_id``. Repeated
     rows stay; an empty table gives no rows.
     """
-    table = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    least = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(links(least.select("fp"), distance, max_bucket))
-    joined = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = materialize(joined, "roots")
-    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(groups, "root").select("fp", "component_id")
+    table, named = _grouped(docs, width, distance, max_bucket, id_col, text_col)
     return table.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document, that of the smallest id, of each component.
+    """The rows of ``docs`` with one document of each component: that of the smallest id,
+    and of several texts under that id the one with the least hash.
 
-    Rows whose id is null stay, as they can't be named; of rows with the same id one stays.
+    Rows whose id is null stay, as they can't be named; of rows with the same id and text
+    one stays. Rows of one id whose texts are in different components are told apart.
     """
-    first = near_duplicates(docs, width, distance, id_col=id_col, text_col=text_col).where("doc_id = component_id")
-    first = materialize(first.select(F.col("doc_id").alias(id_col)).distinct(), "kept")
-    kept = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    table, named = _grouped(docs, width, distance, MAX_BUCKET, id_col, text_col)
+    firsts = table.join(named, "fp").where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("f"))
+    return keep_rows(docs, firsts.select("f.doc_id", "f.h"), id_col, text_col)
