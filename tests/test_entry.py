@@ -30,7 +30,8 @@ def test_imports_without_the_optional_parts(tmp_path, files):
 def test_other_import_errors_are_raised(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     shutil.copytree(REPO / "urlrisk", tmp_path / "urlrisk", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_nowhere")
+    (tmp_path / "urlrisk/llm").mkdir()
+    (tmp_path / "urlrisk/llm/registry.py").write_text("import a_module_that_is_nowhere")
     out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert "a_module_that_is_nowhere" in out.stderr
 

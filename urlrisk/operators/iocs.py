@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SEVERITIES = ("low", "medium", "high", "critical")
 _MATCH = ("indicator", "indicator_type", "source", "severity", "description")
@@ -63,8 +62,9 @@ def upsert_iocs(iocs: DataFrame, updates: DataFrame, order_col: str = "seq") ->
     """The table after the updates, in the columns of ``IOC``.
 
     Indicator, type and severity of an update are trimmed and lower-cased. The last update
-    of an indicator by ``order_col`` replaces its row under a new id and the time of the
-    run; source and severity default to ``community`` and ``high``.
+    of an indicator by ``order_col`` (ties: the report that sorts last) replaces its row
+    under a new id and the time of the run; source and severity default to ``community``
+    and ``high``.
     """
     top = iocs.agg(F.max("id")).first()[0] or 0
     clean = updates.select(
@@ -74,7 +74,9 @@ def upsert_iocs(iocs: DataFrame, updates: DataFrame, order_col: str = "seq") ->
         F.coalesce(F.lower(F.trim("severity")), F.lit("high")).alias("severity"),
         "description",
     )
-    last = clean.withColumn("_n", F.row_number().over(Window.partitionBy("indicator").orderBy(F.desc("_seq")))).where("_n = 1").drop("_n")
+    # a maximum is found in part where the reports are read, so no indicator is a hot key
+    rest = ("indicator_type", "source", "severity", "description")
+    last = clean.groupBy("indicator").agg(F.max("_seq").alias("_seq"), F.max_by(F.struct(*rest), F.struct("_seq", *rest)).alias("r")).select("_seq", "indicator", "r.*")
     # new ids follow the order of the updates, as inserts one by one would give them
     fresh = last.select((F.col("_seq") + F.lit(top)).cast("long").alias("id"), "indicator", "indicator_type", "source", "severity", "description", F.current_timestamp().alias("created_at"))
     kept = iocs.join(fresh.select("indicator"), "indicator", "left_anti").select(*fresh.columns)

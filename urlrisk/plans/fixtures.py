@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: URLs of many kinds over ``pages``.
 URL_CORPUS = """
 SELECT page_id AS url_id,
-       CASE CAST(page_id % 25 AS INT)
+       CASE CAST(page_id % 30 AS INT)
          WHEN 0  THEN concat('http://192.168.', CAST(page_id % 256 AS STRING), '.', CAST(page_id % 7 AS STRING), '/login')
          WHEN 1  THEN concat('https://paypa1.com/login?id=', CAST(page_id AS STRING))
          WHEN 2  THEN concat('https://micros0ft-login.com/', CAST(page_id AS STRING))
@@ -31,6 +31,11 @@ SELECT page_id AS url_id,
          WHEN 20 THEN '   '
          WHEN 21 THEN concat('https://a-quite-long-host-name-for-this-table', CAST(page_id AS STRING), '.example-hosting.net/a')
          WHEN 22 THEN concat('https://example.com/q9Zx7Lk2Vb8Nw4Rt6Yp1Jm3/Hd5Gs0Fa', CAST(page_id AS STRING))
+         WHEN 25 THEN concat('http://[2001:DB8::00', hex(16 + page_id % 200), ']:8080/login')
+         WHEN 26 THEN CASE WHEN page_id % 4 < 2 THEN concat('http://shop', CAST(page_id AS STRING), '.xn--mchen-kva.de/') ELSE 'http://xn--pple-43d.com/' END
+         WHEN 27 THEN concat('http://сосо', CAST(page_id AS STRING), '.рф/')
+         WHEN 28 THEN concat('https://a.shop', CAST(page_id AS STRING), '.city.ck/x')
+         WHEN 29 THEN concat('https://b', CAST(page_id AS STRING), '.www.ck/x')
          ELSE url
        END AS url
 FROM pages
@@ -44,12 +49,15 @@ FROM (SELECT conv_id, turn, text, (conv_id * 31 + turn) % (SELECT count(*) FROM
 LEFT JOIN url_corpus p ON p.url_id = c.quoted
 """
 
-#: Reports of hosts, with a number that orders them.
+#: A report for each page, of its host or of one of few large sites, with a number that
+#: orders them; the last report of a host counts.
 IOC_FEED = """
-SELECT min(page_id) AS seq, regexp_extract(url, '://([^/?#:]+)', 1) AS indicator, 'domain' AS indicator_type,
-       'community' AS source, 'high' AS severity, 'spam host' AS description
-FROM pages WHERE regexp_extract(url, '://([^/?#:]+)', 1) LIKE '%-%'
-GROUP BY regexp_extract(url, '://([^/?#:]+)', 1)
+SELECT page_id AS seq,
+       CASE WHEN page_id % 3 = 0 THEN concat('site', CAST(page_id % 7 AS STRING), '.test') ELSE regexp_extract(url, '://([^/?#:]+)', 1) END AS indicator,
+       'domain' AS indicator_type, CASE WHEN page_id % 2 = 0 THEN 'community' ELSE 'partner' END AS source,
+       CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity,
+       concat('report ', CAST(page_id AS STRING)) AS description
+FROM pages
 """
 
 #: Ten URLs for each event, on few hosts.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from urlrisk import config as C
 from urlrisk.plans.fixtures import IOC_FEED, MESSAGES, URL_CORPUS
 
@@ -21,7 +23,9 @@ _KEYWORDS = [
 _TRUSTED = [(i, d, d.split(".")[0]) for i, d in enumerate(C.TRUSTED_DOMAINS)]
 _BRANDS = [(i, b, d) for i, (b, ds) in enumerate(C.BRAND_DOMAINS.items()) for d in ds]
 _SEEDS = [(i + 1, *r) for i, r in enumerate(C.DEFAULT_IOCS)]
-_LOOKS = list(enumerate(C.HOMOGLYPH_FROM))
+_LOOKS = [(i, c, f"'{c}' ({unicodedata.name(c)})") for i, c in enumerate(C.HOMOGLYPH_FROM)]
+#: The encoded labels of the corpus, decoded.
+_DECODED = [("xn--mchen-kva", "müchen"), ("xn--pple-43d", "аpple")]
 
 #: Each later part may use the earlier ones.
 PARTS = {
@@ -31,7 +35,8 @@ PARTS = {
     "keywords(kind, pos, keyword)": _rows(_KEYWORDS),
     "tlds(pos, tld)": _rows(list(enumerate(C.SUSPICIOUS_TLDS))),
     "seeds(id, indicator, indicator_type, source, severity, description)": _rows(_SEEDS),
-    "rules(rule)": _rows([(r,) for r in C.SUFFIX_RULES if r[0] not in "*!"]),
+    "rules(rule, kind)": _rows([(r.lstrip("!"), "exception" if r[0] == "!" else "wildcard" if r[0] == "*" else "normal") for r in C.SUFFIX_RULES]),
+    "decoded(code, plain)": _rows(_DECODED),
     "advice(classification, recommendation)": _rows(list(C.RECOMMENDATIONS.items())),
     "raw": r"""SELECT url_id, regexp_replace(url, '^\s+|\s+$', '', 'g') AS original_url FROM url_corpus""",
     "c1": r"""SELECT *, CASE WHEN regexp_matches(original_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN original_url ELSE 'http://' || original_url END AS w FROM raw""",
@@ -39,24 +44,27 @@ PARTS = {
         regexp_extract(w, '^[^:]+://[^/?#]*([^#]*)', 1) AS tail FROM c1""",
     "c3": r"""SELECT *, regexp_replace(regexp_extract(tail, '^[^?]*'), ';[^/]*$', '') AS p,
         CASE WHEN position('?' IN tail) > 0 THEN substr(tail, position('?' IN tail) + 1) ELSE '' END AS q, regexp_extract(netloc, '[^@]*$') AS hostinfo,
-        (netloc LIKE '%[%') <> (netloc LIKE '%]%') AS broken FROM c2""",
-    "c4": r"""SELECT *, CASE WHEN hostinfo LIKE '%:%' THEN regexp_extract(hostinfo, '^[^:]*:(.*)$', 1) ELSE '' END AS port_text, original_url = '' OR broken AS dead FROM c3""",
+        (netloc LIKE '%[%') <> (netloc LIKE '%]%') AS broken, netloc LIKE '%[%]%' AS v6 FROM c2""",
+    "c4": r"""SELECT *, CASE WHEN v6 THEN regexp_extract(hostinfo, '\]:(.*)$', 1) WHEN hostinfo LIKE '%:%' THEN regexp_extract(hostinfo, '^[^:]*:(.*)$', 1) ELSE '' END AS port_text, original_url = '' OR broken AS dead FROM c3""",
     "c5": r"""SELECT *, port_text <> '' AND (NOT regexp_matches(port_text, '^[0-9]+$') OR TRY_CAST(port_text AS BIGINT) > 65535) AS bad_port FROM c4""",
-    "c6": r"""SELECT *, CASE WHEN dead THEN '' WHEN bad_port OR split_part(hostinfo, ':', 1) = '' THEN lower(split_part(netloc, ':', 1)) ELSE lower(split_part(hostinfo, ':', 1)) END AS hostname FROM c5""",
+    "c6": r"""SELECT *, CASE WHEN dead THEN '' WHEN v6 THEN lower(regexp_extract(hostinfo, '\[([^\]]*)', 1)) WHEN bad_port OR split_part(hostinfo, ':', 1) = '' THEN lower(split_part(netloc, ':', 1)) ELSE lower(split_part(hostinfo, ':', 1)) END AS hostname FROM c5""",
     "norm": r"""SELECT url_id, original_url, CASE WHEN dead THEN '' ELSE scheme END AS scheme, hostname,
         CASE WHEN dead THEN '' WHEN p = '' THEN '/' ELSE p END AS path, CASE WHEN dead THEN '' ELSE q END AS query,
         CASE WHEN hostname <> '' AND NOT bad_port THEN TRY_CAST(port_text AS INT) END AS port,
-        regexp_matches(hostname, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$') AND len(list_filter(string_split(hostname, '.'), lambda x: TRY_CAST(x AS INT) > 255)) = 0 AS is_ip,
+        v6 OR regexp_matches(hostname, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$') AND len(list_filter(string_split(hostname, '.'), lambda x: TRY_CAST(x AS INT) > 255)) = 0 AS is_ip,
         hostname <> '' AS is_valid,
         CASE WHEN original_url = '' THEN 'Empty URL provided' WHEN broken THEN 'Malformed URL: Invalid IPv6 URL' WHEN hostname = '' THEN 'Could not determine hostname from URL' END AS error,
         dead FROM c6""",
     "canon": r"""SELECT url_id, CASE WHEN dead THEN original_url ELSE scheme || '://' || hostname
         || CASE WHEN port > 0 AND ((scheme = 'http' AND port <> 80) OR (scheme = 'https' AND port <> 443)) THEN ':' || port ELSE '' END
         || path || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS normalized_url FROM norm""",
-    "hosts": r"""SELECT DISTINCT hostname, is_ip, string_split(hostname, '.') AS labels FROM norm WHERE is_valid""",
+    "hosts": r"""SELECT DISTINCT hostname, is_ip, CASE WHEN is_ip THEN regexp_replace(hostname, ':0+([0-9a-f])', ':\1', 'g') END AS ip_address, string_split(hostname, '.') AS labels FROM norm WHERE is_valid""",
+    "idn": r"""SELECT hostname, regexp_matches(hostname, '[^\x00-\x7F]') OR contains(hostname, 'xn--') AS is_punycode, coalesce(max(replace(hostname, code, plain)), hostname) AS unicode_domain
+        FROM hosts LEFT JOIN decoded ON contains(hostname, code) GROUP BY hostname""",
     "tails": r"""SELECT hostname, k, array_to_string(labels[len(labels) - k + 1 : len(labels)], '.') AS tail FROM (SELECT hostname, labels, unnest(range(1, len(labels) + 1)) AS k FROM hosts WHERE NOT is_ip)""",
-    "best": r"""SELECT hostname, max(k) AS n_suffix FROM tails JOIN rules ON tail = rule GROUP BY hostname""",
-    "dom": r"""SELECT hostname, is_ip, CASE WHEN is_ip OR whole THEN hostname ELSE array_to_string(labels[greatest(len(labels) - keep + 1, 1) : len(labels)], '.') END AS registered_domain,
+    "keyed": r"""SELECT hostname, k, tail AS rule FROM tails UNION ALL SELECT hostname, k + 1, '*.' || tail FROM tails""",
+    "best": r"""SELECT hostname, coalesce(max(k) FILTER (WHERE kind = 'exception') - 1, max(k)) AS n_suffix FROM keyed JOIN rules USING (rule) JOIN hosts USING (hostname) WHERE k <= len(labels) GROUP BY hostname""",
+    "dom": r"""SELECT hostname, is_ip, CASE WHEN is_ip THEN ip_address WHEN whole THEN hostname ELSE array_to_string(labels[greatest(len(labels) - keep + 1, 1) : len(labels)], '.') END AS registered_domain,
         CASE WHEN is_ip OR whole OR len(labels) <= keep THEN '' ELSE array_to_string(labels[1 : len(labels) - keep], '.') END AS subdomain
         FROM (SELECT h.*, len(labels) <= coalesce(n_suffix, 1) AS whole, CASE WHEN n_suffix IS NULL THEN 2 ELSE n_suffix + 1 END AS keep FROM hosts h LEFT JOIN best USING (hostname))""",
     "full_rows": r"""SELECT n.*, d.registered_domain, d.subdomain, c.normalized_url, split_part(d.registered_domain, '.', 1) AS label FROM norm n JOIN dom d USING (hostname) JOIN canon c USING (url_id) WHERE n.is_valid""",
@@ -93,10 +101,12 @@ PARTS = {
         UNION SELECT rd, t.pos, 3, t.domain FROM texts JOIN dist ON a = text JOIN trusted t ON t.sld = b WHERE is_chunk AND d <= CASE WHEN length(b) <= 6 THEN 1 ELSE 2 END
         UNION SELECT rd, t.pos, 3, t.domain FROM texts JOIN trusted t ON translate(text, '013458@$', 'oleasbas') = t.sld WHERE is_chunk""",
     "typo": r"""SELECT registered_domain, arg_min(domain, pos * 10 + rule) AS domain, arg_min(rule, pos * 10 + rule) AS rule FROM similar_rows GROUP BY 1""",
-    "looks(pos, ch)": _rows(_LOOKS),
-    "mixed": r"""SELECT DISTINCT hostname FROM (SELECT hostname, unnest(labels) AS label FROM hosts WHERE NOT is_ip)
+    "looks(pos, ch, called)": _rows(_LOOKS),
+    "mixed": r"""SELECT DISTINCT hostname FROM (SELECT hostname, unnest(string_split(unicode_domain, '.')) AS label FROM hosts JOIN idn USING (hostname) WHERE NOT is_ip)
         WHERE regexp_matches(label, '[A-Za-zÀ-ÖØ-öø-ʸ]') AND regexp_matches(label, '[Ͱ-ͳͶͷͻ-ͽͿΆΈ-ϿЀ-ҁҊ-ԯ]')""",
     "folded": f"""SELECT hostname, registered_domain, translate(registered_domain, '{C.HOMOGLYPH_FROM}', '{C.HOMOGLYPH_TO}') AS imitated FROM dom WHERE NOT is_ip""",
+    "alike": r"""SELECT hostname, array_to_string(list(called ORDER BY place)[1:3], ', ') AS characters FROM (SELECT hostname, called, position(ch IN unicode_domain) AS place
+        FROM hosts JOIN idn USING (hostname) JOIN looks ON contains(unicode_domain, ch) WHERE NOT is_ip AND hostname NOT IN (SELECT hostname FROM mixed)) GROUP BY hostname""",
     # brands
     "not_own": r"""SELECT d.hostname, lower(d.registered_domain) AS rd, lower(d.subdomain) AS sub, split_part(lower(d.registered_domain), '.', 1) AS label, b.pos, b.brand
         FROM dom d, (SELECT DISTINCT pos, brand FROM brands) b WHERE NOT d.is_ip
@@ -121,8 +131,9 @@ PARTS = {
         UNION ALL SELECT url_id, 1, 'Typosquatting', 'high', CASE rule WHEN 3 THEN 'Domain contains typosquatted variation of trusted domain ' || t.domain
             WHEN 2 THEN 'Domain is highly similar to trusted domain ' || t.domain || ' via character substitution' ELSE 'Domain is highly similar to trusted domain ' || t.domain END, 15
             FROM full_rows f JOIN typo t ON t.registered_domain = lower(f.registered_domain)
-        UNION ALL SELECT url_id, 2, 'Punycode domain detected', 'medium', 'Domain uses Punycode encoding (' || hostname || ' -> ' || hostname || ')', 8 FROM full_rows WHERE regexp_matches(hostname, '[^\x00-\x7F]')
+        UNION ALL SELECT url_id, 2, 'Punycode domain detected', 'medium', 'Domain uses Punycode encoding (' || hostname || ' -> ' || unicode_domain || ')', 8 FROM full_rows JOIN idn USING (hostname) WHERE is_punycode AND NOT is_ip
         UNION ALL SELECT url_id, 3, 'Mixed-script domain spoofing', 'high', 'Domain contains characters from multiple scripts that may imitate a trusted domain', 15 FROM full_rows JOIN mixed USING (hostname)
+        UNION ALL SELECT url_id, 3, 'Homoglyph characters detected', 'medium', 'Domain contains characters visually resembling Latin characters: ' || characters, 8 FROM full_rows JOIN alike USING (hostname)
         UNION ALL SELECT url_id, 4, 'Homoglyph brand impersonation', 'high', 'Homoglyph-normalized domain ''' || imitated || ''' imitates trusted domain ''' || domain || '''', 15
             FROM full_rows JOIN folded USING (hostname) JOIN trusted ON domain = imitated WHERE imitated <> folded.registered_domain
         UNION ALL SELECT url_id, 5, CASE WHEN length(label) >= 8 AND h_label >= 3.8 THEN 'High entropy hostname' ELSE 'High entropy subdomain' END, 'low',
@@ -164,6 +175,12 @@ PARTS = {
     "messages": MESSAGES,
     "msg_urls": r"""SELECT msg_id, unnest(list_transform(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9+.-]*://[^\s<>"'']+'), lambda u, i: struct_pack(pos := i - 1, url := regexp_replace(u, '[.,;:!?)\]}]+$', '')))) AS e FROM messages""",
     "ioc_feed": IOC_FEED,
+    "ioc_last": r"""SELECT max(seq) AS seq, indicator, arg_max(indicator_type, seq) AS indicator_type, arg_max(source, seq) AS source, arg_max(severity, seq) AS severity, arg_max(description, seq) AS description FROM ioc_feed GROUP BY indicator""",
+    "ioc_after": r"""SELECT CAST(4 + seq AS BIGINT) AS id, indicator, indicator_type, source, severity, description FROM ioc_last
+        UNION ALL SELECT id, indicator, indicator_type, source, severity, description FROM seeds WHERE indicator NOT IN (SELECT indicator FROM ioc_last)""",
+    "shown": r"""SELECT url_id, to_json(struct_pack(risk_score := risk_score, risk_level := risk_level, classification := classification, confidence := confidence, known_ioc := known_ioc,
+        signals := CASE WHEN signals = '' THEN [] ELSE list_transform(string_split(signals, ';'), lambda s: struct_pack(name := split_part(s, '|', 1), severity := split_part(s, '|', 2), evidence := split_part(s, '|', 3))) END,
+        recommendation := recommendation)) AS verdict FROM verdicts""",
 }
 
 
@@ -181,30 +198,31 @@ SELECTS = {
     "ioc_seed": "SELECT s.id, s.indicator, s.severity, count(i.url_id) AS n_urls FROM seeds s LEFT JOIN ioc i USING (id) GROUP BY ALL",
     "brand_domains": "SELECT b.pos, b.brand, b.legit_domain, count(f.url_id) AS n_urls FROM brands b LEFT JOIN full_rows f ON lower(f.registered_domain) = b.legit_domain GROUP BY ALL",
     "normalize_components": "SELECT url_id, original_url, scheme, hostname, path, query, port, is_valid FROM norm",
-    "host_ip": "SELECT hostname, is_ip, CASE WHEN is_ip THEN hostname END AS ip_address FROM hosts",
+    "host_ip": "SELECT hostname, is_ip, ip_address FROM hosts",
+    "idn_hosts": "SELECT hostname, is_punycode, unicode_domain FROM idn",
+    "verdict_json": "SELECT url_id, CAST(verdict AS VARCHAR) AS verdict FROM shown",
     "registered_domain": "SELECT hostname, registered_domain, subdomain FROM dom",
     "canonical_url": "SELECT url_id, normalized_url FROM canon",
     "malformed": "SELECT url_id, original_url, error FROM norm WHERE NOT is_valid",
     "ioc_candidates": "SELECT url_id, CAST(pos AS INT) AS pos, candidate FROM cand",
     "ioc_match": "SELECT url_id, indicator, indicator_type, source, severity, description FROM ioc_rows",
-    "ioc_upsert": """SELECT CAST(4 + seq AS BIGINT) AS id, indicator, indicator_type, source, severity, description FROM ioc_feed
-        UNION ALL SELECT id, indicator, indicator_type, source, severity, description FROM seeds WHERE indicator NOT IN (SELECT indicator FROM ioc_feed)""",
-    "ioc_top": """SELECT id, indicator, source, severity FROM (SELECT CAST(4 + seq AS BIGINT) AS id, indicator, source, severity FROM ioc_feed
-        UNION ALL SELECT id, indicator, source, severity FROM seeds WHERE indicator NOT IN (SELECT indicator FROM ioc_feed)) ORDER BY id DESC LIMIT 5""",
+    "ioc_upsert": "SELECT id, indicator, indicator_type, source, severity, description FROM ioc_after",
+    "ioc_report_stream": "SELECT indicator, indicator_type, source, severity, description FROM ioc_after",
+    "ioc_top": "SELECT id, indicator, source, severity FROM ioc_after ORDER BY id DESC LIMIT 5",
     "ioc_signals": "SELECT url_id, name, severity, evidence FROM sig WHERE ord = 0",
     "trusted_flag": "SELECT url_id, is_trusted FROM flags",
     "typosquat_direct": "SELECT registered_domain, pos, domain FROM similar_rows WHERE rule = 1",
     "typosquat_leet": "SELECT registered_domain, pos, domain FROM similar_rows WHERE rule = 2",
     "typosquat_combo": "SELECT registered_domain, pos, domain FROM similar_rows WHERE rule = 3",
     "typosquat": "SELECT registered_domain, domain, rule FROM typo",
-    "punycode": "SELECT hostname, regexp_matches(hostname, '[^\\x00-\\x7F]') AS is_punycode FROM hosts",
+    "punycode": "SELECT hostname, unicode_domain FROM hosts JOIN idn USING (hostname) WHERE NOT is_ip AND is_punycode",
     "mixed_script": "SELECT hostname FROM mixed",
-    "homoglyph_chars": "SELECT hostname, string_agg(ch, '' ORDER BY place) AS characters FROM (SELECT hostname, ch, min(place) AS place FROM (SELECT hostname, ch, position(ch IN hostname) AS place FROM hosts JOIN looks ON contains(hostname, ch)) GROUP BY ALL) GROUP BY hostname",
+    "homoglyph_chars": "SELECT hostname, characters FROM alike",
     "homoglyph_brand": "SELECT hostname, imitated FROM folded JOIN trusted ON domain = imitated WHERE imitated <> registered_domain",
     "brand_subdomain": "SELECT hostname, brand, rd FROM brand_rows WHERE rule = 1",
     "brand_sld": "SELECT hostname, brand, rd, lure FROM brand_rows WHERE rule = 2",
     "brand": "SELECT url_id, name, severity, evidence FROM sig WHERE ord = 21",
-    "entropy": "SELECT hostname, round(coalesce(max(h), 0), 2) AS h FROM (SELECT d.hostname, e.h FROM dom d LEFT JOIN ent e ON e.s = split_part(d.registered_domain, '.', 1)) GROUP BY hostname",
+    "entropy": "SELECT hostname, coalesce(max(h), 0) AS h FROM (SELECT d.hostname, e.h FROM dom d LEFT JOIN ent e ON e.s = split_part(d.registered_domain, '.', 1)) GROUP BY hostname",
     "entropy_host": _SIG + "5",
     "entropy_path": _SIG + "6",
     **{
@@ -223,6 +241,7 @@ SELECTS = {
     "recommendation": "SELECT url_id, recommendation FROM classed JOIN advice USING (classification)",
     "malformed_verdict": f"SELECT {VERDICT} FROM verdicts WHERE starts_with(signals, 'Malformed URL|')",
     "verify_urls": f"SELECT {VERDICT} FROM verdicts",
+    "verify_stream": f"SELECT {VERDICT} FROM verdicts",
     "message_risk": """SELECT msg_id, count(*) AS n_urls, CAST(sum(n_signals) AS BIGINT) AS n_signals, max(risk_score) AS worst_score, arg_max(risk_level, risk_score * 1000000 - url_id) AS worst_level,
         arg_max(url_id, risk_score * 1000000 - url_id) AS worst_url_id FROM verdicts JOIN (SELECT DISTINCT m.msg_id, p.url_id FROM msg_urls m JOIN url_corpus p ON trim(p.url) = m.e.url) USING (url_id) GROUP BY msg_id""",
     "campaign_rollup": """SELECT registered_domain, risk_level, count(*) AS n_urls, count(*) FILTER (WHERE known_ioc) AS n_iocs, round(avg(risk_score), 4) AS mean_score, max(risk_score) AS max_score

@@ -13,14 +13,14 @@ from urlrisk.functions.text import entropy
 from urlrisk.operators.brand import brand_hits
 from urlrisk.operators.entropy import host_entropy_signal, path_entropy_signal
 from urlrisk.operators.heuristics import host_heuristics, url_heuristics
-from urlrisk.operators.homoglyph import imitated, is_mixed
+from urlrisk.operators.homoglyph import imitated, is_mixed, look_alikes
 from urlrisk.operators.iocs import ioc_candidates, ioc_signal, list_iocs, match_iocs, upsert_iocs
 from urlrisk.operators.normalize import decode_idn, distinct_hosts, host_table, normalize_urls, registered_domains, split_malformed
 from urlrisk.operators.scoring import LURES, classify, confidence, judge, malformed_verdicts, recommend, risk_level, risk_score, severity_counts, suppress_trusted
 from urlrisk.operators.typosquat import first_resemblance, flag_trusted, similar_domains
 from urlrisk.plans import fixtures, oracles
 from urlrisk.plans.verify import campaign_rollup, message_risk, signal_table, verify_urls
-from urlrisk.sources.reference import References, default_iocs, load_iocs, reference_tables
+from urlrisk.sources.reference import References, default_iocs, load_iocs, reference_tables, suffix_table
 from urlrisk.sources.scratch import written
 from urlrisk.sources.urls import extract_urls, split_accepted, verdict_json
 from urlrisk.streaming.streams import current_iocs, ioc_report_stream, stream_of, verify_stream
@@ -37,7 +37,7 @@ class Run:
 
     @property
     def refs(self) -> References:
-        return reference_tables(self.spark)
+        return reference_tables(self.spark, suffix_rules=suffix_table(self.spark))  # a list that the oracles hold as well
 
     @property
     def iocs(self) -> DataFrame:
@@ -136,11 +136,8 @@ def _similar(rule: int) -> Callable[[Run], DataFrame]:
 
 
 def homoglyph_chars(r: Run) -> DataFrame:
-    from urlrisk.config import HOMOGLYPH_FROM
-    from urlrisk.functions.text import literal_array
-
-    found = F.array_distinct(F.filter(F.split("hostname", ""), lambda c: F.array_contains(literal_array(list(HOMOGLYPH_FROM)), c)))
-    return r.hosts.select("hostname", F.array_join(found, "").alias("characters")).where("characters <> ''")
+    found = r.hosts.where("NOT is_ip").where(~is_mixed("unicode_domain"))
+    return found.select("hostname", F.array_join(look_alikes("unicode_domain"), ", ").alias("characters")).where("characters <> ''")
 
 
 def homoglyph_brand(r: Run) -> DataFrame:
@@ -175,7 +172,7 @@ def message_risks(r: Run) -> DataFrame:
 
 
 def campaigns(r: Run) -> DataFrame:
-    return campaign_rollup(r.verdicts, r.norm.where("is_valid").join(r.hosts.select("hostname", "registered_domain"), "hostname").select("url_id", "registered_domain"))
+    return campaign_rollup(verify_urls(r.urls, r.iocs, r.refs, CFG, with_domain=True))
 
 
 def _folder(r: Run, name: str) -> str:
@@ -194,7 +191,7 @@ def streamed_verdicts(r: Run) -> DataFrame:
 
 def streamed_iocs(r: Run) -> DataFrame:
     folder = _folder(r, "reports")
-    stream = stream_of(r.spark, r.updates, f"{folder}/reports", files=2)
+    stream = stream_of(r.spark, r.updates, f"{folder}/reports", key="indicator", order_col="seq")
     ioc_report_stream(stream, f"{folder}/iocs", default_iocs(r.spark), f"{folder}/state").awaitTermination()
     return current_iocs(r.spark, f"{folder}/iocs", default_iocs(r.spark)).select("indicator", "indicator_type", "source", "severity", "description")
 
@@ -221,14 +218,14 @@ BUILDERS: dict[str, Callable[[Run], DataFrame]] = {
     "typosquat_leet": _similar(2),
     "typosquat_combo": _similar(3),
     "typosquat": lambda r: first_resemblance(similar_domains(r.names, r.refs.trusted, CFG)),
-    "punycode": lambda r: r.hosts.select("hostname", "is_punycode"),
+    "punycode": lambda r: r.hosts.where("NOT is_ip AND is_punycode").select("hostname", "unicode_domain"),
     "mixed_script": lambda r: r.hosts.where("NOT is_ip").where(is_mixed("unicode_domain")).select("hostname"),
     "homoglyph_chars": homoglyph_chars,
     "homoglyph_brand": homoglyph_brand,
     "brand_subdomain": _brands(1),
     "brand_sld": _brands(2, "lure"),
     "brand": lambda r: _exploded(r.signals).where("signal_ord = 21").select("url_id", "name", "severity", "evidence"),
-    "entropy": lambda r: r.hosts.select("hostname", F.round(entropy("split_part(registered_domain, '.', 1)"), 2).alias("h")),
+    "entropy": lambda r: r.hosts.select("hostname", entropy("split_part(registered_domain, '.', 1)").alias("h")),
     "entropy_host": lambda r: _long(r.valid.where("NOT is_ip"), host_entropy_signal(CFG)),
     "entropy_path": lambda r: _long(r.norm.where("is_valid AND NOT is_ip"), path_entropy_signal(CFG)),
     **{f"sig_{k}": (lambda r, k=k: _long(r.valid, host_heuristics(r.refs, CFG)[k])) for k in ("raw_ip", "tld", "subdomains", "hyphens", "long_host")},

@@ -59,7 +59,19 @@ def ioc_report_stream(reports: DataFrame, table: str, default: DataFrame, checkp
     return reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_of(spark: SparkSession, df: DataFrame, folder: str, files: int = 3) -> DataFrame:
-    """``df`` written to ``folder`` as several files and read back as a stream, one at a time."""
-    df.repartition(files).write.mode("overwrite").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def stream_of(
+    spark: SparkSession, df: DataFrame, folder: str, batches: int = 3, rows_per_file: int = 1_000_000, key: str | None = None, order_col: str | None = None
+) -> DataFrame:
+    """``df`` written to ``folder`` as files of a bounded size, by as many tasks as a shuffle
+    has, and read back as a stream of about ``batches`` micro-batches. With ``key`` and
+    ``order_col`` rows of one key arrive in their order: files are written range by range, and
+    within a range all rows of a key by one task."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.approxQuantile(order_col, [k / batches for k in range(1, batches)], 0.001) if order_col else []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df if low is None else df.where(F.col(order_col) > low)
+        part = part if high is None else part.where(F.col(order_col) <= high)
+        part = part.repartition(n, key).sortWithinPartitions(key, order_col) if order_col else part.repartition(n)
+        part.write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(folder)
+    files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(folder)
