@@ -7,13 +7,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from urlrisk import config as C
 from urlrisk.config import RiskConfig
 from urlrisk.functions.text import entropy, fold_homoglyphs, restricted_distance, unleet
 from urlrisk.operators.iocs import ioc_candidates, list_iocs, match_iocs, upsert_iocs
-from urlrisk.operators.normalize import host_table, normalize_urls
+from urlrisk.operators.normalize import host_table, normalize_urls, registered_domains
 from urlrisk.operators.typosquat import first_resemblance, similar_domains
 from urlrisk.plans.verify import campaign_rollup, message_risk, verify_urls
-from urlrisk.sources.reference import default_iocs, load_iocs, reference_tables
+from urlrisk.sources.reference import bundled_suffixes, default_iocs, load_iocs, load_suffix_rules, reference_tables
 from urlrisk.sources.urls import extract_urls, split_accepted, verdict_json, write_verdicts
 from urlrisk.streaming.streams import current_iocs, ioc_report_stream, stream_of, verify_stream
 
@@ -106,6 +107,47 @@ def test_own_lists(spark):
     assert "Urgency-inducing keyword" in got["http://e.com/gift"] and "Suspicious TLD" in got["http://e.com/gift"] and not got["http://e.zip/"]
 
 
+def test_long_lists_are_joined(spark, monkeypatch):
+    """Lists too long for an expression give the same signals by joins, and lists may be tables."""
+    urls = [
+        "http://e.com/login/refund", "http://e.com/verify-account/invoice?x=urgent", "https://e.zip/limited-time", "http://1.2.3.4/otp", "http://[::1]/wallet",
+        "https://paypal-secure-login.net/a", "https://purchase.com", "https://pineapple-login.xyz", "https://google.net", "https://paypa1.com", "https://a.b.c/", "http://e.com",
+    ]
+    short = names_of(spark, urls)
+    assert sum(map(len, short.values())) > 15
+    table = lambda values, name: spark.createDataFrame(list(enumerate(values)), f"pos int, {name} string")
+    brands = spark.createDataFrame([(i, b, d) for i, (b, ds) in enumerate(C.BRAND_DOMAINS.items()) for d in ds], "pos int, brand string, legit_domain string")
+    tables = {
+        "trusted": table(C.TRUSTED_DOMAINS, "domain"), "brands": brands, "tlds": table(C.SUSPICIOUS_TLDS, "tld"), "credential": table(C.CREDENTIAL_KEYWORDS, "keyword"),
+        "financial": table(C.FINANCIAL_KEYWORDS, "keyword"), "urgency": table(C.URGENCY_KEYWORDS, "keyword"), "lures": table(C.LURE_KEYWORDS, "keyword"),
+    }
+    assert names_of(spark, urls, **tables) == short
+    monkeypatch.setattr(C, "MAX_LITERALS", 1)
+    assert names_of(spark, urls, **tables) == short
+    empty = {k: t.limit(0) for k, t in tables.items()}
+    monkeypatch.undo()
+    assert names_of(spark, urls[:3], **empty) == {u: short[u] for u in urls[:3]}
+
+
+def test_public_suffixes(spark):
+    """The list among Spark's jars is the default; the built-in one serves where it is missing."""
+    hosts = spark.createDataFrame([(h, False, None) for h in ("login.foo.com.ng", "x.y.co.zm", "a.b.com.bo", "a.www.ck", "a.b.city.kawasaki.jp", "deep.a.b.kawasaki.jp", "x.blogspot.com")], "hostname string, is_ip boolean, ip_address string")
+    if bundled_suffixes(spark) is None:
+        pytest.skip("no list among the jars")
+    got = {r.hostname: r.registered_domain for r in registered_domains(hosts, load_suffix_rules(spark)).collect()}
+    assert list(got.values()).count(None) == 0 and got == {
+        "login.foo.com.ng": "foo.com.ng", "x.y.co.zm": "y.co.zm", "a.b.com.bo": "b.com.bo", "a.www.ck": "www.ck",
+        "a.b.city.kawasaki.jp": "city.kawasaki.jp", "deep.a.b.kawasaki.jp": "a.b.kawasaki.jp", "x.blogspot.com": "blogspot.com",
+    }
+
+
+def test_last_report_counts(spark):
+    schema = "seq long, indicator string, indicator_type string, source string, severity string, description string"
+    rows = [(k, " Hot.test " if k % 2 else "hot.test", "domain", None, None, f"report {k}") for k in range(50)]
+    got = {r.indicator: r for r in upsert_iocs(default_iocs(spark), spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 5 and (got["hot.test"].description, got["hot.test"].source, got["hot.test"].severity) == ("report 49", "community", "high")
+
+
 def test_indicators(spark, tmp_path):
     seeds = load_iocs(spark)
     assert seeds.count() == 4
@@ -154,6 +196,11 @@ def test_streams(spark, tmp_path):
     reports = spark.createDataFrame([(1, "bad.test", "domain", "a", "low", ""), (2, "worse.test", "domain", "a", "low", "")], schema)
     ioc_report_stream(stream_of(spark, reports, f"{tmp_path}/reports", 2), f"{tmp_path}/iocs", iocs, f"{tmp_path}/state2").awaitTermination()
     assert {r.indicator for r in current_iocs(spark, f"{tmp_path}/iocs", iocs).collect()} >= {"bad.test", "worse.test", "evil-example.com"}
+    # reports of one indicator arrive in their order, whatever the number of batches
+    many = spark.createDataFrame([(k, f"h{k % 5}.test", "domain", "a", "low", f"report {k}") for k in range(60)], schema)
+    ioc_report_stream(stream_of(spark, many, f"{tmp_path}/many", 4, key="indicator", order_col="seq"), f"{tmp_path}/more", iocs, f"{tmp_path}/state3").awaitTermination()
+    last = {r.indicator: r.description for r in current_iocs(spark, f"{tmp_path}/more", iocs).collect()}
+    assert {k: last[f"h{k}.test"] for k in range(5)} == {k: f"report {55 + k}" for k in range(5)}
 
 
 def test_plan_has_no_cross_join(spark):

@@ -63,6 +63,14 @@ def first_match(values, test) -> Column:
     return out
 
 
+def pieces(c: str, table: DataFrame, key: str) -> Column:
+    """The distinct substrings of a column that are as long as a ``key`` of ``table``; there
+    are at most as many lengths as the longest key has characters."""
+    sizes = ", ".join(str(r.n) for r in table.select(F.length(key).alias("n")).distinct().where("n > 0").collect())
+    cut = f"if(length({c}) >= n, transform(sequence(1, length({c}) - n + 1), i -> substr({c}, i, n)), cast(array() as array<string>))"
+    return F.expr(f"array_distinct(flatten(transform(array({sizes}), n -> {cut})))") if sizes else F.expr("cast(array() as array<string>)")
+
+
 def settle(df: DataFrame, *cols: str) -> DataFrame:
     """``df`` with ``cols`` (all, if none are named) computed once, here: a later filter or projection
     on them refers to their values. Without it the optimizer writes the whole expression

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.config import MAX_LITERALS
-from urlrisk.functions.text import first_match, settle
+from urlrisk import config as C
+from urlrisk.functions.text import first_match, literal_array, pieces, settle
 from urlrisk.sources.reference import References
 
 
@@ -16,24 +16,31 @@ def brand_hits(hosts: DataFrame, refs: References) -> DataFrame:
     ``hosts(hostname, registered_domain, subdomain)``, distinct, without IP addresses. Rule
     1: the brand is a part of the subdomain, between dots and hyphens. Rule 2: it is in the
     first label of the registered domain, and so is a lure, a hyphen or underscore, or
-    more than two further characters. Both are equi joins with the brands: of the
-    subdomain's parts, and of the substrings of the label that are as long as a brand.
+    more than two further characters. The subdomain's parts are joined with the brands. A
+    short list of brands is sought in the label as it is; of a longer one the label's
+    substrings that are as long as a brand are joined with it, and lures likewise.
     """
     legit = refs.brands.select("pos", F.lower("legit_domain").alias("legit"))
     names = refs.brands.select("pos", "brand", F.lower("brand").alias("key")).distinct()
     h = hosts.select("hostname", F.lower("registered_domain").alias("rd"), F.lower("subdomain").alias("sub"))
     h = settle(h.withColumn("label", F.split_part("rd", F.lit("."), F.lit(1))))
     parts = h.select("hostname", "rd", "label", F.lit(1).alias("rule"), F.explode(F.array_distinct(F.split("sub", "[-.]"))).alias("key"))
-    sizes = sorted(r.n for r in names.select(F.length("key").alias("n")).distinct().limit(MAX_LITERALS).collect())  # at most as many as a label is long
-    cut = "flatten(transform(array({}), n -> if(length(label) >= n, transform(sequence(1, length(label) - n + 1), i -> substr(label, i, n)), cast(array() as array<string>))))"
-    pieces = h.select("hostname", "rd", "label", F.lit(2).alias("rule"), F.explode(F.array_distinct(F.expr(cut.format(", ".join(map(str, sizes)) or "0")))).alias("key"))
-    hits = parts.unionByName(pieces).where("key <> ''").join(names, "key")
+    few = [k for (k,) in names.select("key").distinct().limit(C.MAX_LITERALS + 1).collect()]
+    within = F.filter(literal_array(few), lambda k: F.contains("label", k)) if len(few) <= C.MAX_LITERALS else pieces("label", names, "key")
+    found = h.select("hostname", "rd", "label", F.lit(2).alias("rule"), F.explode(within).alias("key"))
+    hits = parts.unionByName(found).where("key <> ''").join(names, "key")
     # domains that end with a brand's own: its suffixes, joined to the brands' domains
     tails = "transform(sequence(1, size(split(rd, '\\\\.'))), i -> array_join(slice(split(rd, '\\\\.'), i, size(split(rd, '\\\\.'))), '.'))"
     owned = h.select("rd").distinct().select("rd", F.explode(F.expr(tails)).alias("legit")).join(legit, "legit").select("rd", "pos").distinct()
     hits = hits.join(owned, ["rd", "pos"], "left_anti")
     lures = refs.words("lure")
-    hits = settle(hits.withColumn("lure", first_match(lures, lambda w: F.contains("label", F.lit(w)))), "lure")
+    if lures is None:
+        texts = hits.select("label").distinct()
+        table = refs.keywords.where("kind = 'lure'").select(F.col("keyword").alias("piece"), F.col("pos").alias("nth"))
+        lured = texts.select("label", F.explode(pieces("label", table, "piece")).alias("piece")).join(table, "piece").groupBy("label").agg(F.min_by("piece", "nth").alias("lure"))
+        hits = hits.join(lured, "label", "left")
+    else:
+        hits = settle(hits.withColumn("lure", first_match(lures, lambda w: F.contains("label", F.lit(w)))), "lure")
     compound = F.col("lure").isNotNull() | F.col("label").rlike("[-_]") | (F.length("label") > F.length("key") + 2)
     return hits.where((F.col("rule") == 1) | compound).select("hostname", "pos", "rule", "brand", "rd", F.coalesce("lure", F.lit("suspicious compound")).alias("lure"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.config import RiskConfig
-from urlrisk.functions.text import first_match
+from urlrisk.functions.text import first_match, pieces
 from urlrisk.operators.signals import signal
 from urlrisk.sources.reference import References
 
@@ -15,10 +15,42 @@ def _text(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+def _first(df: DataFrame, key: str, words: Column, table: DataFrame, name: str) -> DataFrame:
+    """``df`` with the first word of ``table(pos, keyword)`` that is among ``words`` as ``name``:
+    an equi join on the word, and one row for each key joined back."""
+    rows = df.select(key, F.explode(words).alias("keyword")).join(table.select("pos", "keyword"), "keyword")
+    return df.join(rows.groupBy(key).agg(F.min_by("keyword", "pos").alias(name)), key, "left")
+
+
+def with_long_host_lists(hosts: DataFrame, refs: References) -> DataFrame:
+    """``hosts``, and ``hit_tld`` if the list of TLDs is too long for an expression."""
+    if refs.words("tld") is not None:
+        return hosts
+    rd = "lower(registered_domain)"
+    ends = F.expr(f"array_distinct(transform(sequence(1, length({rd})), i -> substr({rd}, i)))")
+    return _first(hosts.where("registered_domain <> ''"), "hostname", ends, refs.tlds.select("pos", F.col("tld").alias("keyword")), "hit_tld").unionByName(
+        hosts.where("registered_domain = ''").withColumn("hit_tld", F.lit(None).cast("string"))
+    )
+
+
+def with_long_url_lists(n: DataFrame, refs: References) -> DataFrame:
+    """``n``, and ``hit_<kind>`` for each kind of keywords that is too long for an expression."""
+    for kind in ("credential", "financial", "urgency"):
+        if refs.words(kind) is None:
+            table = refs.keywords.where(F.col("kind") == kind)
+            if kind == "urgency":
+                rest = n.select("*", F.lower(F.concat("path", F.lit("?"), "query")).alias("rest"))
+                n = _first(rest, "url_id", pieces("rest", table, "keyword"), table, f"hit_{kind}").drop("rest")
+            else:
+                n = _first(n, "url_id", F.array_distinct(F.split(F.lower("path"), r"[/_.\-]")), table, f"hit_{kind}")
+    return n
+
+
 def host_heuristics(refs: References, cfg: RiskConfig) -> dict[str, Column]:
-    """Signals that need ``hostname, is_ip, registered_domain, subdomain``."""
-    tlds = [t for (t,) in refs.literals(refs.tlds, "tld")]
-    tld = first_match(tlds, lambda t: F.lower("registered_domain").endswith(t))
+    """Signals that need ``hostname, is_ip, registered_domain, subdomain``, and what
+    ``with_long_host_lists`` adds."""
+    tlds = refs.words("tld")
+    tld = F.col("hit_tld") if tlds is None else first_match(tlds, lambda t: F.lower("registered_domain").endswith(t))
     levels = F.expr("size(filter(split(subdomain, '\\\\.'), x -> x <> ''))")
     hyphens = F.expr("length(replace(hostname, 'xn--', '')) - length(replace(replace(hostname, 'xn--', ''), '-', ''))")
     return {
@@ -31,7 +63,8 @@ def host_heuristics(refs: References, cfg: RiskConfig) -> dict[str, Column]:
 
 
 def url_heuristics(refs: References, cfg: RiskConfig) -> dict[str, Column]:
-    """Signals that need ``original_url, path, query, port``."""
+    """Signals that need ``original_url, path, query, port``, and what
+    ``with_long_url_lists`` adds."""
     rest = F.concat("path", F.lit("?"), "query")
     nested = F.regexp_extract(rest, r"(?i)(https?://|www\.)", 1)
     percents = F.regexp_count("original_url", F.lit("%[0-9a-fA-F]{2}"))
@@ -40,9 +73,13 @@ def url_heuristics(refs: References, cfg: RiskConfig) -> dict[str, Column]:
         "kv -> coalesce(try_url_decode(split_part(kv, '=', 1)), split_part(kv, '=', 1)))))"
     )
     tokens = F.split(F.lower("path"), r"[/_.\-]")
-    token_hit = lambda kind: first_match(refs.words(kind), lambda w: F.array_contains(tokens, F.lit(w)))
-    credential, financial = token_hit("credential"), token_hit("financial")
-    urgency = first_match(refs.words("urgency"), lambda w: F.contains(F.lower(rest), F.lit(w)))
+
+    def hit(kind: str, test) -> Column:
+        words = refs.words(kind)
+        return F.col(f"hit_{kind}") if words is None else first_match(words, test)
+
+    credential, financial = (hit(kind, lambda w: F.array_contains(tokens, F.lit(w))) for kind in ("credential", "financial"))
+    urgency = hit("urgency", lambda w: F.contains(F.lower(rest), F.lit(w)))
     return {
         "long_url": F.when(F.length("original_url") > cfg.max_url_length, signal("long_url", "Unusually long URL", "low", _text("URL is unusually long (", F.length("original_url"), " characters)"))),
         "at": F.when(

@@ -132,22 +132,14 @@ def registered_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StructType([T.StructField("is_punycode", T.BooleanType()), T.StructField("unicode_domain", T.StringType())]))
 def _idn(hosts: pd.Series) -> pd.DataFrame:
-    try:
-        import idna
-    except ModuleNotFoundError:
-        idna = None
-
-    def decode(h: str) -> str:
-        return idna.decode(h) if idna else h.encode("ascii").decode("idna")
-
-    def encode(h: str) -> str:
-        return (idna.encode(h) if idna else h.encode("idna")).decode("ascii")
+    """By the IDNA rules of 2003, which Python itself has: with one codec everywhere the
+    results don't depend on what else is installed."""
 
     def one(h: str) -> tuple[bool, str]:
         try:
             if "xn--" in h:
-                return True, decode(h)
-            return "xn--" in encode(h), h
+                return True, h.encode("ascii").decode("idna")
+            return "xn--" in h.encode("idna").decode("ascii"), h
         except (UnicodeError, ValueError):
             return "xn--" in h, h
 

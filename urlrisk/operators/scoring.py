@@ -60,9 +60,9 @@ def recommend(classification: str = "classification") -> Column:
     return out
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """``rows(url_id, signals, ioc, is_trusted)`` to verdicts; the signals are ordered and
-    those that a trusted domain suppresses are gone."""
+def judge(rows: DataFrame, *also: str) -> DataFrame:
+    """``rows(url_id, signals, ioc, is_trusted)`` to verdicts, with the columns ``also``; the
+    signals are ordered and those that a trusted domain suppresses are gone."""
     v = rows.withColumns(severity_counts("signals")).withColumn("risk_score", risk_score("signals", "ioc"))
     v = v.withColumn("classification", classify())
     return v.select(
@@ -74,6 +74,7 @@ def judge(rows: DataFrame) -> DataFrame:
         F.col("ioc").isNotNull().alias("known_ioc"),
         F.expr("transform(signals, s -> struct(s.name, s.severity, s.evidence))").cast(f"array<{SIGNAL}>").alias("signals"),
         recommend().alias("recommendation"),
+        *also,
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.config import MAX_LITERALS, RiskConfig
+from urlrisk import config as C
+from urlrisk.config import RiskConfig
 from urlrisk.functions.text import restricted_distance, settle, sld, unleet
 
 _REACH = 2
@@ -36,12 +37,14 @@ def _near(left: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def _near_literal(left: DataFrame, names: list[tuple]) -> DataFrame:
-    """The same pairs from a small list within expressions: a restricted distance of k is
-    a plain one of at most 2k, which Spark measures up to a bound."""
-    kind = "array<struct<pos:int,domain:string,name:string>>"
-    rows = F.array(*(F.struct(F.lit(p), F.lit(d), F.lit(s)) for p, d, s in names)).cast(kind) if names else F.expr(f"cast(array() as {kind})")
-    close = F.filter(rows, lambda t: F.levenshtein(F.col("text"), t["name"], 2 * _REACH) >= 0)
-    return left.select("text", F.explode(close).alias("t")).select("text", "t.pos", "t.domain", "t.name")
+    """The same pairs, and those of texts that read as the name, from a small list within
+    expressions: a restricted distance of k is
+    one of k in length at most and a plain one of at most 2k, which Spark measures up to a bound."""
+    kind = "array<struct<pos:int,domain:string,name:string,size:int>>"
+    rows = F.array(*(F.struct(F.lit(p), F.lit(d), F.lit(s), F.lit(len(s))) for p, d, s in names)).cast(kind) if names else F.expr(f"cast(array() as {kind})")
+    left = settle(left.select("text", unleet(F.col("text")).alias("read")), "read")
+    close = lambda t: (F.abs(F.length("text") - t["size"]) <= _REACH) & ((F.levenshtein(F.col("text"), t["name"], 2 * _REACH) >= 0) | (F.col("read") == t["name"]))
+    return left.select("text", F.explode(F.filter(rows, close)).alias("t")).select("text", "t.pos", "t.domain", "t.name")
 
 
 def _distance() -> Column:
@@ -68,25 +71,29 @@ def similar_domains(domains: DataFrame, trusted: DataFrame, cfg: RiskConfig | No
     """
     cfg = cfg or RiskConfig()
     trusted = trusted.where(F.length("sld") >= cfg.min_trusted_sld_len)
-    names = [tuple(r) for r in trusted.select("pos", "domain", "sld").limit(MAX_LITERALS + 1).collect()] if path != "join" else []
-    literal = path == "literal" or path == "auto" and len(names) <= MAX_LITERALS
+    names = [tuple(r) for r in trusted.select("pos", "domain", "sld").limit(C.MAX_LITERALS + 1).collect()] if path != "join" else []
+    literal = path == "literal" or path == "auto" and len(names) <= C.MAX_LITERALS
     own = domains.select("registered_domain").distinct().withColumn("sld", sld(F.col("registered_domain")))
     own = settle(own, "sld").join(trusted.select(F.col("domain").alias("registered_domain")), "registered_domain", "left_anti")
     chunks = F.filter(F.transform(F.split("sld", "-"), lambda x: F.trim(x)), lambda x: x != "")
     parts = own.where(F.contains("sld", F.lit("-"))).select("registered_domain", F.lit(True).alias("is_chunk"), F.explode(chunks).alias("text"))
     texts = own.select("registered_domain", F.lit(False).alias("is_chunk"), F.col("sld").alias("text")).unionByName(parts)
     distinct = texts.select("text").distinct()
-    pairs = _near_literal(distinct, names) if literal else _near(distinct, trusted)
+    if literal:
+        pairs = _near_literal(distinct, names)
+    else:
+        read = distinct.withColumn("name", unleet(F.col("text"))).join(trusted.select("pos", "domain", F.col("sld").alias("name")), "name")
+        pairs = _near(distinct, trusted).unionByName(read.select("text", "pos", "domain", "name")).distinct()
     pairs = settle(pairs.withColumn("plain", F.levenshtein("text", "name")), "plain")
-    pairs = settle(pairs.withColumn("d", _distance()), "d").where(F.col("d") <= _REACH)
-    hits = texts.join(pairs, "text").withColumn("long", F.greatest(F.length("text"), F.length("name")))
-    one = "NOT is_chunk AND d > 0 AND d <= if(long <= 6, 1, 2)"
-    three = "is_chunk AND d <= if(length(name) <= 6, 1, 2)"
-    near = hits.withColumn("rule", F.expr(f"CASE WHEN {one} THEN 1 WHEN {three} THEN 3 END")).where("rule IS NOT NULL")
-    read = texts.withColumn("name", unleet(F.col("text"))).join(trusted.select("pos", "domain", F.col("sld").alias("name")), "name")
-    read = read.where("is_chunk OR text <> name").withColumn("rule", F.expr("if(is_chunk, 3, 2)"))
-    cols = ("registered_domain", "pos", "rule", "domain")
-    return near.select(*cols).unionByName(read.select(*cols)).distinct()
+    pairs = settle(pairs.withColumn("d", _distance()).withColumn("read", unleet(F.col("text")) == F.col("name")), "d", "read")
+    hits = texts.join(pairs.where((F.col("d") <= _REACH) | F.col("read")), "text")
+    rules = (
+        "NOT is_chunk AND d > 0 AND d <= if(greatest(length(text), length(name)) <= 6, 1, 2)",
+        "NOT is_chunk AND read AND text <> name",
+        "is_chunk AND (read OR d <= if(length(name) <= 6, 1, 2))",
+    )
+    found = F.expr("filter(array(" + ", ".join(f"if({test}, {k}, 0)" for k, test in enumerate(rules, 1)) + "), r -> r > 0)")
+    return hits.select("registered_domain", "pos", F.explode(found).alias("rule"), "domain").distinct()
 
 
 def first_resemblance(similar: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from urlrisk.config import RiskConfig
 from urlrisk.functions.text import settle
 from urlrisk.operators.brand import brand_hits, first_brand
 from urlrisk.operators.entropy import host_entropy_signal, path_entropy_signal
-from urlrisk.operators.heuristics import host_heuristics, url_heuristics
+from urlrisk.operators.heuristics import host_heuristics, url_heuristics, with_long_host_lists, with_long_url_lists
 from urlrisk.operators.homoglyph import imitated, is_mixed, look_alikes
 from urlrisk.operators.iocs import ioc_signal, match_hosts, match_urls
 from urlrisk.operators.normalize import host_table, normalize_urls, split_malformed
@@ -32,6 +32,7 @@ def domain_signals(hosts: DataFrame, refs: References, cfg: RiskConfig) -> DataF
 def host_signals(hosts: DataFrame, refs: References, cfg: RiskConfig) -> DataFrame:
     """``hostname, registered_domain, subdomain, is_listed, host_signals`` for each host of
     ``host_table``; the signals are those that depend on the host alone."""
+    hosts = with_long_host_lists(hosts, refs)
     brands = first_brand(brand_hits(hosts.where("NOT is_ip"), refs))
     domains = domain_signals(hosts, refs, cfg).withColumnRenamed("registered_domain", "domain_key")
     h = hosts.join(domains, F.lower("registered_domain") == F.col("domain_key"), "left").join(brands, "hostname", "left")
@@ -77,7 +78,7 @@ def signal_table(n: DataFrame, iocs: DataFrame, refs: References, cfg: RiskConfi
     valid, _ = split_malformed(n)
     hosts = written(host_table(n, refs.suffix_rules), "hosts")
     known = host_signals(hosts, refs, cfg).join(match_hosts(hosts, iocs), "hostname", "left")
-    rows = match_urls(valid, iocs).join(written(known, "host_signals"), "hostname").withColumn("ioc", F.coalesce("url_ioc", "host_ioc"))
+    rows = match_urls(with_long_url_lists(valid, refs), iocs).join(written(known, "host_signals"), "hostname").withColumn("ioc", F.coalesce("url_ioc", "host_ioc"))
     ioc = F.when(F.col("ioc").isNotNull(), F.struct(F.lit(0).alias("ord"), *(F.col("s")[c].alias(c) for c in ("name", "severity", "evidence")), F.lit(0).alias("weight")))
     rows = rows.withColumn("s", ioc_signal("ioc"))
     own = gather(ioc, F.when(~F.col("is_ip"), path_entropy_signal(cfg)), *url_heuristics(refs, cfg).values())
@@ -91,12 +92,16 @@ def signal_table(n: DataFrame, iocs: DataFrame, refs: References, cfg: RiskConfi
     )
 
 
-def verify_urls(urls: DataFrame, iocs: DataFrame, refs: References, cfg: RiskConfig | None = None) -> DataFrame:
+def verify_urls(urls: DataFrame, iocs: DataFrame, refs: References, cfg: RiskConfig | None = None, with_domain: bool = False) -> DataFrame:
     """One verdict for each row of ``urls(url_id, url)``, whose ids must be unique; null and
-    empty URLs have to be split off before (``split_accepted``)."""
-    n = normalize_urls(spread(urls))
+    empty URLs have to be split off before (``split_accepted``). The normalized URLs are
+    written once: the distinct hosts, the valid and the malformed URLs are read from that
+    table by their columns. ``with_domain`` adds ``registered_domain``, null for malformed
+    URLs."""
+    n = written(normalize_urls(spread(urls)), "normalized")
     rows = signal_table(n, iocs, refs, cfg).withColumn("signals", suppress_trusted("signals", "is_trusted"))
-    return judge(rows).unionByName(malformed_verdicts(split_malformed(n)[1]))
+    also = ("registered_domain",) if with_domain else ()
+    return judge(rows, *also).unionByName(malformed_verdicts(split_malformed(n)[1]), allowMissingColumns=True)
 
 
 def message_risk(verdicts: DataFrame, urls: DataFrame) -> DataFrame:
@@ -108,11 +113,12 @@ def message_risk(verdicts: DataFrame, urls: DataFrame) -> DataFrame:
     return v.select("msg_id", "n_urls", "n_signals", "worst_score", F.col("w.risk_level").alias("worst_level"), F.col("w.url_id").alias("worst_url_id"))
 
 
-def campaign_rollup(verdicts: DataFrame, domains: DataFrame) -> DataFrame:
+def campaign_rollup(verdicts: DataFrame, domains: DataFrame | None = None) -> DataFrame:
     """Counts and mean scores by registered domain and risk level, with subtotals (null is
-    all); ``domains(url_id, registered_domain)``. URLs without a domain are left out."""
-    v = verdicts.join(domains, "url_id")
-    out = v.rollup("registered_domain", "risk_level").agg(
+    all), of verdicts with their ``registered_domain``, or of those that have one in
+    ``domains(url_id, registered_domain)``. URLs without one are left out."""
+    rows = verdicts if domains is None else verdicts.join(domains, "url_id")
+    out = rows.where("registered_domain IS NOT NULL").rollup("registered_domain", "risk_level").agg(
         F.count("*").alias("n_urls"), F.count_if("known_ioc").alias("n_iocs"), F.round(F.avg("risk_score"), 4).alias("mean_score"), F.max("risk_score").alias("max_score")
     )
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from urlrisk import config as C
 from urlrisk.functions.text import sld
 from urlrisk.schemas import IOC
+from urlrisk.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -24,16 +25,13 @@ class References:
     suffix_rules: DataFrame  # rule string, kind string
     _known: dict = field(default_factory=dict, compare=False)
 
-    def literals(self, df: DataFrame, *cols: str) -> list[tuple]:
-        """The rows of a small table in order of ``pos``; a larger one is an error."""
-        rows = df.orderBy("pos").select(*cols).limit(C.MAX_LITERALS + 1).collect()
-        if len(rows) > C.MAX_LITERALS:
-            raise ValueError(f"a list of over {C.MAX_LITERALS} rows can't be written into an expression")
-        return [tuple(r) for r in rows]
-
-    def words(self, kind: str) -> list[str]:
+    def words(self, kind: str) -> list[str] | None:
+        """The words of a short list in their order; None for one of over ``MAX_LITERALS``
+        rows, which is joined instead. ``kind``: of ``keywords``, or ``tld``."""
         if kind not in self._known:
-            self._known[kind] = [w for (w,) in self.literals(self.keywords.where(F.col("kind") == kind), "keyword")]
+            table = self.tlds.select("pos", F.col("tld").alias("keyword")) if kind == "tld" else self.keywords.where(F.col("kind") == kind)
+            rows = table.orderBy("pos").select("keyword").limit(C.MAX_LITERALS + 1).collect()
+            self._known[kind] = [w for (w,) in rows] if len(rows) <= C.MAX_LITERALS else None
         return self._known[kind]
 
 
@@ -58,47 +56,94 @@ def _numbered(spark: SparkSession, values: Sequence[str], name: str) -> DataFram
     return local_table(spark, list(enumerate(values)), f"pos int, {name} string")
 
 
+def _list(spark: SparkSession, given: Sequence[str] | DataFrame | None, default: Sequence[str], name: str) -> DataFrame:
+    """``pos, name`` of a list, or of a table with these columns; of the default, if it is empty."""
+    if isinstance(given, DataFrame):
+        if not given.isEmpty():
+            return given.select(F.col("pos").cast("int").alias("pos"), F.col(name).cast("string").alias(name))
+        given = None
+    return _numbered(spark, given or default, name)
+
+
 def reference_tables(
     spark: SparkSession,
-    trusted: Sequence[str] | None = None,
-    brands: Mapping[str, Sequence[str]] | None = None,
-    tlds: Sequence[str] | None = None,
-    credential: Sequence[str] | None = None,
-    financial: Sequence[str] | None = None,
-    urgency: Sequence[str] | None = None,
-    lures: Sequence[str] | None = None,
+    trusted: Sequence[str] | DataFrame | None = None,
+    brands: Mapping[str, Sequence[str]] | DataFrame | None = None,
+    tlds: Sequence[str] | DataFrame | None = None,
+    credential: Sequence[str] | DataFrame | None = None,
+    financial: Sequence[str] | DataFrame | None = None,
+    urgency: Sequence[str] | DataFrame | None = None,
+    lures: Sequence[str] | DataFrame | None = None,
     suffix_path: str | None = None,
+    suffix_rules: DataFrame | None = None,
 ) -> References:
-    """The default lists as tables, or those given; an empty one falls back to its default."""
+    """The default lists as tables, or those given; an empty one falls back to its default.
+
+    A list may be a sequence or a table: ``pos, domain`` of trusted domains, ``pos, brand,
+    legit_domain``, ``pos, tld``, ``pos, keyword`` of the keywords, ``rule`` of the suffix
+    rules as a public suffix list writes them. ``pos`` orders a list. Tables may be of any
+    size; long ones are joined.
+    """
     kinds = {
-        "credential": credential or C.CREDENTIAL_KEYWORDS,
-        "financial": financial or C.FINANCIAL_KEYWORDS,
-        "urgency": urgency or C.URGENCY_KEYWORDS,
-        "lure": lures or C.LURE_KEYWORDS,
+        "credential": (credential, C.CREDENTIAL_KEYWORDS),
+        "financial": (financial, C.FINANCIAL_KEYWORDS),
+        "urgency": (urgency, C.URGENCY_KEYWORDS),
+        "lure": (lures, C.LURE_KEYWORDS),
     }
-    words = [(k, i, w) for k, ws in kinds.items() for i, w in enumerate(ws)]
-    pairs = list(enumerate((brands or C.BRAND_DOMAINS).items()))
-    owners = [(i, b, d) for i, (b, ds) in pairs for d in ds]
-    domains = _numbered(spark, trusted or C.TRUSTED_DOMAINS, "domain").withColumn("domain", F.lower("domain"))
+    words = [(k, i, w) for k, (own, default) in kinds.items() if not isinstance(own, DataFrame) for i, w in enumerate(own or default)]
+    keywords = local_table(spark, words, "kind string, pos int, keyword string")
+    for k, (own, default) in kinds.items():
+        if isinstance(own, DataFrame):
+            keywords = keywords.unionByName(_list(spark, own, default, "keyword").select(F.lit(k).alias("kind"), "pos", "keyword"))
+    if isinstance(brands, DataFrame) and not brands.isEmpty():
+        owners = brands.select(F.col("pos").cast("int").alias("pos"), "brand", "legit_domain")
+    else:
+        pairs = enumerate(((None if isinstance(brands, DataFrame) else brands) or C.BRAND_DOMAINS).items())
+        owners = local_table(spark, [(i, b, d) for i, (b, ds) in pairs for d in ds], "pos int, brand string, legit_domain string")
+    domains = _list(spark, trusted, C.TRUSTED_DOMAINS, "domain").withColumn("domain", F.lower("domain"))
     return References(
         trusted=domains.withColumn("sld", sld(F.col("domain"))),
-        brands=local_table(spark, owners, "pos int, brand string, legit_domain string"),
-        tlds=_numbered(spark, tlds or C.SUSPICIOUS_TLDS, "tld"),
-        keywords=local_table(spark, words, "kind string, pos int, keyword string"),
-        suffix_rules=load_suffix_rules(spark, suffix_path),
+        brands=owners,
+        tlds=_list(spark, tlds, C.SUSPICIOUS_TLDS, "tld"),
+        keywords=keywords,
+        suffix_rules=load_suffix_rules(spark, suffix_path, suffix_rules),
     )
 
 
-def load_suffix_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
+#: Where the HTTP client among Spark's own jars keeps a public suffix list.
+_BUNDLED = "mozilla/public-suffix-list.txt"
+
+
+def suffix_table(spark: SparkSession) -> DataFrame:
+    """``rule``: the built-in suffixes."""
+    return local_table(spark, [(r,) for r in C.SUFFIX_RULES], "rule string")
+
+
+def bundled_suffixes(spark: SparkSession) -> DataFrame | None:
+    """``rule``: the ICANN part of the public suffix list that comes with Spark's jars
+    (some ten thousand lines), or None where there is no such file."""
+    stream = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream(_BUNDLED)
+    if stream is None:
+        return None
+    text = bytes(stream.readAllBytes()).decode("utf-8").split("===END ICANN DOMAINS===")[0]
+    rules = [(line.split()[0],) for line in text.splitlines() if line.strip() and not line.startswith("//")]
+    return written(spark.createDataFrame(rules, "rule string"), "suffixes")
+
+
+def load_suffix_rules(spark: SparkSession, path: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """``rule, kind`` (normal, wildcard, exception): a public suffix list in its usual text
-    form, its ICANN part if it says which that is, or the built-in rules."""
-    if path:
+    form, its ICANN part if it says which that is, or a table of its rules. Without either
+    it is the list among Spark's jars, or the built-in rules where that is missing."""
+    if table is not None and not table.isEmpty():
+        rules = table.select(F.lower(F.trim("rule")).alias("rule"))
+    elif path:
         lines = spark.read.text(path).select(F.trim("value").alias("rule"), F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"))
         end = lines.where(F.col("rule").contains("===END ICANN DOMAINS===")).agg(F.min("n")).first()[0]
         lines = lines.where(F.col("n") < end) if end is not None else lines
         rules = lines.where("rule <> '' AND NOT startswith(rule, '//')").select(F.lower(F.split_part("rule", F.lit(" "), F.lit(1))).alias("rule"))
     else:
-        rules = local_table(spark, [(r,) for r in C.SUFFIX_RULES], "rule string")
+        rules = bundled_suffixes(spark)
+        rules = suffix_table(spark) if rules is None else rules.select(F.lower("rule").alias("rule"))
     kind = F.when(F.col("rule").startswith("!"), "exception").when(F.col("rule").startswith("*."), "wildcard").otherwise("normal")
     return rules.select(F.regexp_replace("rule", "^!", "").alias("rule"), kind.alias("kind")).distinct()
 
