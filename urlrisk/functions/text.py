@@ -54,13 +54,14 @@ def literal_array(values, kind: str = "string") -> Column:
 
 
 def first_match(values, test) -> Column:
-    """The first of ``values`` for which ``test(value)`` holds, or null; evaluation stops there."""
-    if not values:
-        return F.lit(None).cast("string")
-    out = None
-    for v in values:
-        out = F.when(test(v), F.lit(v)) if out is None else out.when(test(v), F.lit(v))
-    return out
+    """The first of ``values`` for which ``test(value)`` holds, or null. Columns in the test
+    are evaluated for every value, so they should be settled."""
+    return F.get(F.filter(literal_array(values), test), 0)
+
+
+def first_common(values, among: Column) -> Column:
+    """The first of ``values`` that is an element of an array, or null."""
+    return F.get(F.array_intersect(literal_array(values), among), 0)
 
 
 def pieces(c: str, table: DataFrame, key: str) -> Column:

@@ -40,7 +40,7 @@ def brand_hits(hosts: DataFrame, refs: References) -> DataFrame:
         lured = texts.select("label", F.explode(pieces("label", table, "piece")).alias("piece")).join(table, "piece").groupBy("label").agg(F.min_by("piece", "nth").alias("lure"))
         hits = hits.join(lured, "label", "left")
     else:
-        hits = settle(hits.withColumn("lure", first_match(lures, lambda w: F.contains("label", F.lit(w)))), "lure")
+        hits = settle(hits.withColumn("lure", first_match(lures, lambda w: F.contains("label", w))), "lure")
     compound = F.col("lure").isNotNull() | F.col("label").rlike("[-_]") | (F.length("label") > F.length("key") + 2)
     return hits.where((F.col("rule") == 1) | compound).select("hostname", "pos", "rule", "brand", "rd", F.coalesce("lure", F.lit("suspicious compound")).alias("lure"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.config import RiskConfig
-from urlrisk.functions.text import first_match, pieces
+from urlrisk.functions.text import first_common, first_match, pieces
 from urlrisk.operators.signals import signal
 from urlrisk.sources.reference import References
 
@@ -73,13 +73,10 @@ def url_heuristics(refs: References, cfg: RiskConfig) -> dict[str, Column]:
         "kv -> coalesce(try_url_decode(split_part(kv, '=', 1)), split_part(kv, '=', 1)))))"
     )
     tokens = F.split(F.lower("path"), r"[/_.\-]")
-
-    def hit(kind: str, test) -> Column:
-        words = refs.words(kind)
-        return F.col(f"hit_{kind}") if words is None else first_match(words, test)
-
-    credential, financial = (hit(kind, lambda w: F.array_contains(tokens, F.lit(w))) for kind in ("credential", "financial"))
-    urgency = hit("urgency", lambda w: F.contains(F.lower(rest), F.lit(w)))
+    credential, financial, urgency = (
+        F.col(f"hit_{kind}") if (words := refs.words(kind)) is None else first_common(words, tokens) if kind != "urgency" else F.coalesce(*(F.when(F.contains(F.lower(rest), F.lit(w)), w) for w in words))
+        for kind in ("credential", "financial", "urgency")
+    )
     return {
         "long_url": F.when(F.length("original_url") > cfg.max_url_length, signal("long_url", "Unusually long URL", "low", _text("URL is unusually long (", F.length("original_url"), " characters)"))),
         "at": F.when(

@@ -25,11 +25,20 @@ def weight(name: Column, severity: Column) -> Column:
     return out.otherwise(0).cast("int")
 
 
+def weight_of(name: str, severity: str) -> int:
+    """As ``weight``, for a name and a severity that are known already."""
+    points = next((points for part, points in WEIGHTS if part in name), 0)
+    return points if points is not None else SCRIPT_WEIGHT_HIGH if severity == "high" else SCRIPT_WEIGHT_OTHER
+
+
 def signal(place: str, name: Column | str, severity: Column | str, evidence: Column) -> Column:
     """A ranked signal, of the shape of ``RANKED_SIGNAL``."""
+    known = isinstance(name, str) and isinstance(severity, str)
+    points = F.lit(weight_of(name, severity)).cast("int") if known else None
     name, severity = (F.lit(x) if isinstance(x, str) else x for x in (name, severity))
+    points = weight(name, severity) if points is None else points
     return F.struct(
-        F.lit(ORDER.index(place)).alias("ord"), name.alias("name"), severity.alias("severity"), evidence.alias("evidence"), weight(name, severity).alias("weight")
+        F.lit(ORDER.index(place)).alias("ord"), name.alias("name"), severity.alias("severity"), evidence.alias("evidence"), points.alias("weight")
     )
 
 

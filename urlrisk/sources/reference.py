@@ -23,16 +23,18 @@ class References:
     tlds: DataFrame  # pos int, tld string
     keywords: DataFrame  # kind string, pos int, keyword string
     suffix_rules: DataFrame  # rule string, kind string
-    _known: dict = field(default_factory=dict, compare=False)
+    #: The words of lists that were given as sequences, and of tables once they were read.
+    known: dict[str, list[str]] = field(default_factory=dict, compare=False)
 
     def words(self, kind: str) -> list[str] | None:
         """The words of a short list in their order; None for one of over ``MAX_LITERALS``
         rows, which is joined instead. ``kind``: of ``keywords``, or ``tld``."""
-        if kind not in self._known:
+        if kind not in self.known:
             table = self.tlds.select("pos", F.col("tld").alias("keyword")) if kind == "tld" else self.keywords.where(F.col("kind") == kind)
             rows = table.orderBy("pos").select("keyword").limit(C.MAX_LITERALS + 1).collect()
-            self._known[kind] = [w for (w,) in rows] if len(rows) <= C.MAX_LITERALS else None
-        return self._known[kind]
+            self.known[kind] = [w for (w,) in rows]
+        words = self.known[kind]
+        return words if len(words) <= C.MAX_LITERALS else None
 
 
 def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
@@ -90,6 +92,7 @@ def reference_tables(
         "urgency": (urgency, C.URGENCY_KEYWORDS),
         "lure": (lures, C.LURE_KEYWORDS),
     }
+    known = {k: list(own or default) for k, (own, default) in (kinds | {"tld": (tlds, C.SUSPICIOUS_TLDS)}).items() if not isinstance(own, DataFrame)}
     words = [(k, i, w) for k, (own, default) in kinds.items() if not isinstance(own, DataFrame) for i, w in enumerate(own or default)]
     keywords = local_table(spark, words, "kind string, pos int, keyword string")
     for k, (own, default) in kinds.items():
@@ -107,6 +110,7 @@ def reference_tables(
         tlds=_list(spark, tlds, C.SUSPICIOUS_TLDS, "tld"),
         keywords=keywords,
         suffix_rules=load_suffix_rules(spark, suffix_path, suffix_rules),
+        known=known,
     )
 
 
