@@ -126,7 +126,7 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _bits(n: int) -> int:
-    return int(min(MAX_BITS, max(MIN_BITS, 1 << (64 * n).bit_length())))
+    return int(min(MAX_BITS, max(MIN_BITS, 1 << (256 * n).bit_length())))
 
 
 def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
