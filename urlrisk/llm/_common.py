@@ -27,13 +27,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: this cuts the
-    lineage, so a lost executor costs a re-read and not a recomputation."""
+    lineage, so a lost executor costs a re-read and not a recomputation. Also its path."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialize_at``, without the path."""
+    return materialize_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``materialize_at`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows, and about how many bytes, that a Python worker turns into objects at a time.

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import scratch_dir
+from .centroids import cluster
 from .chat import format_chats
 from .decontaminate import find_contaminated
+from .embedding_copies import near_vectors
+from .hard_negatives import mine
 from .html_text import extract_text
 from .language import predict_language
 from .neighbours import nearest
@@ -86,6 +89,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return mine(_table(spark, sf_dir, "embeddings").select("vec_id", other.alias("label"), "embedding"), "id % 100 = 0")
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -98,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_quality": op9_quality,
         "op10_language": op10_language,
+        "op11_centroids": op11_centroids,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_near_vectors": op13_near_vectors,
     }
 
 
