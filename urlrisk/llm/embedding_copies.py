@@ -161,7 +161,7 @@ def _over_borders(rows: DataFrame, d: int, threshold: float, window: int) -> Dat
     totals = sorted((r.part, r.total) for r in rows.select("part", "total").distinct().collect())  # one row for each range
     meet = rows.sparkSession.createDataFrame(_borders(totals, window), "part int, border int, is_after boolean")
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         before = group[~group["is_after"]].sort_values(["part", "place"]).iloc[-window:]
         after = group[group["is_after"]].sort_values("place").iloc[:window]
         both = pd.concat([before, after])
@@ -290,7 +290,7 @@ def _count_large(members: DataFrame, d: int, threshold: float) -> DataFrame:
         return pd.DataFrame({"node": np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()[core]]), "links": np.concatenate([to_left, to_core])})
 
     cols = ["root", "g", "p", "node", "rows", "v"]
-    met = asking.select(*cols).groupBy("root", "g", "p").cogroup(asked.select(*cols, "core").groupBy("root", "g", "p")).applyInPandas(meet, "node long, links long")
+    met = asking.select(*(F.col(c).alias(c) for c in cols)).groupBy("root", "g", "p").cogroup(asked.select(*cols, "core").groupBy("root", "g", "p")).applyInPandas(meet, "node long, links long")
     return own.unionByName(met).groupBy("node").agg(F.sum("links").alias("links"))
 
 
