@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urlrisk.operators.numbering import numbered
+
 SEVERITIES = ("low", "medium", "high", "critical")
 _MATCH = ("indicator", "indicator_type", "source", "severity", "description")
 
@@ -58,29 +60,40 @@ def match_iocs(n: DataFrame, hosts: DataFrame, iocs: DataFrame) -> DataFrame:
     return found.select("url_id", F.coalesce("url_ioc", "host_ioc").alias("ioc")).where("ioc IS NOT NULL")
 
 
-def upsert_iocs(iocs: DataFrame, updates: DataFrame, order_col: str = "seq") -> DataFrame:
-    """The table after the updates, in the columns of ``IOC``.
+def latest_reports(updates: DataFrame, start: int, order_col: str = "seq") -> DataFrame:
+    """The last report of each indicator, in the columns of ``IOC``.
 
-    Indicator, type and severity of an update are trimmed and lower-cased. The last update
-    of an indicator by ``order_col`` (ties: the report that sorts last) replaces its row
-    under a new id and the time of the run; source and severity default to ``community``
-    and ``high``.
+    Indicator, type and severity are trimmed and lower-cased; source and severity default to
+    ``community`` and ``high``; reports without an indicator or a type are left out. Every report
+    takes the next id after ``start`` in the order of ``order_col``, which may be of any type
+    (nulls first; ties by the other columns), as inserting one by one would give it, and keeps
+    it if it is the last of its indicator. So batches of reports that follow each other
+    give the same ids as all of them at once.
     """
-    top = iocs.agg(F.max("id")).first()[0] or 0
     clean = updates.select(
-        F.col(order_col).alias("_seq"),
+        F.col(order_col).alias("_order"),
         *(F.lower(F.trim(c)).alias(c) for c in ("indicator", "indicator_type")),
         F.coalesce("source", F.lit("community")).alias("source"),
         F.coalesce(F.lower(F.trim("severity")), F.lit("high")).alias("severity"),
         "description",
-    )
+    ).where("indicator IS NOT NULL AND indicator_type IS NOT NULL")
+    rows = numbered(clean, "_n", "_order", "indicator", *_MATCH[1:])
+    rows = rows.select((F.col("_n") + F.lit(start).cast("long")).alias("id"), *_MATCH, F.current_timestamp().alias("created_at"))
     # a maximum is found in part where the reports are read, so no indicator is a hot key
-    rest = ("indicator_type", "source", "severity", "description")
-    last = clean.groupBy("indicator").agg(F.max("_seq").alias("_seq"), F.max_by(F.struct(*rest), F.struct("_seq", *rest)).alias("r")).select("_seq", "indicator", "r.*")
-    # new ids follow the order of the updates, as inserts one by one would give them
-    fresh = last.select((F.col("_seq") + F.lit(top)).cast("long").alias("id"), "indicator", "indicator_type", "source", "severity", "description", F.current_timestamp().alias("created_at"))
-    kept = iocs.join(fresh.select("indicator"), "indicator", "left_anti").select(*fresh.columns)
-    return kept.unionByName(fresh)
+    return rows.groupBy("indicator").agg(F.max_by(F.struct(*rows.columns), "id").alias("r")).select("r.*")
+
+
+def replace_reported(iocs: DataFrame, latest: DataFrame) -> DataFrame:
+    """``iocs`` with the rows of ``latest``, one for each indicator, in place of theirs."""
+    kept = iocs.join(latest.select("indicator"), "indicator", "left_anti").select(*latest.columns)
+    return kept.unionByName(latest)
+
+
+def upsert_iocs(iocs: DataFrame, updates: DataFrame, order_col: str = "seq") -> DataFrame:
+    """The table after the updates, in the columns of ``IOC``: the last report of an
+    indicator (``latest_reports``) replaces its row under a new id, after the largest."""
+    top = iocs.agg(F.max("id")).first()[0] or 0
+    return replace_reported(iocs, latest_reports(updates, top, order_col))
 
 
 def list_iocs(iocs: DataFrame, n: int = 100) -> DataFrame:

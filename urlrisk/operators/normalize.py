@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from urlrisk.functions.idna import to_ascii, to_unicode
 from urlrisk.functions.text import settle
 from urlrisk.sources.scratch import written
 
@@ -132,16 +133,12 @@ def registered_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StructType([T.StructField("is_punycode", T.BooleanType()), T.StructField("unicode_domain", T.StringType())]))
 def _idn(hosts: pd.Series) -> pd.DataFrame:
-    """By the IDNA rules of 2003, which Python itself has: with one codec everywhere the
-    results don't depend on what else is installed."""
+    """By the IDNA rules of 2008."""
 
     def one(h: str) -> tuple[bool, str]:
-        try:
-            if "xn--" in h:
-                return True, h.encode("ascii").decode("idna")
-            return "xn--" in h.encode("idna").decode("ascii"), h
-        except (UnicodeError, ValueError):
-            return "xn--" in h, h
+        if "xn--" in h:
+            return True, to_unicode(h) or h
+        return "xn--" in (to_ascii(h) or ""), h
 
     return pd.DataFrame([one(h) for h in hosts], columns=["is_punycode", "unicode_domain"])
 

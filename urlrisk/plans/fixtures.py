@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: URLs of many kinds over ``pages``.
 URL_CORPUS = """
 SELECT page_id AS url_id,
-       CASE CAST(page_id % 30 AS INT)
+       CASE CAST(page_id % 36 AS INT)
          WHEN 0  THEN concat('http://192.168.', CAST(page_id % 256 AS STRING), '.', CAST(page_id % 7 AS STRING), '/login')
          WHEN 1  THEN concat('https://paypa1.com/login?id=', CAST(page_id AS STRING))
          WHEN 2  THEN concat('https://micros0ft-login.com/', CAST(page_id AS STRING))
@@ -32,10 +32,15 @@ SELECT page_id AS url_id,
          WHEN 21 THEN concat('https://a-quite-long-host-name-for-this-table', CAST(page_id AS STRING), '.example-hosting.net/a')
          WHEN 22 THEN concat('https://example.com/q9Zx7Lk2Vb8Nw4Rt6Yp1Jm3/Hd5Gs0Fa', CAST(page_id AS STRING))
          WHEN 25 THEN concat('http://[2001:DB8::00', hex(16 + page_id % 200), ']:8080/login')
-         WHEN 26 THEN CASE WHEN page_id % 4 < 2 THEN concat('http://shop', CAST(page_id AS STRING), '.xn--mchen-kva.de/') ELSE 'http://xn--pple-43d.com/' END
+         WHEN 26 THEN CASE WHEN page_id % 5 < 3 THEN concat('http://shop', CAST(page_id AS STRING), '.xn--mchen-kva.de/') ELSE 'http://xn--pple-43d.com/' END
          WHEN 27 THEN concat('http://сосо', CAST(page_id AS STRING), '.рф/')
          WHEN 28 THEN concat('https://a.shop', CAST(page_id AS STRING), '.city.ck/x')
          WHEN 29 THEN concat('https://b', CAST(page_id AS STRING), '.www.ck/x')
+         WHEN 30 THEN concat('http://faß', CAST(page_id AS STRING), '.de/')
+         WHEN 31 THEN CASE WHEN page_id % 5 < 3 THEN concat('http://xn--fa-hia.de/', CAST(page_id AS STRING)) ELSE concat('http://a', CAST(page_id AS STRING), '.xn--strae-oqa.de/') END
+         WHEN 32 THEN CASE WHEN page_id % 5 < 3 THEN concat('http://i❤', CAST(page_id AS STRING), '.ws/') ELSE concat('http://xn--i-7iq.ws/', CAST(page_id AS STRING)) END
+         WHEN 33 THEN CASE WHEN page_id % 5 < 3 THEN concat('http://l·l', CAST(page_id AS STRING), '.cat/') ELSE concat('http://a·b', CAST(page_id AS STRING), '.cat/') END
+         WHEN 34 THEN CASE WHEN page_id % 5 < 3 THEN concat('http://xn--a-0ea', CAST(page_id AS STRING), '.com/') ELSE concat('http://か・き', CAST(page_id AS STRING), '.jp/') END
          ELSE url
        END AS url
 FROM pages
@@ -50,16 +55,21 @@ LEFT JOIN url_corpus p ON p.url_id = c.quoted
 """
 
 #: A report for each page, of its host or of one of few large sites, with a number that
-#: orders them; the last report of a host counts.
+#: orders them; the last report of a host counts. The first is the only one of its host.
 IOC_FEED = """
 SELECT page_id AS seq,
-       CASE WHEN page_id % 3 = 0 THEN concat('site', CAST(page_id % 7 AS STRING), '.test') ELSE regexp_extract(url, '://([^/?#:]+)', 1) END AS indicator,
+       CASE WHEN page_id = 0 THEN 'first.test' WHEN page_id % 3 = 0 THEN concat('site', CAST(page_id % 7 AS STRING), '.test') ELSE regexp_extract(url, '://([^/?#:]+)', 1) END AS indicator,
        'domain' AS indicator_type, CASE WHEN page_id % 2 = 0 THEN 'community' ELSE 'partner' END AS source,
        CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity,
        concat('report ', CAST(page_id AS STRING)) AS description
 FROM pages
 """
 
+#: Which third of the reports, by their number, each is in: a stream gets them one by one.
+REPORT_THIRDS = "SELECT *, CAST(floor(seq * 3 / (SELECT max(seq) + 1 FROM ioc_feed)) AS INT) AS third FROM ioc_feed"
+#: Which third of the URLs each is in.
+URL_THIRDS = "SELECT url_id, url, CAST(floor(url_id * 3 / (SELECT max(url_id) + 1 FROM url_corpus)) AS INT) AS third FROM url_corpus"
+
 #: Ten URLs for each event, on few hosts.
 URL_BENCH = """
 SELECT event_id * 10 + k AS url_id,
@@ -96,6 +106,13 @@ def ioc_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(IOC_FEED)
 
 
+def thirds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus and the reports, each with its third."""
+    url_corpus(spark, sf_dir).createOrReplaceTempView("url_corpus")
+    ioc_feed(spark, sf_dir).createOrReplaceTempView("ioc_feed")
+    return spark.sql(URL_THIRDS), spark.sql(REPORT_THIRDS)
+
+
 def url_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "events")
     return spark.sql(URL_BENCH)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from urlrisk import config as C
-from urlrisk.plans.fixtures import IOC_FEED, MESSAGES, URL_CORPUS
+from urlrisk.plans.fixtures import IOC_FEED, MESSAGES, REPORT_THIRDS, URL_CORPUS, URL_THIRDS
 
 
 def _rows(rows) -> str:
@@ -25,7 +26,9 @@ _BRANDS = [(i, b, d) for i, (b, ds) in enumerate(C.BRAND_DOMAINS.items()) for d
 _SEEDS = [(i + 1, *r) for i, r in enumerate(C.DEFAULT_IOCS)]
 _LOOKS = [(i, c, f"'{c}' ({unicodedata.name(c)})") for i, c in enumerate(C.HOMOGLYPH_FROM)]
 #: The encoded labels of the corpus, decoded.
-_DECODED = [("xn--mchen-kva", "müchen"), ("xn--pple-43d", "аpple")]
+_DECODED = [("xn--mchen-kva", "müchen"), ("xn--pple-43d", "аpple"), ("xn--fa-hia", "faß"), ("xn--strae-oqa", "straße")]
+#: What no host of the corpus may hold, or not in this place, if it is to be encoded.
+_NOT_ENCODED = "❤|a·b"
 
 #: Each later part may use the earlier ones.
 PARTS = {
@@ -59,7 +62,7 @@ PARTS = {
         || CASE WHEN port > 0 AND ((scheme = 'http' AND port <> 80) OR (scheme = 'https' AND port <> 443)) THEN ':' || port ELSE '' END
         || path || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS normalized_url FROM norm""",
     "hosts": r"""SELECT DISTINCT hostname, is_ip, CASE WHEN is_ip THEN regexp_replace(hostname, ':0+([0-9a-f])', ':\1', 'g') END AS ip_address, string_split(hostname, '.') AS labels FROM norm WHERE is_valid""",
-    "idn": r"""SELECT hostname, regexp_matches(hostname, '[^\x00-\x7F]') OR contains(hostname, 'xn--') AS is_punycode, coalesce(max(replace(hostname, code, plain)), hostname) AS unicode_domain
+    "idn": rf"""SELECT hostname, (regexp_matches(hostname, '[^\x00-\x7F]') AND NOT regexp_matches(hostname, '{_NOT_ENCODED}')) OR contains(hostname, 'xn--') AS is_punycode, coalesce(max(replace(hostname, code, plain)), hostname) AS unicode_domain
         FROM hosts LEFT JOIN decoded ON contains(hostname, code) GROUP BY hostname""",
     "tails": r"""SELECT hostname, k, array_to_string(labels[len(labels) - k + 1 : len(labels)], '.') AS tail FROM (SELECT hostname, labels, unnest(range(1, len(labels) + 1)) AS k FROM hosts WHERE NOT is_ip)""",
     "keyed": r"""SELECT hostname, k, tail AS rule FROM tails UNION ALL SELECT hostname, k + 1, '*.' || tail FROM tails""",
@@ -175,15 +178,41 @@ PARTS = {
     "messages": MESSAGES,
     "msg_urls": r"""SELECT msg_id, unnest(list_transform(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9+.-]*://[^\s<>"'']+'), lambda u, i: struct_pack(pos := i - 1, url := regexp_replace(u, '[.,;:!?)\]}]+$', '')))) AS e FROM messages""",
     "ioc_feed": IOC_FEED,
-    "ioc_last": r"""SELECT max(seq) AS seq, indicator, arg_max(indicator_type, seq) AS indicator_type, arg_max(source, seq) AS source, arg_max(severity, seq) AS severity, arg_max(description, seq) AS description FROM ioc_feed GROUP BY indicator""",
-    "ioc_after": r"""SELECT CAST(4 + seq AS BIGINT) AS id, indicator, indicator_type, source, severity, description FROM ioc_last
+    "reports": f"SELECT *, row_number() OVER (ORDER BY seq) AS n FROM ({REPORT_THIRDS})",
+    "ioc_last": r"""SELECT max(n) AS n, indicator, arg_max(indicator_type, n) AS indicator_type, arg_max(source, n) AS source, arg_max(severity, n) AS severity, arg_max(description, n) AS description FROM reports GROUP BY indicator""",
+    "ioc_after": r"""SELECT CAST(4 + n AS BIGINT) AS id, indicator, indicator_type, source, severity, description FROM ioc_last
         UNION ALL SELECT id, indicator, indicator_type, source, severity, description FROM seeds WHERE indicator NOT IN (SELECT indicator FROM ioc_last)""",
+    # what a third of the URLs sees of the reports
+    "url_thirds": URL_THIRDS,
+    "seen(third)": "VALUES (0), (1), (2)",
+    "iocs_seen": r"""SELECT v.third, 4 + max(r.n) AS id, indicator, arg_max(indicator_type, r.n) AS indicator_type, arg_max(source, r.n) AS source, arg_max(severity, r.n) AS severity, arg_max(description, r.n) AS description
+        FROM seen v JOIN reports r ON r.third < v.third GROUP BY v.third, indicator
+        UNION ALL SELECT v.third, s.* FROM seen v, seeds s WHERE NOT EXISTS (SELECT 1 FROM reports r WHERE r.third < v.third AND r.indicator = s.indicator)""",
+    "ioc_live": r"""SELECT url_id, u.third, arg_min(s.id, pos) AS id FROM cand JOIN url_thirds u USING (url_id) JOIN iocs_seen s ON s.indicator = candidate AND s.third = u.third GROUP BY url_id, u.third""",
+    "ioc_rows_live": r"""SELECT i.url_id, s.* FROM ioc_live i JOIN iocs_seen s ON s.id = i.id AND s.third = i.third""",
+    # detectors of one's own, and one of the others left out
+    "sig_own": r"""SELECT * FROM sig WHERE ord <> 9
+        UNION ALL SELECT url_id, 22, 'Login over plain HTTP', 'medium', 'Path ' || path || ' is not encrypted on its way', 7 FROM full_rows WHERE scheme = 'http' AND contains(lower(path), 'login')
+        UNION ALL SELECT url_id, 23, 'Excessive digits in hostname', 'low', 'Hostname contains ' || length(regexp_replace(hostname, '[^0-9]', '', 'g')) || ' digits', 5 FROM full_rows
+            WHERE NOT is_ip AND length(regexp_replace(hostname, '[^0-9]', '', 'g')) >= 4
+        UNION ALL SELECT url_id, 24, 'Long domain', 'low', 'Domain has ' || length(registered_domain) || ' characters', 3 FROM full_rows WHERE NOT is_ip AND length(registered_domain) > 25""",
     "shown": r"""SELECT url_id, to_json(struct_pack(risk_score := risk_score, risk_level := risk_level, classification := classification, confidence := confidence, known_ioc := known_ioc,
         signals := CASE WHEN signals = '' THEN [] ELSE list_transform(string_split(signals, ';'), lambda s: struct_pack(name := split_part(s, '|', 1), severity := split_part(s, '|', 2), evidence := split_part(s, '|', 3))) END,
         recommendation := recommendation)) AS verdict FROM verdicts""",
 }
 
 
+def _again(suffix: str, first: str) -> dict[str, str]:
+    """The parts from ``first`` to the verdicts once more, built on ``<first>_<suffix>``."""
+    chain = ("ioc_rows", "flags", "sig", "kept", "sums", "scored", "classed", "verdicts")
+    chain = chain[chain.index(first) :]
+    names = re.compile(rf"\b({'|'.join(chain)})\b")
+    return {f"{name}_{suffix}": names.sub(rf"\1_{suffix}", PARTS[name]) for name in chain[1:]}
+
+
+PARTS |= _again("live", "ioc_rows") | _again("own", "sig")
+
+
 def oracle(select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in PARTS.items()) + "\n" + select
 
@@ -207,7 +236,7 @@ SELECTS = {
     "ioc_candidates": "SELECT url_id, CAST(pos AS INT) AS pos, candidate FROM cand",
     "ioc_match": "SELECT url_id, indicator, indicator_type, source, severity, description FROM ioc_rows",
     "ioc_upsert": "SELECT id, indicator, indicator_type, source, severity, description FROM ioc_after",
-    "ioc_report_stream": "SELECT indicator, indicator_type, source, severity, description FROM ioc_after",
+    "ioc_report_stream": "SELECT id, indicator, indicator_type, source, severity, description FROM ioc_after",
     "ioc_top": "SELECT id, indicator, source, severity FROM ioc_after ORDER BY id DESC LIMIT 5",
     "ioc_signals": "SELECT url_id, name, severity, evidence FROM sig WHERE ord = 0",
     "trusted_flag": "SELECT url_id, is_trusted FROM flags",
@@ -242,6 +271,8 @@ SELECTS = {
     "malformed_verdict": f"SELECT {VERDICT} FROM verdicts WHERE starts_with(signals, 'Malformed URL|')",
     "verify_urls": f"SELECT {VERDICT} FROM verdicts",
     "verify_stream": f"SELECT {VERDICT} FROM verdicts",
+    "verify_stream_live": f"SELECT {VERDICT} FROM verdicts_live",
+    "own_detectors": f"SELECT {VERDICT} FROM verdicts_own",
     "message_risk": """SELECT msg_id, count(*) AS n_urls, CAST(sum(n_signals) AS BIGINT) AS n_signals, max(risk_score) AS worst_score, arg_max(risk_level, risk_score * 1000000 - url_id) AS worst_level,
         arg_max(url_id, risk_score * 1000000 - url_id) AS worst_url_id FROM verdicts JOIN (SELECT DISTINCT m.msg_id, p.url_id FROM msg_urls m JOIN url_corpus p ON trim(p.url) = m.e.url) USING (url_id) GROUP BY msg_id""",
     "campaign_rollup": """SELECT registered_domain, risk_level, count(*) AS n_urls, count(*) FILTER (WHERE known_ioc) AS n_iocs, round(avg(risk_score), 4) AS mean_score, max(risk_score) AS max_score

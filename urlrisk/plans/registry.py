@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from urlrisk.config import RiskConfig
 from urlrisk.functions.text import entropy
 from urlrisk.operators.brand import brand_hits
+from urlrisk.operators.detectors import Detector
 from urlrisk.operators.entropy import host_entropy_signal, path_entropy_signal
 from urlrisk.operators.heuristics import host_heuristics, url_heuristics
 from urlrisk.operators.homoglyph import imitated, is_mixed, look_alikes
@@ -20,8 +20,9 @@ from urlrisk.operators.scoring import LURES, classify, confidence, judge, malfor
 from urlrisk.operators.typosquat import first_resemblance, flag_trusted, similar_domains
 from urlrisk.plans import fixtures, oracles
 from urlrisk.plans.verify import campaign_rollup, message_risk, signal_table, verify_urls
+from urlrisk.sources.ioc_table import IocTable
 from urlrisk.sources.reference import References, default_iocs, load_iocs, reference_tables, suffix_table
-from urlrisk.sources.scratch import written
+from urlrisk.sources.scratch import folder, written
 from urlrisk.sources.urls import extract_urls, split_accepted, verdict_json
 from urlrisk.streaming.streams import current_iocs, ioc_report_stream, stream_of, verify_stream
 
@@ -175,25 +176,53 @@ def campaigns(r: Run) -> DataFrame:
     return campaign_rollup(verify_urls(r.urls, r.iocs, r.refs, CFG, with_domain=True))
 
 
-def _folder(r: Run, name: str) -> str:
-    """A new folder where the session keeps tables between steps."""
-    written(r.spark.range(0), name)
-    base = r.spark.conf.get("spark.checkpoint.dir", None) or r.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/{r.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+#: Detectors of one's own, one of each grain.
+OWN_DETECTORS = (
+    Detector("url", lambda n: n.where("scheme = 'http' AND contains(lower(path), 'login')").selectExpr(
+        "url_id", "'Login over plain HTTP' AS name", "'medium' AS severity", "concat('Path ', path, ' is not encrypted on its way') AS evidence", "7 AS weight")),
+    Detector("host", lambda h: h.where("NOT is_ip AND regexp_count(hostname, '[0-9]') >= 4").selectExpr(
+        "hostname", "'Excessive digits in hostname' AS name", "'low' AS severity", "concat('Hostname contains ', regexp_count(hostname, '[0-9]'), ' digits') AS evidence")),
+    Detector("domain", lambda d: d.where("length(registered_domain) > 25").selectExpr(
+        "registered_domain", "'Long domain' AS name", "'low' AS severity", "concat('Domain has ', length(registered_domain), ' characters') AS evidence", "3 AS weight")),
+)
+
+
+def own_detectors(r: Run) -> DataFrame:
+    return _flat(verify_urls(r.urls, r.iocs, r.refs, CFG, detectors=OWN_DETECTORS, without=["subdomains"]))
 
 
 def streamed_verdicts(r: Run) -> DataFrame:
-    folder = _folder(r, "stream")
-    stream = stream_of(r.spark, r.urls, f"{folder}/urls")
-    verify_stream(stream, r.iocs, r.refs, f"{folder}/verdicts", f"{folder}/state", CFG).awaitTermination()
-    return _flat(r.spark.read.parquet(f"{folder}/verdicts").drop("batch"))
+    at = folder(r.spark, "stream")
+    stream = stream_of(r.spark, r.urls, f"{at}/urls")
+    verify_stream(stream, r.iocs, r.refs, f"{at}/verdicts", f"{at}/state", CFG).awaitTermination()
+    return _flat(r.spark.read.parquet(f"{at}/verdicts").drop("batch"))
+
+
+def _third(df: DataFrame, k: int, path: str) -> DataFrame:
+    """One third of ``df`` arrives in ``path``, which is read as a stream."""
+    rows = df.where(F.col("third") == k).drop("third")
+    rows.write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(rows.schema).parquet(path)
 
 
 def streamed_iocs(r: Run) -> DataFrame:
-    folder = _folder(r, "reports")
-    stream = stream_of(r.spark, r.updates, f"{folder}/reports", key="indicator", order_col="seq")
-    ioc_report_stream(stream, f"{folder}/iocs", default_iocs(r.spark), f"{folder}/state").awaitTermination()
-    return current_iocs(r.spark, f"{folder}/iocs", default_iocs(r.spark)).select("indicator", "indicator_type", "source", "severity", "description")
+    """Three batches of reports, merged after the second."""
+    at, seeds = folder(r.spark, "reports"), default_iocs(r.spark)
+    reports = fixtures.thirds(r.spark, r.sf_dir)[1]
+    for k in range(3):
+        ioc_report_stream(_third(reports, k, f"{at}/reports"), f"{at}/iocs", seeds, f"{at}/state", compact_every=2).awaitTermination()
+    return current_iocs(r.spark, f"{at}/iocs", seeds).drop("created_at")
+
+
+def live_verdicts(r: Run) -> DataFrame:
+    """Each third of the URLs is verified with the reports that came before it."""
+    at, seeds = folder(r.spark, "live"), default_iocs(r.spark)
+    urls, reports = fixtures.thirds(r.spark, r.sf_dir)
+    table = IocTable(r.spark, f"{at}/iocs", seeds)
+    for k in range(3):
+        verify_stream(_third(urls, k, f"{at}/urls"), table, r.refs, f"{at}/verdicts", f"{at}/state", CFG).awaitTermination()
+        ioc_report_stream(_third(reports, k, f"{at}/reports"), f"{at}/iocs", seeds, f"{at}/reports_state", compact_every=2).awaitTermination()
+    return _flat(r.spark.read.parquet(f"{at}/verdicts").drop("batch"))
 
 
 BUILDERS: dict[str, Callable[[Run], DataFrame]] = {
@@ -245,7 +274,9 @@ BUILDERS: dict[str, Callable[[Run], DataFrame]] = {
     "message_risk": message_risks,
     "campaign_rollup": campaigns,
     "verify_stream": streamed_verdicts,
+    "verify_stream_live": live_verdicts,
     "ioc_report_stream": streamed_iocs,
+    "own_detectors": own_detectors,
 }
 
 

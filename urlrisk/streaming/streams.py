@@ -2,59 +2,76 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from urlrisk.config import RiskConfig
-from urlrisk.operators.iocs import upsert_iocs
 from urlrisk.plans.verify import verify_urls
-from urlrisk.schemas import IOC
+from urlrisk.sources.ioc_table import IocTable
 from urlrisk.sources.reference import References
 from urlrisk.sources.urls import split_accepted
 
 
-def verify_stream(stream: DataFrame, iocs: DataFrame, refs: References, sink: str, checkpoint: str, cfg: RiskConfig | None = None) -> StreamingQuery:
+def verify_stream(
+    stream: DataFrame, iocs: DataFrame | IocTable, refs: References, sink: str, checkpoint: str, cfg: RiskConfig | None = None, **how
+) -> StreamingQuery:
     """Verify an unbounded table of ``url_id, url``: each micro-batch is verified like a
     table and written to its own folder ``sink/batch=N``, so a repeated batch replaces
-    what it had written. There is no event time and no state."""
+    what it had written. There is no event time and no state.
+
+    With an ``IocTable`` a micro-batch sees the reports that were complete when it was first
+    tried. That version is written to ``sink_versions/batch=N`` before, so a repeated batch
+    sees the same (``pinned_versions``). ``how``: further arguments of ``verify_urls``.
+    """
+
+    def indicators(number: int) -> DataFrame:
+        if isinstance(iocs, DataFrame):
+            return iocs
+        known = {r.batch: r.version for r in pinned_versions(iocs.spark, sink).where(F.col("batch") == number).collect()}
+        if number not in known:
+            version = iocs.version()
+            known[number] = -1 if version is None else version
+            row = iocs.spark.createDataFrame([(known[number],)], "version long")
+            row.coalesce(1).write.mode("overwrite").parquet(f"{sink}_versions/batch={number}")
+        return iocs.snapshot(known[number])
 
     def write(batch: DataFrame, number: int) -> None:
         accepted, _ = split_accepted(batch)
-        verify_urls(accepted, iocs, refs, cfg).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        verify_urls(accepted, indicators(number), refs, cfg, **how).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_iocs(spark: SparkSession, table: str, default: DataFrame) -> DataFrame:
-    """The newest version of the indicator table in folder ``table``, or ``default``."""
-    at = newest_version(spark, table)
-    return default if at is None else spark.read.schema(IOC).parquet(f"{table}/version={at}")
+def pinned_versions(spark: SparkSession, sink: str) -> DataFrame:
+    """``batch, version``: the version of the indicators that each micro-batch saw; -1: before
+    all reports."""
+    schema = "version long, batch long"
+    try:
+        return spark.read.schema(schema).parquet(f"{sink}_versions").select("batch", "version")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "batch long, version long")
 
 
-def newest_version(spark: SparkSession, table: str) -> int | None:
-    """The largest N for which ``table/version=N`` was completely written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in files.listStatus(path) if s.getPath().getName().startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(done, default=None)
+def current_iocs(spark: SparkSession, table: str, default: DataFrame) -> DataFrame:
+    """The indicator table in folder ``table`` as it is now, or ``default``."""
+    return IocTable(spark, table, default).snapshot()
 
 
-def ioc_report_stream(reports: DataFrame, table: str, default: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Fold reports (columns of ``IOC_UPDATE``) into the indicator table: each micro-batch
-    writes the next version from the one before it, so a repeated batch writes the same
-    version again. Later batches, and readers of ``current_iocs``, see it."""
-    spark = reports.sparkSession
+def ioc_report_stream(reports: DataFrame, table: str, default: DataFrame, checkpoint: str, compact_every: int = 100, order_col: str = "seq") -> StreamingQuery:
+    """Fold reports (columns of ``IOC_UPDATE``) into the ``IocTable`` in folder ``table``: each
+    micro-batch writes its own reports and nothing else, but that every ``compact_every``
+    batches all are merged. A repeated batch writes the same again. Later
+    batches, and readers of the table, see it."""
+    into = IocTable(reports.sparkSession, table, default)
 
     def write(batch: DataFrame, number: int) -> None:
-        before = [n for n in (newest_version(spark, table),) if n is not None and n < number]
-        base = spark.read.schema(IOC).parquet(f"{table}/version={before[0]}") if before else default if number == 0 else current_before(number)
-        upsert_iocs(base, batch).write.mode("overwrite").parquet(f"{table}/version={number}")
-
-    def current_before(number: int) -> DataFrame:
-        return spark.read.schema(IOC).parquet(f"{table}/version={number - 1}")
+        into.append(batch, number, order_col)
+        if (number + 1) % compact_every == 0:
+            into.compact()
 
     return reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
