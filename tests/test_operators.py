@@ -14,7 +14,7 @@ from urlrisk.operators.iocs import ioc_candidates, list_iocs, match_iocs, upsert
 from urlrisk.operators.normalize import host_table, normalize_urls, registered_domains
 from urlrisk.operators.typosquat import first_resemblance, similar_domains
 from urlrisk.plans.verify import campaign_rollup, message_risk, verify_urls
-from urlrisk.sources.reference import bundled_suffixes, default_iocs, load_iocs, load_suffix_rules, reference_tables
+from urlrisk.sources.reference import default_iocs, listed_suffixes, load_iocs, load_suffix_rules, reference_tables
 from urlrisk.sources.urls import extract_urls, split_accepted, verdict_json, write_verdicts
 from urlrisk.streaming.streams import current_iocs, ioc_report_stream, stream_of, verify_stream
 
@@ -132,7 +132,7 @@ def test_long_lists_are_joined(spark, monkeypatch):
 def test_public_suffixes(spark):
     """The list among Spark's jars is the default; the built-in one serves where it is missing."""
     hosts = spark.createDataFrame([(h, False, None) for h in ("login.foo.com.ng", "x.y.co.zm", "a.b.com.bo", "a.www.ck", "a.b.city.kawasaki.jp", "deep.a.b.kawasaki.jp", "x.blogspot.com")], "hostname string, is_ip boolean, ip_address string")
-    if bundled_suffixes(spark) is None:
+    if listed_suffixes() is None:
         pytest.skip("no list among the jars")
     got = {r.hostname: r.registered_domain for r in registered_domains(hosts, load_suffix_rules(spark)).collect()}
     assert list(got.values()).count(None) == 0 and got == {
@@ -186,6 +186,36 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {(r.registered_domain, r.risk_level, r.n_urls) for r in rolled} == {("e.com", "LOW", 1), ("e.com", None, 1), (None, None, 1)}
 
 
+def test_hosts_without_a_scheme(spark):
+    """Around full URLs, e-mail addresses and what only looks like a host; in any script, with what follows."""
+    texts = [
+        "Go to example.com/login, or WWW.Shop.co.uk. See http://a.com/x?u=b.com, c.org!",
+        "mail me@example.com or a.b+c@mail.example.co.uk; user:pw@evil.com",
+        "v1.2.3 e.g. this.that 10.0.0.1/x co.uk .com a..com -a.com a_b.com x.unlisted",
+        "(bücher.de) [xn--fa-hia.de]: url=pay.com:8080/?a=b.com#c.com \"d.net\"",
+        "medium.com/@user x_http://e.com",
+        "first.com http://second.com third.com ftp://fourth.com/fifth.com sixth.com",
+        "\x01seventh.com \x01http://eighth.com",
+        None,
+        "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id long, text string")
+    found = {}
+    for r in sorted(extract_urls(df, suffix_rules=load_suffix_rules(spark)).collect(), key=lambda r: r.pos):
+        found.setdefault(r.msg_id, []).append(r.url)
+        assert r.pos == len(found[r.msg_id]) - 1
+    assert found == {
+        0: ["example.com/login", "WWW.Shop.co.uk", "http://a.com/x?u=b.com", "c.org"],
+        3: ["bücher.de", "xn--fa-hia.de", "pay.com:8080/?a=b.com#c.com", "d.net"],
+        4: ["medium.com/@user", "http://e.com"],
+        5: ["first.com", "http://second.com", "third.com", "ftp://fourth.com/fifth.com", "sixth.com"],
+        6: ["seventh.com", "http://eighth.com"],
+    }
+    plain = extract_urls(df).collect()
+    assert {r.url for r in plain} == {u for us in found.values() for u in us if "://" in u}
+    assert extract_urls(df.limit(0), suffix_rules=load_suffix_rules(spark)).count() == 0
+
+
 def test_streams(spark, tmp_path):
     urls = spark.createDataFrame([(i, u) for i, u in enumerate(["http://e.com/login", "https://paypa1.com", "   ", "http://1.2.3.4"])], "url_id long, url string")
     refs, iocs = reference_tables(spark), default_iocs(spark)

@@ -107,21 +107,32 @@ def distinct_hosts(n: DataFrame) -> DataFrame:
     return n.where("is_valid").select("hostname", "is_ip", "ip_address").distinct()
 
 
-def registered_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
-    """``hosts(hostname, is_ip, ip_address)``, distinct, to ``hostname, registered_domain, subdomain``.
+def suffix_sizes(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
+    """``hostname, n_suffix``: how many labels the public suffix of each of ``hosts(hostname)``,
+    distinct, has; hosts without a rule are left out.
 
-    The longest suffix of the host that equals a rule (a wildcard stands for one label)
-    plus one label; an exception rule beats all and names a suffix one label shorter. Hosts without
-    a rule: the last two labels; a single label, or a suffix alone, is itself; so is an
-    IP address. An equi join on the suffixes of each host.
+    The longest suffix of the host that equals a rule counts (a wildcard stands for one
+    label); an exception rule beats all and names a suffix one label shorter. An equi join
+    on the suffixes of each host.
     """
-    h = hosts.withColumn("labels", F.split("hostname", r"\."))
-    tails = h.where("NOT is_ip").select("hostname", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("k"))
+    h = hosts.select("hostname", F.split("hostname", r"\.").alias("labels"))
+    tails = h.select("hostname", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("k"))
     tails = tails.withColumn("tail", F.expr("array_join(slice(labels, size(labels) - k + 1, k), '.')"))
     star = F.expr("array_join(concat(array('*'), slice(labels, size(labels) - k + 2, k - 1)), '.')")
     keys = tails.select("hostname", "k", F.explode(F.array(F.struct(F.col("tail").alias("rule")), F.struct(star.alias("rule")))).alias("s")).select("hostname", "k", "s.rule")
     hits = keys.join(suffix_rules, "rule")
-    best = hits.groupBy("hostname").agg(F.max_by(F.expr("if(kind = 'exception', k - 1, k)"), F.expr("struct(kind = 'exception', k)")).alias("n_suffix"))
+    return hits.groupBy("hostname").agg(F.max_by(F.expr("if(kind = 'exception', k - 1, k)"), F.expr("struct(kind = 'exception', k)")).alias("n_suffix"))
+
+
+def registered_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
+    """``hosts(hostname, is_ip, ip_address)``, distinct, to ``hostname, registered_domain, subdomain``.
+
+    The public suffix of the host (``suffix_sizes``) plus one label. Hosts without
+    a rule: the last two labels; a single label, or a suffix alone, is itself; so is an
+    IP address.
+    """
+    h = hosts.withColumn("labels", F.split("hostname", r"\."))
+    best = suffix_sizes(hosts.where("NOT is_ip"), suffix_rules)
     j = settle(h, "labels").join(best, "hostname", "left").withColumn("keep", F.expr("CASE WHEN n_suffix IS NULL THEN 2 ELSE n_suffix + 1 END"))
     whole = F.expr("size(labels) <= coalesce(n_suffix, 1)")
     return settle(j.select(

@@ -46,10 +46,21 @@ SELECT page_id AS url_id,
 FROM pages
 """
 
-#: Messages that quote one URL of the corpus each; every turn is one, with its whole text.
+#: Suffixes of two labels and more, under which a name can be registered.
+SUFFIXES = (
+    "co.uk org.uk ac.uk com.au net.au edu.au co.nz govt.nz co.za co.jp ne.jp osaka.jp ikeda.osaka.jp bando.ibaraki.jp nishi.fukuoka.jp co.kr co.in gov.in com.br blog.br "
+    "com.cn gov.cn com.tw com.hk com.sg com.my com.mx com.ar com.tr com.ng co.zm com.bo co.il co.th co.id com.pl katowice.pl campania.it on.ca lib.ny.us "
+    "stjordal.no iz.hr edu.bb nat.tn aeroclub.aero city.kawasaki.jp a.kobe.jp x.ck www.ck a.sch.uk"
+)
+#: A host under each of these suffixes, by the number of a page.
+SUFFIX_HOSTS = f"SELECT concat('www.shop', CAST(page_id AS STRING), '.', split_part('{SUFFIXES}', ' ', CAST(1 + page_id % {len(SUFFIXES.split())} AS INT))) AS hostname FROM pages"
+
+#: Messages that quote one URL of the corpus each, a host without a scheme, an e-mail address
+#: and what looks like hosts; every turn is one, with its whole text.
 MESSAGES = """
 SELECT c.conv_id * 1000 + c.turn AS msg_id,
-       concat('Please see ', coalesce(trim(p.url), ''), ' now. ', coalesce(c.text, '')) AS text
+       concat('Please see ', coalesce(trim(p.url), ''), ' now, or Pay', CAST(c.conv_id AS STRING), '.Example.co.uk:8080/x?y=1. Mail a.b@mail', CAST(c.turn AS STRING),
+              '.example.com (v1.2.3, e.g. notes.unlisted, or [bücher', CAST(c.turn AS STRING), '.de]). ', coalesce(c.text, '')) AS text
 FROM (SELECT conv_id, turn, text, (conv_id * 31 + turn) % (SELECT count(*) FROM pages) AS quoted FROM conversations) c
 LEFT JOIN url_corpus p ON p.url_id = c.quoted
 """
@@ -95,6 +106,11 @@ def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(URL_CORPUS)
 
 
+def suffix_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "pages")
+    return spark.sql(SUFFIX_HOSTS)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     url_corpus(spark, sf_dir).createOrReplaceTempView("url_corpus")
     tables(spark, sf_dir, "conversations")

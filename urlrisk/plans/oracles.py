@@ -6,7 +6,8 @@ import re
 import unicodedata
 
 from urlrisk import config as C
-from urlrisk.plans.fixtures import IOC_FEED, MESSAGES, REPORT_THIRDS, URL_CORPUS, URL_THIRDS
+from urlrisk.plans.fixtures import IOC_FEED, MESSAGES, REPORT_THIRDS, SUFFIX_HOSTS, URL_CORPUS, URL_THIRDS
+from urlrisk.sources.reference import default_suffixes
 
 
 def _rows(rows) -> str:
@@ -27,6 +28,9 @@ _SEEDS = [(i + 1, *r) for i, r in enumerate(C.DEFAULT_IOCS)]
 _LOOKS = [(i, c, f"'{c}' ({unicodedata.name(c)})") for i, c in enumerate(C.HOMOGLYPH_FROM)]
 #: The encoded labels of the corpus, decoded.
 _DECODED = [("xn--mchen-kva", "müchen"), ("xn--pple-43d", "аpple"), ("xn--fa-hia", "faß"), ("xn--strae-oqa", "straße")]
+#: A full URL in a text, and what may be a host without a scheme or an e-mail address.
+_URL = r"""[a-zA-Z][a-zA-Z0-9+.-]*://[^\s<>"'']+"""
+_BARE = r"""[^\s<>"''()\[\]{},;:!?/\\|*=#`~“”„«»\x01]+(?::[0-9]{1,5})?(?:[/?#][^\s<>"''\x01]*)?"""
 #: What no host of the corpus may hold, or not in this place, if it is to be encoded.
 _NOT_ENCODED = "❤|a·b"
 
@@ -38,7 +42,8 @@ PARTS = {
     "keywords(kind, pos, keyword)": _rows(_KEYWORDS),
     "tlds(pos, tld)": _rows(list(enumerate(C.SUSPICIOUS_TLDS))),
     "seeds(id, indicator, indicator_type, source, severity, description)": _rows(_SEEDS),
-    "rules(rule, kind)": _rows([(r.lstrip("!"), "exception" if r[0] == "!" else "wildcard" if r[0] == "*" else "normal") for r in C.SUFFIX_RULES]),
+    "rules": f"""SELECT ltrim(r, '!') AS rule, CASE r[1] WHEN '!' THEN 'exception' WHEN '*' THEN 'wildcard' ELSE 'normal' END AS kind
+        FROM (SELECT unnest(string_split('{" ".join(sorted(set(default_suffixes())))}', ' ')) AS r)""",
     "decoded(code, plain)": _rows(_DECODED),
     "advice(classification, recommendation)": _rows(list(C.RECOMMENDATIONS.items())),
     "raw": r"""SELECT url_id, regexp_replace(url, '^\s+|\s+$', '', 'g') AS original_url FROM url_corpus""",
@@ -176,7 +181,16 @@ PARTS = {
     "verdicts": f"""SELECT url_id, risk_score, risk_level, classification, confidence, known_ioc, signals, recommendation, n_signals FROM classed JOIN advice USING (classification)
         UNION ALL SELECT url_id, 5, 'LOW', 'Low Risk', CAST(0.5 AS DOUBLE), false, 'Malformed URL|low|' || error, '{C.MALFORMED_RECOMMENDATION}', 1 FROM norm WHERE NOT is_valid""",
     "messages": MESSAGES,
-    "msg_urls": r"""SELECT msg_id, unnest(list_transform(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9+.-]*://[^\s<>"'']+'), lambda u, i: struct_pack(pos := i - 1, url := regexp_replace(u, '[.,;:!?)\]}]+$', '')))) AS e FROM messages""",
+    # URLs in messages: full ones are marked, so that hosts are found around them
+    "marked": f"""SELECT msg_id, regexp_replace(replace(text, chr(1), ' '), '({_URL})', ' ' || chr(1) || '\\1 ', 'g') AS t FROM messages""",
+    "tokens_of": f"""SELECT msg_id, unnest(list_transform(regexp_extract_all(t, chr(1) || '[^\\s<>"'']+|' || '{_BARE}'), lambda u, i: struct_pack(place := i, u := regexp_replace(u, '[.,;:!?)\\]}}]+$', '')))) AS e FROM marked""",
+    "named": r"""SELECT msg_id, e.place AS place, CASE WHEN starts_with(e.u, chr(1)) THEN substr(e.u, 2) ELSE e.u END AS url, CASE WHEN NOT starts_with(e.u, chr(1)) THEN lower(regexp_extract(e.u, '^[^:/?#]+')) END AS hostname
+        FROM tokens_of WHERE starts_with(e.u, chr(1)) OR contains(e.u, '.')""",
+    "hosts_bare": r"""SELECT hostname, false AS is_ip, NULL::VARCHAR AS ip_address, string_split(hostname, '.') AS labels FROM (SELECT DISTINCT hostname FROM named WHERE hostname IS NOT NULL)
+        WHERE len(string_split(hostname, '.')) > 1 AND len(list_filter(string_split(hostname, '.'), lambda x: NOT regexp_matches(x, '^[^-_@%+$&^]([^_@%+$&^]*[^-_@%+$&^])?$'))) = 0 AND NOT regexp_matches(hostname, '\.[0-9][^.]*$')""",
+    "msg_urls": r"""SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY place) - 1 AS INT) AS pos, url FROM named n
+        WHERE n.hostname IS NULL OR n.hostname IN (SELECT b.hostname FROM best_bare b JOIN hosts_bare h USING (hostname) WHERE len(h.labels) > b.n_suffix)""",
+    "hosts_listed": f"SELECT hostname, false AS is_ip, NULL::VARCHAR AS ip_address, string_split(hostname, '.') AS labels FROM ({SUFFIX_HOSTS})",
     "ioc_feed": IOC_FEED,
     "reports": f"SELECT *, row_number() OVER (ORDER BY seq) AS n FROM ({REPORT_THIRDS})",
     "ioc_last": r"""SELECT max(n) AS n, indicator, arg_max(indicator_type, n) AS indicator_type, arg_max(source, n) AS source, arg_max(severity, n) AS severity, arg_max(description, n) AS description FROM reports GROUP BY indicator""",
@@ -202,19 +216,31 @@ PARTS = {
 }
 
 
-def _again(suffix: str, first: str) -> dict[str, str]:
-    """The parts from ``first`` to the verdicts once more, built on ``<first>_<suffix>``."""
-    chain = ("ioc_rows", "flags", "sig", "kept", "sums", "scored", "classed", "verdicts")
-    chain = chain[chain.index(first) :]
+#: Parts that are built on each other, to be built once more on another first one.
+_FROM_HOST = ("hosts", "tails", "keyed", "best", "dom")
+_FROM_MATCH = ("ioc_rows", "flags", "sig", "kept", "sums", "scored", "classed", "verdicts")
+
+
+def _again(suffix: str, chain: tuple[str, ...]) -> dict[str, str]:
+    """The later parts of ``chain`` once more, built on the first one's ``<first>_<suffix>``."""
     names = re.compile(rf"\b({'|'.join(chain)})\b")
     return {f"{name}_{suffix}": names.sub(rf"\1_{suffix}", PARTS[name]) for name in chain[1:]}
 
 
-PARTS |= _again("live", "ioc_rows") | _again("own", "sig")
+PARTS |= _again("live", _FROM_MATCH) | _again("own", _FROM_MATCH[2:]) | _again("bare", _FROM_HOST[:4]) | _again("listed", _FROM_HOST)
+PARTS["msg_urls"] = PARTS.pop("msg_urls")  # it is built on one of these
 
 
 def oracle(select: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in PARTS.items()) + "\n" + select
+    """``select`` with the parts that it is built on."""
+    wanted, left = set(), [select]
+    by_name = {key.split("(")[0]: key for key in PARTS}
+    while left:
+        for name in set(re.findall(r"\w+", left.pop())) & set(by_name) - wanted:
+            wanted.add(name)
+            left.append(PARTS[by_name[name]])
+    order = [key for name, key in by_name.items() if name in wanted]
+    return "WITH RECURSIVE " + ",\n".join(f"{key} AS ({PARTS[key]})" for key in order) + "\n" + select if order else select
 
 
 _SIG = "SELECT url_id, name, severity, evidence, weight FROM sig WHERE ord = "
@@ -223,7 +249,8 @@ VERDICT = "url_id, risk_score, risk_level, classification, confidence, known_ioc
 
 SELECTS = {
     "read_urls": "SELECT url_id, url FROM url_corpus WHERE url IS NOT NULL AND url <> ''",
-    "extract_urls": "SELECT msg_id, CAST(e.pos AS INT) AS pos, e.url AS url FROM msg_urls",
+    "extract_urls": "SELECT msg_id, pos, url FROM msg_urls",
+    "public_suffixes": "SELECT hostname, registered_domain, subdomain FROM dom_listed",
     "ioc_seed": "SELECT s.id, s.indicator, s.severity, count(i.url_id) AS n_urls FROM seeds s LEFT JOIN ioc i USING (id) GROUP BY ALL",
     "brand_domains": "SELECT b.pos, b.brand, b.legit_domain, count(f.url_id) AS n_urls FROM brands b LEFT JOIN full_rows f ON lower(f.registered_domain) = b.legit_domain GROUP BY ALL",
     "normalize_components": "SELECT url_id, original_url, scheme, hostname, path, query, port, is_valid FROM norm",
@@ -274,7 +301,7 @@ SELECTS = {
     "verify_stream_live": f"SELECT {VERDICT} FROM verdicts_live",
     "own_detectors": f"SELECT {VERDICT} FROM verdicts_own",
     "message_risk": """SELECT msg_id, count(*) AS n_urls, CAST(sum(n_signals) AS BIGINT) AS n_signals, max(risk_score) AS worst_score, arg_max(risk_level, risk_score * 1000000 - url_id) AS worst_level,
-        arg_max(url_id, risk_score * 1000000 - url_id) AS worst_url_id FROM verdicts JOIN (SELECT DISTINCT m.msg_id, p.url_id FROM msg_urls m JOIN url_corpus p ON trim(p.url) = m.e.url) USING (url_id) GROUP BY msg_id""",
+        arg_max(url_id, risk_score * 1000000 - url_id) AS worst_url_id FROM verdicts JOIN (SELECT DISTINCT m.msg_id, p.url_id FROM msg_urls m JOIN url_corpus p ON trim(p.url) = m.url) USING (url_id) GROUP BY msg_id""",
     "campaign_rollup": """SELECT registered_domain, risk_level, count(*) AS n_urls, count(*) FILTER (WHERE known_ioc) AS n_iocs, round(avg(risk_score), 4) AS mean_score, max(risk_score) AS max_score
         FROM verdicts JOIN (SELECT url_id, registered_domain FROM full_rows) USING (url_id) GROUP BY ROLLUP (registered_domain, risk_level)""",
 }

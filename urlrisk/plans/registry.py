@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from urlrisk.operators.typosquat import first_resemblance, flag_trusted, similar
 from urlrisk.plans import fixtures, oracles
 from urlrisk.plans.verify import campaign_rollup, message_risk, signal_table, verify_urls
 from urlrisk.sources.ioc_table import IocTable
-from urlrisk.sources.reference import References, default_iocs, load_iocs, reference_tables, suffix_table
+from urlrisk.sources.reference import References, default_iocs, load_iocs, reference_tables
 from urlrisk.sources.scratch import folder, written
 from urlrisk.sources.urls import extract_urls, split_accepted, verdict_json
 from urlrisk.streaming.streams import current_iocs, ioc_report_stream, stream_of, verify_stream
@@ -36,9 +37,9 @@ class Run:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @property
+    @cached_property
     def refs(self) -> References:
-        return reference_tables(self.spark, suffix_rules=suffix_table(self.spark))  # a list that the oracles hold as well
+        return reference_tables(self.spark)
 
     @property
     def iocs(self) -> DataFrame:
@@ -107,6 +108,11 @@ def registered_domain(r: Run) -> DataFrame:
     return registered_domains(written(distinct_hosts(r.norm), "hosts"), r.refs.suffix_rules)
 
 
+def public_suffixes(r: Run) -> DataFrame:
+    hosts = fixtures.suffix_hosts(r.spark, r.sf_dir).selectExpr("hostname", "false AS is_ip", "CAST(NULL AS string) AS ip_address")
+    return registered_domains(hosts, r.refs.suffix_rules)
+
+
 def ioc_match(r: Run) -> DataFrame:
     return match_iocs(r.norm, r.hosts, r.iocs).select("url_id", "ioc.*")
 
@@ -166,7 +172,7 @@ def _scored(r: Run) -> DataFrame:
 
 
 def message_risks(r: Run) -> DataFrame:
-    found = extract_urls(fixtures.messages(r.spark, r.sf_dir))
+    found = extract_urls(fixtures.messages(r.spark, r.sf_dir), suffix_rules=r.refs.suffix_rules)
     corpus = r.urls.select("url_id", F.trim("url").alias("url"))
     pairs = found.join(corpus, "url").select("msg_id", "url_id").distinct()
     return message_risk(r.verdicts, pairs)
@@ -227,13 +233,14 @@ def live_verdicts(r: Run) -> DataFrame:
 
 BUILDERS: dict[str, Callable[[Run], DataFrame]] = {
     "read_urls": lambda r: r.urls,
-    "extract_urls": lambda r: extract_urls(fixtures.messages(r.spark, r.sf_dir)),
+    "extract_urls": lambda r: extract_urls(fixtures.messages(r.spark, r.sf_dir), suffix_rules=r.refs.suffix_rules),
     "ioc_seed": ioc_seed,
     "brand_domains": brand_domains,
     "verdict_json": lambda r: verdict_json(r.verdicts),
     "normalize_components": lambda r: r.norm.select("url_id", "original_url", "scheme", "hostname", "path", "query", "port", "is_valid"),
     "host_ip": lambda r: distinct_hosts(r.norm),
     "registered_domain": registered_domain,
+    "public_suffixes": public_suffixes,
     "idn_hosts": lambda r: decode_idn(distinct_hosts(r.norm)),
     "canonical_url": lambda r: r.norm.select("url_id", "normalized_url"),
     "malformed": lambda r: split_malformed(r.norm)[1].select("url_id", "original_url", "error"),

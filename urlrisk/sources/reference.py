@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,20 +122,21 @@ def reference_tables(
 _BUNDLED = "mozilla/public-suffix-list.txt"
 
 
-def suffix_table(spark: SparkSession) -> DataFrame:
-    """``rule``: the built-in suffixes."""
-    return local_table(spark, [(r,) for r in C.SUFFIX_RULES], "rule string")
+@lru_cache(1)
+def listed_suffixes() -> tuple[str, ...] | None:
+    """The rules of the ICANN part of the public suffix list that comes with Spark's jars
+    (some seven thousand), or None where there is no such file."""
+    for jar in sorted((Path(pyspark.__file__).parent / "jars").glob("httpclient*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            if _BUNDLED in z.namelist():
+                text = z.read(_BUNDLED).decode("utf-8").split("===END ICANN DOMAINS===")[0]
+                return tuple(line.split()[0].lower() for line in text.splitlines() if line.strip() and not line.startswith("//"))
+    return None
 
 
-def bundled_suffixes(spark: SparkSession) -> DataFrame | None:
-    """``rule``: the ICANN part of the public suffix list that comes with Spark's jars
-    (some ten thousand lines), or None where there is no such file."""
-    stream = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream(_BUNDLED)
-    if stream is None:
-        return None
-    text = bytes(stream.readAllBytes()).decode("utf-8").split("===END ICANN DOMAINS===")[0]
-    rules = [(line.split()[0],) for line in text.splitlines() if line.strip() and not line.startswith("//")]
-    return written(spark.createDataFrame(rules, "rule string"), "suffixes")
+def default_suffixes() -> tuple[str, ...]:
+    """The listed suffixes, or the built-in ones where that list is missing."""
+    return listed_suffixes() or C.SUFFIX_RULES
 
 
 def load_suffix_rules(spark: SparkSession, path: str | None = None, table: DataFrame | None = None) -> DataFrame:
@@ -146,8 +151,7 @@ def load_suffix_rules(spark: SparkSession, path: str | None = None, table: DataF
         lines = lines.where(F.col("n") < end) if end is not None else lines
         rules = lines.where("rule <> '' AND NOT startswith(rule, '//')").select(F.lower(F.split_part("rule", F.lit(" "), F.lit(1))).alias("rule"))
     else:
-        rules = bundled_suffixes(spark)
-        rules = suffix_table(spark) if rules is None else rules.select(F.lower("rule").alias("rule"))
+        rules = written(spark.createDataFrame([(r,) for r in default_suffixes()], "rule string"), "suffixes")
     kind = F.when(F.col("rule").startswith("!"), "exception").when(F.col("rule").startswith("*."), "wildcard").otherwise("normal")
     return rules.select(F.regexp_replace("rule", "^!", "").alias("rule"), kind.alias("kind")).distinct()
 

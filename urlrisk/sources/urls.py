@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from urlrisk.operators.normalize import suffix_sizes
 
 #: A scheme, ``://`` and what follows up to white space or a closing sign.
 URL_IN_TEXT = r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s<>\"']+"
@@ -32,12 +35,40 @@ def read_urls(spark: SparkSession, path: str, fmt: str = "parquet", url_col: str
     return split_accepted(spark.read.format(fmt).options(**options).load(path), url_col, id_col)
 
 
-def extract_urls(df: DataFrame, text_col: str = "text", id_col: str = "msg_id") -> DataFrame:
+#: Stands before each full URL while hosts are looked for around them.
+_MARK = "\x01"
+#: What may be a host without a scheme, or an e-mail address, with a port, a path or a query.
+BARE_IN_TEXT = "[^\\s<>\"'()\\[\\]{},;:!?/\\\\|*=#`~“”„«»\x01]+(?::[0-9]{1,5})?(?:[/?#][^\\s<>\"'\x01]*)?"
+#: A host of two labels or more, the last one not a number.
+_HOST = "^(?:[^-_.@%+$&^](?:[^_.@%+$&^]*[^-_.@%+$&^])?\\.)+[^-_.@%+$&^0-9][^_.@%+$&^]*$"
+
+
+def extract_urls(df: DataFrame, text_col: str = "text", id_col: str = "msg_id", suffix_rules: DataFrame | None = None) -> DataFrame:
     """``msg_id, pos int, url``: one row for each URL in a text, in order; closing marks
-    after it are not part of it."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(f"({URL_IN_TEXT})"), 1)
-    rows = df.select(F.col(id_col).alias("msg_id"), F.posexplode(found).alias("pos", "url"))
-    return rows.withColumn("url", F.regexp_replace("url", _CLOSING, ""))
+    after it are not part of it. Ids must be unique.
+
+    With ``suffix_rules`` (a full list, as ``load_suffix_rules`` gives it), hosts without a
+    scheme are found too, with the port, path and query that follow them: two labels or
+    more, which end in a listed suffix and have a label before it, and are part of neither a
+    full URL nor an e-mail address. Addresses in numbers need a scheme. The suffixes are
+    joined to the distinct hosts.
+    """
+    text = F.col(text_col)
+    if suffix_rules is None:
+        found = F.regexp_extract_all(text, F.lit(f"({URL_IN_TEXT})"), 1)
+        rows = df.select(F.col(id_col).alias("msg_id"), F.posexplode(found).alias("pos", "url"))
+        return rows.withColumn("url", F.regexp_replace("url", _CLOSING, ""))
+    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), URL_IN_TEXT, f" {_MARK}$0 ")
+    found = F.regexp_extract_all(marked, F.lit(f"({_MARK}[^\\s<>\"']+|{BARE_IN_TEXT})"), 1)
+    kept = F.filter(found, lambda u: u.startswith(_MARK) | u.contains("."))
+    rows = df.select(F.col(id_col).alias("msg_id"), F.posexplode(kept).alias("at", "u")).withColumn("u", F.regexp_replace("u", _CLOSING, ""))
+    full = rows.where(F.col("u").startswith(_MARK)).select("msg_id", "at", F.substr("u", F.lit(2)).alias("url"))
+    bare = rows.where(~F.col("u").startswith(_MARK)).withColumn("hostname", F.lower(F.regexp_extract("u", "^[^:/?#]+", 0))).where(F.col("hostname").rlike(_HOST))
+    hosts = bare.select("hostname").distinct()
+    good = suffix_sizes(hosts, suffix_rules).where(F.size(F.split("hostname", r"\.")) > F.col("n_suffix")).select("hostname")
+    bare = bare.join(good, "hostname").select("msg_id", "at", F.col("u").alias("url"))
+    place = F.row_number().over(Window.partitionBy("msg_id").orderBy("at")) - 1
+    return full.unionByName(bare).select("msg_id", place.alias("pos"), "url")
 
 
 def write_verdicts(verdicts: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
