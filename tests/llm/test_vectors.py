@@ -195,7 +195,8 @@ def test_copies_equal_all_pairs(spark, monkeypatch):
     want = linked(scaled + odd)
     assert max(w[1] for w in want) > 80 and len({w[2] for w in want if w[1]}) > 8
     assert found(near_vectors(df)) == want
-    monkeypatch.setattr(embedding_copies, "CELL_ROWS", 20)
+    for name in ("SMALL_ROWS", "CELL_ROWS"):
+        monkeypatch.setattr(embedding_copies, name, 20)
     assert found(near_vectors(df)) == want
     assert near_vectors(df.limit(0)).count() == 0
     assert found(near_vectors(df.where("vec_id BETWEEN 4000 AND 4005"))) == linked(odd[:6])
@@ -203,7 +204,8 @@ def test_copies_equal_all_pairs(spark, monkeypatch):
 
 def test_core_and_fringe_of_large_components(spark, monkeypatch):
     """A chain, whose ends don't link, and a tight group with a few members far out."""
-    monkeypatch.setattr(embedding_copies, "CELL_ROWS", 16)
+    for name in ("SMALL_ROWS", "CELL_ROWS"):
+        monkeypatch.setattr(embedding_copies, name, 16)
     rng = np.random.default_rng(6)
     chain = [[math.cos(a), math.sin(a), 0.0, 0.0] for a in np.linspace(0, 1.5, 90)]
     tight = np.array([0, 0, 1.0, 0]) + 0.04 * rng.normal(size=(120, 4))

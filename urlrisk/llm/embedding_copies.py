@@ -33,8 +33,8 @@ from .vectors import as_bytes, common_size, is_finite, join_hot, matrix, unit
 WINDOW, KEY_BITS = 32, 62
 #: Passes that are sorted together; the classes are shuffled once for each pass.
 TOGETHER = 4
-#: Classes of a component that one task compares with each other.
-CELL_ROWS = 2048
+#: Classes of a component that are compared where they stand; of a cell of a larger one.
+SMALL_ROWS, CELL_ROWS = 256, 2048
 #: Classes that one range of a pass has, about.
 RANGE_ROWS = 1 << 16
 #: By how much an angle or cosine may be off by rounding.
@@ -200,7 +200,7 @@ def _weighed(x: np.ndarray, y: np.ndarray, weights: np.ndarray, threshold: float
 
 
 def _count_small(members: DataFrame, d: int, threshold: float) -> DataFrame:
-    """``node, links`` within components of at most ``CELL_ROWS`` classes."""
+    """``node, links`` within components of at most ``SMALL_ROWS`` classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -327,8 +327,8 @@ def near_vectors(
     within = found.join(classes, "node")  # both once for each node
     named = join_hot(within, sizes, "root", "size", n)
     named = materialize(named, "named")
-    small = _count_small(named.where(F.col("size") <= CELL_ROWS), d, threshold)
-    large = named.where(F.col("size") > CELL_ROWS)
+    small = _count_small(named.where(F.col("size") <= SMALL_ROWS), d, threshold)
+    large = named.where(F.col("size") > SMALL_ROWS)
     links = small if large.isEmpty() else small.unionByName(_count_large(large, d, threshold))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
     linked = join_hot(named.select("node", "root"), first, "root", "size", n).select("node", "component_id").join(links, "node")
