@@ -1,18 +1,18 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into one line per block, and every container, where it opens and where
-it closes, leaves an empty line, an article element as many as a window is long. The
-lengths of the lines are summed over sliding windows of ``WINDOW`` lines. Text surges where
-the sums reach a share of the page's largest, and dives where they have fallen to nothing;
-what lies between is a region, reached back to where its text begins. The region with most
-text is the article, together with what shares its container and other regions that are
-nearly as large.
-
-Structure only weighs: lines within an article or main element count several times, and
-lines of containers that by their element or by a whole name are something else (menus,
-notices, adverts, comments ...) count nothing, unless such a container holds an article
-element or, on a page without one, most of the text. Lines that are mostly links don't raise a sum, but
-stay where the text around them does.
+Markup is stripped into one line per block. The lengths of the lines are summed over sliding
+windows of ``WINDOW`` lines. Text surges where the sums reach a share of the page's largest,
+and dives where they have fallen to nothing; what lies between is kept: the stretch with most
+text, and others of at least ``ALSO_SHARE`` of its text.
+
+Structure does nothing but scale what a line counts. Lines within the article element that
+has most text count several times, and so do all their links; text that stands in a bare
+container counts less on pages with paragraphs; where there is none, lines
+outside of the container with most of the text count nothing, but for headlines and for
+text that is as dense or looks alike. Lines that are mostly links count nothing outside of an article
+element, but stay where text surges around them. Lines of menus, notices, adverts, comments
+and the like, told by their element or by the words of a container's name, are no lines of
+the page's text at all, unless the container holds an article element or much of the text.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,17 +32,22 @@ from ._common import map_batches
 WINDOW = 3
 #: Text surges at this share of the page's largest window sum.
 SURGE_SHARE = 0.25
-#: How many times a line within an article or main element counts.
-OWN_WEIGHT = 4
-#: A region, or container beside the article's, of at least this share is article text too.
-ALSO_SHARE = 0.5
-#: A container holds the article if so much of its region lies in it.
+#: How many times a line within an article or main element counts; one of another block.
+OWN_WEIGHT, BLOCK_WEIGHT = 16, 4
+#: A stretch, an article, or a container beside the main one, of at least this share of the largest's
+#: text is text of the page too.
+ALSO_SHARE = 0.25
+#: A container beside the main one is as dense from this share of its largest window sum.
+DENSE_SHARE = 0.5
+#: A container is the main one if so much of the text lies in it.
 MAIN_SHARE = 2 / 3
+#: A container within an article that its name speaks against stays from this share of the article's text.
+INNER_SHARE = 0.2
 #: A line of at least so much link text is a link.
 LINK_SHARE = 0.6
 
 _tags = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|"
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
@@ -57,17 +63,27 @@ _HEAD = frozenset("base link meta noscript script style template title".split())
 _SKIPPED = frozenset("head script style noscript template svg math canvas object iframe button select option datalist audio video map title textarea".split())
 #: Elements that are something else than the article, unless they hold it.
 _OTHER = frozenset("nav footer aside form dialog menu".split())
-#: Names of containers that are something else, and of their parts and places.
-_OTHER_NAMES = frozenset(
-    """ad ads adv advert adverts advertisement adslot advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs
-    header footer sidebar aside widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login
-    comment comments disqus respond replies share sharing social related recommended recommendations pagination pager toolbar search complementary contentinfo
-    dialog masthead""".split()
+#: Elements whose names say what they hold: those that hold blocks.
+_HOLDERS = frozenset("div section article main header aside nav footer ul ol dl form table tbody tr td details fieldset figure center menu dialog".split())
+#: Words that say so wherever they stand in a name.
+_ALWAYS = frozenset(
+    """ad ads advert adverts advertisement adslot advertising sponsor sponsored promo promos promotion promoted banner-ad cookie cookies consent gdpr newsletter
+    comment comments disqus respond replies discussion discussions breadcrumb breadcrumbs related recommended recommendations teaser teasers
+    sidebar pagination pager navbar navigation social sharing popup modal overlay""".split()
+)
+#: Words that say so if the whole name is made of them and of places.
+_ALONE = frozenset(
+    """banner nav menu header footer aside widget notice notices notification alert subscribe subscription signup login
+    share pages toolbar search complementary contentinfo dialog masthead""".split()
 )
 _PLACES = frozenset("area bar block bottom box container content form global inner left links list main outer page right section site slot top unit wrap wrapper".split())
-_COMMENTS = frozenset("comment comments disqus respond replies".split())
+#: Words that turn a name into a state of something else.
+_STATES = frozenset("has no not with without is open closed on off enabled disabled allowed count hide show".split())
+_ADVERTS = frozenset("ad ads advert adverts advertisement adslot advertising sponsor sponsored promo promos promotion promoted".split())
+_COMMENTS = frozenset("comment comments disqus respond replies discussion discussions".split())
+_HEADERS = frozenset("header masthead banner".split())
 _OWN = frozenset(("article", "main"))
-_BOXES = frozenset("body div article main td".split())
+_BOXES = frozenset("body div article main td section".split())
 
 
 class Line(NamedTuple):
@@ -82,37 +98,55 @@ class Line(NamedTuple):
     tag: str
 
 
+class Other(NamedTuple):
+    """A container that is something else than the article by its element or name."""
+
+    parent: int
+    own: int  # the article that it is in
+    talks: bool  # it holds comments
+    heads: bool  # it is a header
+
+
 class Page:
-    """The lines of a page in order, with gaps, and the containers they stand in."""
+    """The lines of a page in order, and the containers they stand in."""
 
     def __init__(self) -> None:
-        self.order: list[Line | None] = []  # None: an empty line
+        self.lines: list[Line] = []
         self.box_parent, self.box_look = [0], [""]
-        self.other_parent, self.other_holds, self.other_talks = [0], [False], [False]
+        self.others = [Other(0, 0, False, False)]
+        self.holds = {0}  # the others that hold an article element
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is a doubtful container, and whether one of comments; ``inside``:
-    it is in an article."""
+def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is something else than the article, whether it holds comments, and
+    whether it is a header; ``inside``: it is in an article."""
     if tag in ("html", "body"):
-        return False, False
-    names = [n for m in _names.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
-    found = talks = False
-    for name in names:
-        parts = [p for p in re.split("[-_]+", name) if p]
-        hits = [p for p in parts if p in _OTHER_NAMES and not (p == "header" and inside)]
-        if hits and all(p in _OTHER_NAMES or p in _PLACES for p in parts):
-            found = True
-            talks |= any(p in _COMMENTS for p in hits)
+        return False, False, False
+    found = talks = heads = False
+    if attributes:
+        for m in _names.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = [p for p in re.split("[-_]+", name) if p]
+                if not _STATES.isdisjoint(parts):
+                    continue
+                if tag not in _HOLDERS:
+                    found |= not _ADVERTS.isdisjoint(parts)
+                    continue
+                alone = [p for p in parts if p in _ALONE and not (p == "header" and inside)]
+                alone = alone if all(p in _ALONE or p in _PLACES for p in parts) else []
+                talks |= not _COMMENTS.isdisjoint(parts)
+                heads |= not _HEADERS.isdisjoint(alone)
+                found |= bool(alone) or not _ALWAYS.isdisjoint(parts)
     if tag in _OWN:
-        return talks, talks
-    return found or tag in _OTHER or tag == "header" and not inside or bool(attributes) and _hidden.search(attributes) is not None, talks
+        return talks, talks, False
+    hidden = bool(attributes) and _hidden.search(attributes) is not None
+    heads |= tag == "header" and not inside
+    return found or hidden or heads or tag in _OTHER, talks, heads and not hidden
 
 
 def parse(source: str) -> Page:
     """The lines of a page; time is linear in it."""
     page = Page()
-    order = page.order
     pieces: list[str] = []
     stack: list[tuple[str, bool, int, int, int]] = []  # element, whether it is skipped; container, article and doubtful container outside of it
     depth: Counter[str] = Counter()
@@ -124,7 +158,7 @@ def parse(source: str) -> Page:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                order.append(Line(text, linked, box, own, other, block))
+                page.lines.append(Line(text, linked, box, own, other, block))
             pieces.clear()
         linked = 0
 
@@ -138,10 +172,6 @@ def parse(source: str) -> Page:
                 skipped -= 1
             elif not skipped and top not in _INLINE:
                 flush()
-                if top in _BOXES:
-                    order.extend([None] * (WINDOW if top in _OWN else 1))
-                if outside[2] != other:
-                    order.extend([None] * WINDOW)
             box, own, other = outside
         block = next((x[0] for x in reversed(stack[-4:]) if x[0] not in _INLINE), "")
 
@@ -193,21 +223,18 @@ def parse(source: str) -> Page:
         if skipped or tag in _INLINE:
             continue
         block = tag
-        doubtful, talks = _kind(tag, attributes, own > 0)
+        doubtful, talks, heads = _kind(tag, attributes, own > 0)
         if doubtful:
-            order.extend([None] * WINDOW)
-            page.other_parent.append(other)
-            page.other_holds.append(False)
-            page.other_talks.append(talks)
-            other = len(page.other_parent) - 1
+            page.others.append(Other(other, own, talks, heads))
+            other = len(page.others) - 1
         if tag in _OWN and not talks:
             k = other
-            while k and not page.other_holds[k]:
-                page.other_holds[k], k = True, page.other_parent[k]
+            while k not in page.holds:
+                page.holds.add(k)
+                k = page.others[k].parent
             n_own += 1
             own = n_own if tag == "article" or not own else own
         if tag in _BOXES:
-            order.extend([None] * (WINDOW if tag in _OWN else 1))
             page.box_parent.append(box)
             page.box_look.append(f"{tag} {attributes.strip()}" if attributes.strip() else "")
             box = len(page.box_parent) - 1
@@ -216,31 +243,76 @@ def parse(source: str) -> Page:
     return page
 
 
-def line_sizes(page: Page) -> list[int]:
-    """What each line of ``page.order`` counts in the curve."""
-    lines = [x for x in page.order if x]
-    total = sum(len(x.text) for x in lines)
-    held = [0] * len(page.other_parent)
-    for x in lines:
+def _left_out(page: Page) -> list[bool]:
+    """For each of ``page.others``, whether its lines are no text of the page."""
+    n = len(page.others)
+    held, total, owned = [0] * n, 0, Counter()
+    headlines = [0] * n
+    for x in page.lines:
         held[x.other] += len(x.text)
-    for k in range(len(held) - 1, 0, -1):
-        held[page.other_parent[k]] += held[k]
-    owned = any(x.own and not x.other for x in lines)
-    out = [False] * len(held)
-    for k in range(1, len(held)):
-        keeps = page.other_holds[k] or not owned and not page.other_talks[k] and 2 * held[k] > total
-        out[k] = out[page.other_parent[k]] or not keeps
-    return [
-        0 if x is None or out[x.other] else -1 if x.linked >= LINK_SHARE * len(x.text) else len(x.text) * (OWN_WEIGHT if x.own else 1)
-        for x in page.order
-    ]  # -1: a link, which counts nothing but is not left out
+        headlines[x.other] += x.tag == "h1"
+        owned[x.own] += len(x.text)
+        total += len(x.text)
+    for k in range(n - 1, 0, -1):
+        held[page.others[k].parent] += held[k]
+        headlines[page.others[k].parent] += headlines[k]
+    any_own = any(x.own and not x.other for x in page.lines)
+    out = [False] * n
+    for k in range(1, n):
+        o = page.others[k]
+        if o.talks:
+            keeps = k in page.holds
+        elif o.own:
+            keeps = k in page.holds or headlines[k] > 0 or held[k] >= INNER_SHARE * owned[o.own]
+        else:
+            keeps = k in page.holds or not any_own and 2 * held[k] > total
+        out[k] = out[o.parent] or not keeps
+    return out
+
+
+def weighed(page: Page) -> tuple[list[Line], list[int]]:
+    """The lines that may be text of the page, and what each counts."""
+    out = _left_out(page)
+    lines = [x for x in page.lines if not out[x.other]]
+    bare = any(x.tag == "p" for x in lines)  # then text without such an element is less likely a page's
+    sizes = []
+    for x in lines:
+        if x.own:
+            sizes.append(len(x.text) * OWN_WEIGHT)
+        elif x.linked >= LINK_SHARE * len(x.text):
+            sizes.append(int(x.tag == "p"))  # a paragraph stays next to text, a menu does not
+        else:
+            sizes.append(len(x.text) * (1 if bare and x.tag in _BOXES else BLOCK_WEIGHT))
+    if not any(sizes):  # nothing but links
+        sizes = [len(x.text) for x in lines]
+    mass: Counter[int] = Counter()
+    for x, s in zip(lines, sizes, strict=True):
+        mass[x.own] += s
+    own = max(mass, key=lambda k: (mass[k], -k), default=0)
+    if own:
+        kept = [k for k, x in enumerate(lines) if x.own and mass[x.own] >= ALSO_SHARE * mass[own]]
+    else:
+        kept = _beside_no_article(page, lines, sizes)
+    lines, sizes = [lines[k] for k in kept], [sizes[k] for k in kept]
+    head = _headline(page, out)
+    if head and not any(x.tag == "h1" for x in lines):
+        lines, sizes = [head, *lines], [len(head.text) * (OWN_WEIGHT if own else BLOCK_WEIGHT), *sizes]
+    return lines, sizes
+
+
+def _headline(page: Page, out: list[bool]) -> Line | None:
+    """The only h1 of a page, in a header that is left out and has no other line: the article's."""
+    found = [x for x in page.lines if x.tag == "h1"]
+    if len(found) != 1 or not out[found[0].other] or not page.others[found[0].other].heads:
+        return None
+    alone = sum(x.other == found[0].other for x in page.lines) == 1 and not found[0].linked
+    return found[0] if alone else None
 
 
 def regions(sizes: list[int]) -> list[tuple[int, int]]:
     """(first, after last) of the stretches between surges and dives: each goes back from its
     surge to where its text begins, and on to where it dives."""
-    weights = [max(0, s) for s in sizes]
-    ahead = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    ahead = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
     surge = SURGE_SHARE * max(ahead, default=0)
     found, i = [], 0
     while i < len(ahead):
@@ -258,41 +330,22 @@ def regions(sizes: list[int]) -> list[tuple[int, int]]:
     return found
 
 
-def main_text(source: str | None) -> str:
+def main_text(source: str | None, stretches: Callable[[list[int]], list[tuple[int, int]]] = regions) -> str:
     """The article of a page, its blocks joined by newlines; empty if there is none."""
-    page = parse(source or "")
-    order, sizes = page.order, line_sizes(page)
-    if max(sizes, default=0) <= 0:  # nothing but links
-        sizes = [len(x.text) if x and s else 0 for x, s in zip(order, sizes, strict=True)]
-    found = regions(sizes)
-    if not found:
-        return ""
-    mass = [sum(max(0, s) for s in sizes[a:z]) for a, z in found]
-    largest = max(range(len(found)), key=lambda k: (mass[k], -k))
-    a, z = found[largest]
-    body = [k for k in range(a, z) if order[k] and sizes[k]]
-    owner: Counter[int] = Counter()
-    for k in body:
-        owner[order[k].own] += max(0, sizes[k])
-    own = owner.most_common(1)[0][0]
-    if own:  # an article element: all of its lines that count
-        kept = {k for k, x in enumerate(order) if x and sizes[k] and x.own == own}
-    else:
-        kept = _kept_without_article(page, sizes, body)
-    for k, (first, after) in enumerate(found):
-        inside = [j for j in range(first, after) if order[j] and sizes[j] and bool(order[j].own) == bool(own)]
-        if k != largest and sum(max(0, sizes[j]) for j in inside) >= ALSO_SHARE * mass[largest]:
-            kept.update(inside)
-    return "\n".join(order[k].text for k in sorted(kept) if sizes[k] > 0 or not _in_link_list(order, sizes, k))
-
-
-def _kept_without_article(page: Page, sizes: list[int], body: list[int]) -> set[int]:
-    """The lines of the container that holds most of the region ``body``, those of the
-    region in containers around it, and in others that surge themselves or look alike."""
-    order, parent = page.order, page.box_parent
+    lines, sizes = weighed(parse(source or ""))
+    found = stretches(sizes)
+    mass = [sum(sizes[a:z]) for a, z in found]
+    kept = [(a, z) for (a, z), m in zip(found, mass, strict=True) if m >= ALSO_SHARE * max(mass)]
+    return "\n".join(lines[k].text for a, z in kept for k in range(a, z) if sizes[k] or not _in_link_list(lines, sizes, k))
+
+
+def _beside_no_article(page: Page, lines: list[Line], sizes: list[int]) -> list[int]:
+    """The lines that count on a page without an article element: those of the container that
+    holds most of the text, of containers around it, and of others that are as dense or look alike."""
+    parent = page.box_parent
     held = [0] * len(parent)
-    for k in body:
-        held[order[k].box] += max(0, sizes[k])
+    for x, s in zip(lines, sizes, strict=True):
+        held[x.box] += 0 if x.own else s
     for b in range(len(parent) - 1, 0, -1):
         held[parent[b]] += held[b]
     main = max(b for b in range(len(parent)) if held[b] >= MAIN_SHARE * held[0])  # the innermost: children have larger numbers
@@ -304,24 +357,26 @@ def _kept_without_article(page: Page, sizes: list[int], body: list[int]) -> set[
     within[main] = True
     for b in range(main + 1, len(parent)):
         within[b] = within[parent[b]]
-    region = set(body)
-    kept = {k for k, x in enumerate(order) if x and sizes[k] and (within[x.box] or x.box in around and not x.own and (k in region or x.tag == "h1"))}
-    largest = max((sum(max(0, s) for s in sizes[k : k + WINDOW]) for k in body), default=0)
+    kept = {k for k, x in enumerate(lines) if not x.own and (within[x.box] or x.box in around)}
+    top = max((sum(sizes[k : k + WINDOW]) for k in sorted(kept)), default=0)
     beside: dict[int, list[int]] = {}
-    for k in body:
-        if k not in kept:
-            beside.setdefault(order[k].box, []).append(k)
+    for k, x in enumerate(lines):
+        if k not in kept and not x.own:
+            beside.setdefault(x.box, []).append(k)
     for b, rows in beside.items():
-        weights = [max(0, sizes[k]) for k in rows]
-        if max(sum(weights[i : i + WINDOW]) for i in range(len(weights))) >= ALSO_SHARE * largest or page.box_look[b] and page.box_look[b] == page.box_look[main]:
+        own = [sizes[k] for k in rows]
+        dense = max(sum(own[i : i + WINDOW]) for i in range(len(own))) >= DENSE_SHARE * top
+        if dense or page.box_look[b] and page.box_look[b] == page.box_look[main]:
             kept.update(rows)
-    return kept
+        else:
+            kept.update(k for k in rows if lines[k].tag == "h1")
+    return sorted(kept)
 
 
-def _in_link_list(order: list[Line | None], sizes: list[int], k: int) -> bool:
+def _in_link_list(lines: list[Line], sizes: list[int], k: int) -> bool:
     """Whether a line that is a link stands next to another one in a list."""
-    near = [j for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j] and sizes[j] < 0 and order[j].box == order[k].box]
-    return order[k].tag in ("li", "ul", "ol", "dd", "td") and bool(near)
+    near = [j for j in (k - 1, k + 1) if 0 <= j < len(lines) and not sizes[j] and lines[j].box == lines[k].box]
+    return lines[k].tag in ("li", "ul", "ol", "dd", "td") and bool(near)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
