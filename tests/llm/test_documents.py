@@ -95,6 +95,13 @@ def test_quality(spark):
     assert np.mean([by_id[i].predicted == labels[i][1] for i in held]) > 0.95
     kept = {r.doc_id for r in keep_good(docs, marks).collect()}
     assert kept == {r.doc_id for r in got if r.predicted == 1 or r.doc_id is None}
+    # a good and a bad text under one id: only the bad one goes
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good, bad = next(i for i in range(400) if by_id[i].predicted), next(i for i in range(400) if not by_id[i].predicted)
+    both = docs.unionByName(spark.createDataFrame([(good, texts[bad], "en", "s", 1, 0), (bad, texts[good], "en", "s", 1, 0)], DOCS))
+    marks_once = marks.where(f"doc_id NOT IN ({good}, {bad})")
+    assert sorted(r.doc_id for r in keep_good(both, marks_once).collect() if r.text == texts[good] and r.doc_id in (good, bad)) == sorted((good, bad))
+    assert not any(r.text == texts[bad] for r in keep_good(both, marks_once).collect() if r.doc_id in (good, bad))
     none = score_quality(docs, marks.limit(0)).collect()
     assert len(none) == len(got) and all(r.score == 0.5 for r in none)
     assert score_quality(docs.limit(0), marks).count() == 0

@@ -72,3 +72,33 @@ def test_one_id_with_several_texts(spark, keep):
     one, two = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
     docs = spark.createDataFrame([(5, one, 1), (5, two, 2), (5, two, 2), (7, one, 3), (8, two, 4)], "doc_id long, text string, _n int")
     assert sorted((r.doc_id, r.text) for r in keep(docs).collect()) == [(5, one), (5, two)]
+
+
+def test_heavy_buckets_without_a_large_component(spark):
+    """Templates that are all in one bucket, in many small components: groups stay bounded, no link is lost."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from urlrisk.llm import near_copies as nc
+
+    rng = random.Random(9)
+    sets = {}
+    for group in range(60):  # of 40 shingles 24 are of the template, and up to one of a copy is its own
+        own = [1000 + group * 100 + k for k in range(16)]
+        for copy in range(rng.choice([1, 2, 3, 5])):
+            sets[group * 10 + copy] = sorted([*range(24), *own[: 15 + (copy == 0)], *([50_000 + group * 10 + copy] if copy else [])])
+    rows = [(n, len(s), [7]) for n, s in sets.items()]
+    once = spark.createDataFrame(rows, "node long, size long, keys array<long>")
+    table = spark.createDataFrame([(n, s) for n, s in sets.items()], "node long, grams array<long>")
+    found = {r.node: r.root for r in nc._components(once, lambda wanted: table.join(wanted, "node", "left_semi"), 8, 8 * nc.LEAST_WEIGHT).collect()}
+    near = lambda a, b: 10 * len(set(sets[a]) & set(sets[b])) >= 8 * len(set(sets[a]) | set(sets[b]))
+    assert all(near(a, b) == (a // 10 == b // 10) for a in sets for b in sets)
+    for a in sets:
+        assert found.get(a, a) == a // 10 * 10
+    limit = 8 * nc.LEAST_WEIGHT
+    split = once.select(F.lit(7).cast("long").alias("key"), "node", "size", F.lit(len(sets) // 8 + 1).cast("long").alias("parts"))
+    groups = nc.pairs_of_parts(split, split, limit).groupBy("key").agg(F.count("*").alias("n"), F.collect_set("node").alias("nodes")).collect()
+    assert max(g.n for g in groups) <= 2 * 2 * 8 + 8 and len(groups) > 100
+    met = {(a, b) for g in groups for a in g.nodes for b in g.nodes}
+    assert met == {(a, b) for a in sets for b in sets}
+    assert np.mean([g.n for g in groups]) < 2 * 8 + 4
