@@ -123,6 +123,9 @@ SUFFIX_RULES = (
 #: The largest reference list that is written into expressions; larger ones are joined.
 MAX_LITERALS = 1000
 
+#: A feed of more indicators is put before its join as a filter of bounded size.
+LARGE_FEED = 100_000
+
 
 @dataclass(frozen=True)
 class RiskConfig:

@@ -64,12 +64,36 @@ def first_common(values, among: Column) -> Column:
     return F.get(F.array_intersect(literal_array(values), among), 0)
 
 
-def pieces(c: str, table: DataFrame, key: str) -> Column:
-    """The distinct substrings of a column that are as long as a ``key`` of ``table``; there
-    are at most as many lengths as the longest key has characters."""
-    sizes = ", ".join(str(r.n) for r in table.select(F.length(key).alias("n")).distinct().where("n > 0").collect())
-    cut = f"if(length({c}) >= n, transform(sequence(1, length({c}) - n + 1), i -> substr({c}, i, n)), cast(array() as array<string>))"
-    return F.expr(f"array_distinct(flatten(transform(array({sizes}), n -> {cut})))") if sizes else F.expr("cast(array() as array<string>)")
+#: Length of the parts by which the words of long lists are found.
+GRAM = 3
+
+
+def _grams(c: str, n: int) -> str:
+    return f"if(length({c}) >= {n}, transform(sequence(1, length({c}) - {n} + 1), i -> substr({c}, i, {n})), cast(array() as array<string>))"
+
+
+def rarest_grams(words: DataFrame, word: str) -> DataFrame:
+    """``gram, word``: for each distinct word the part of ``GRAM`` characters that fewest words have
+    (ties: the smaller); shorter words stand for themselves."""
+    words = words.select(word).distinct().where(f"{word} <> ''")
+    parts = words.where(F.length(word) >= GRAM).select(word, F.explode(F.expr(f"array_distinct({_grams(word, GRAM)})")).alias("gram"))
+    counts = parts.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(counts, "gram").groupBy(word).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    short = words.where(F.length(word) < GRAM).select(F.col(word).alias("gram"), word)
+    return rarest.select("gram", word).unionByName(short)
+
+
+def words_within(texts: DataFrame, key: str, text: str, words: DataFrame, word: str) -> DataFrame:
+    """``key, word``: the distinct ``words`` that are part of the ``text`` of each key of ``texts``.
+
+    One equi join, on the rarest part of a word: a text sends a row for each of its parts of
+    ``GRAM`` characters, and as many for each shorter length that a word has.
+    """
+    index = rarest_grams(words, word)
+    shorter = [r.n for r in words.select(F.length(word).alias("n")).distinct().where(f"n > 0 AND n < {GRAM}").collect()]
+    every = ", ".join(_grams(text, n) for n in (*shorter, GRAM))
+    sent = texts.select(key, text, F.explode(F.expr(f"array_distinct(concat({every}))")).alias("gram"))
+    return sent.join(index, "gram").where(F.contains(text, word)).select(key, word).distinct()
 
 
 def settle(df: DataFrame, *cols: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk import config as C
-from urlrisk.functions.text import first_match, literal_array, pieces, settle
+from urlrisk.functions.text import first_match, literal_array, settle, words_within
 from urlrisk.sources.reference import References
 
 
@@ -17,8 +17,8 @@ def brand_hits(hosts: DataFrame, refs: References) -> DataFrame:
     1: the brand is a part of the subdomain, between dots and hyphens. Rule 2: it is in the
     first label of the registered domain, and so is a lure, a hyphen or underscore, or
     more than two further characters. The subdomain's parts are joined with the brands. A
-    short list of brands is sought in the label as it is; of a longer one the label's
-    substrings that are as long as a brand are joined with it, and lures likewise.
+    short list of brands is sought in the label as it is; the words of a longer one are joined
+    on their rarest part (``words_within``), and lures likewise.
     """
     legit = refs.brands.select("pos", F.lower("legit_domain").alias("legit"))
     names = refs.brands.select("pos", "brand", F.lower("brand").alias("key")).distinct()
@@ -26,8 +26,11 @@ def brand_hits(hosts: DataFrame, refs: References) -> DataFrame:
     h = settle(h.withColumn("label", F.split_part("rd", F.lit("."), F.lit(1))))
     parts = h.select("hostname", "rd", "label", F.lit(1).alias("rule"), F.explode(F.array_distinct(F.split("sub", "[-.]"))).alias("key"))
     few = [k for (k,) in names.select("key").distinct().limit(C.MAX_LITERALS + 1).collect()]
-    within = F.filter(literal_array(few), lambda k: F.contains("label", k)) if len(few) <= C.MAX_LITERALS else pieces("label", names, "key")
-    found = h.select("hostname", "rd", "label", F.lit(2).alias("rule"), F.explode(within).alias("key"))
+    if len(few) <= C.MAX_LITERALS:
+        found = h.select("hostname", "rd", "label", F.lit(2).alias("rule"), F.explode(F.filter(literal_array(few), lambda k: F.contains("label", k))).alias("key"))
+    else:
+        held = words_within(h.select("label").distinct(), "label", "label", names, "key")
+        found = h.join(held, "label").select("hostname", "rd", "label", F.lit(2).alias("rule"), "key")
     hits = parts.unionByName(found).where("key <> ''").join(names, "key")
     # domains that end with a brand's own: its suffixes, joined to the brands' domains
     tails = "transform(sequence(1, size(split(rd, '\\\\.'))), i -> array_join(slice(split(rd, '\\\\.'), i, size(split(rd, '\\\\.'))), '.'))"
@@ -37,7 +40,7 @@ def brand_hits(hosts: DataFrame, refs: References) -> DataFrame:
     if lures is None:
         texts = hits.select("label").distinct()
         table = refs.keywords.where("kind = 'lure'").select(F.col("keyword").alias("piece"), F.col("pos").alias("nth"))
-        lured = texts.select("label", F.explode(pieces("label", table, "piece")).alias("piece")).join(table, "piece").groupBy("label").agg(F.min_by("piece", "nth").alias("lure"))
+        lured = words_within(texts, "label", "label", table, "piece").join(table, "piece").groupBy("label").agg(F.min_by("piece", "nth").alias("lure"))
         hits = hits.join(lured, "label", "left")
     else:
         hits = settle(hits.withColumn("lure", first_match(lures, lambda w: F.contains("label", w))), "lure")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.config import RiskConfig
-from urlrisk.functions.text import first_common, first_match, pieces
+from urlrisk.functions.text import first_common, first_match, words_within
 from urlrisk.operators.signals import signal
 from urlrisk.sources.reference import References
 
@@ -18,7 +18,12 @@ def _text(*parts) -> Column:
 def _first(df: DataFrame, key: str, words: Column, table: DataFrame, name: str) -> DataFrame:
     """``df`` with the first word of ``table(pos, keyword)`` that is among ``words`` as ``name``:
     an equi join on the word, and one row for each key joined back."""
-    rows = df.select(key, F.explode(words).alias("keyword")).join(table.select("pos", "keyword"), "keyword")
+    return _with_first(df, key, df.select(key, F.explode(words).alias("keyword")), table, name)
+
+
+def _with_first(df: DataFrame, key: str, words: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """The same, of ``words(key, keyword)``."""
+    rows = words.join(table.select("pos", "keyword"), "keyword")
     return df.join(rows.groupBy(key).agg(F.min_by("keyword", "pos").alias(name)), key, "left")
 
 
@@ -40,7 +45,7 @@ def with_long_url_lists(n: DataFrame, refs: References) -> DataFrame:
             table = refs.keywords.where(F.col("kind") == kind)
             if kind == "urgency":
                 rest = n.select("*", F.lower(F.concat("path", F.lit("?"), "query")).alias("rest"))
-                n = _first(rest, "url_id", pieces("rest", table, "keyword"), table, f"hit_{kind}").drop("rest")
+                n = _with_first(n, "url_id", words_within(rest, "url_id", "rest", table, "keyword"), table, f"hit_{kind}")
             else:
                 n = _first(n, "url_id", F.array_distinct(F.split(F.lower("path"), r"[/_.\-]")), table, f"hit_{kind}")
     return n

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urlrisk import config as C
+from urlrisk.functions.joins import filter_of, join_hot, let_through
 from urlrisk.operators.numbering import numbered
+from urlrisk.sources.scratch import written
 
 SEVERITIES = ("low", "medium", "high", "critical")
 _MATCH = ("indicator", "indicator_type", "source", "severity", "description")
@@ -34,29 +37,50 @@ def _feed(iocs: DataFrame) -> DataFrame:
     return rows.groupBy("indicator").agg(F.min_by(F.struct(*_MATCH), "id").alias("ioc"))
 
 
-def match_hosts(hosts: DataFrame, iocs: DataFrame) -> DataFrame:
+def _matched(keys: DataFrame, feed: DataFrame, large_feed: int) -> DataFrame:
+    """``keys`` (with ``indicator``) that an indicator of ``feed`` equals, with its ``ioc``.
+
+    A feed of up to ``large_feed`` rows is joined as it is, which the planner does by
+    broadcast. A larger one is first made into a filter of bounded size: the keys that it
+    lets through, few more than those that match, are counted, and the indicators that very
+    many of them have (say ``com``) are broadcast; only the rest is shuffled.
+    """
+    if feed.limit(large_feed + 1).count() <= large_feed:
+        return keys.join(feed, "indicator")
+    some = written(let_through(keys, "indicator", filter_of(feed, "indicator")), "candidates")
+    counts = some.groupBy("indicator").agg(F.count("*").alias("_n"))
+    found = written(feed.join(counts, "indicator"), "indicators")
+    return join_hot(some, found, "indicator", "_n", some.count()).drop("_n")
+
+
+def match_hosts(hosts: DataFrame, iocs: DataFrame, large_feed: int = C.LARGE_FEED) -> DataFrame:
     """``hostname, host_ioc``: for each distinct host the indicator that equals its longest
-    suffix, or else its registered domain. An equi join on the indicator."""
+    suffix, or else its registered domain. An equi join on the indicator (``_matched``)."""
     keys = hosts.select("hostname", F.posexplode(F.concat(_suffixes("hostname"), F.array(F.lower("registered_domain")))).alias("pos", "indicator"))
-    return keys.join(_feed(iocs), "indicator").groupBy("hostname").agg(F.min_by("ioc", "pos").alias("host_ioc"))
+    return _matched(keys, _feed(iocs), large_feed).groupBy("hostname").agg(F.min_by("ioc", "pos").alias("host_ioc"))
 
 
-def match_urls(n: DataFrame, iocs: DataFrame) -> DataFrame:
+def match_urls(n: DataFrame, iocs: DataFrame, large_feed: int = C.LARGE_FEED) -> DataFrame:
     """``n`` with ``url_ioc``: the indicator that equals the URL as given, or else the
-    canonical one. Two equi joins, which a small feed makes without a shuffle."""
+    canonical one. Two equi joins, which a small feed makes without a shuffle; with a large
+    one, only the URLs that its filter lets through are joined to it."""
     feed = _feed(iocs)
+    if feed.limit(large_feed + 1).count() > large_feed:
+        keys = n.select("url_id", F.posexplode(F.array(F.lower("original_url"), F.lower("normalized_url"))).alias("pos", "indicator"))
+        hits = _matched(keys, feed, large_feed).groupBy("url_id").agg(F.min_by("ioc", "pos").alias("url_ioc"))
+        return n.join(hits, "url_id", "left").select(*n.columns, "url_ioc")
     given = feed.select(F.col("indicator").alias("_given"), F.col("ioc").alias("_first"))
     canonical = feed.select(F.col("indicator").alias("_canonical"), F.col("ioc").alias("_second"))
     both = n.join(given, F.lower("original_url") == F.col("_given"), "left").join(canonical, F.lower("normalized_url") == F.col("_canonical"), "left")
     return both.select(*n.columns, F.coalesce("_first", "_second").alias("url_ioc"))
 
 
-def match_iocs(n: DataFrame, hosts: DataFrame, iocs: DataFrame) -> DataFrame:
+def match_iocs(n: DataFrame, hosts: DataFrame, iocs: DataFrame, large_feed: int = C.LARGE_FEED) -> DataFrame:
     """``url_id, ioc`` for each valid URL that an indicator names, ``ioc`` being the first
     by the order of its candidates (``ioc_candidates``); the indicator's type is not
     compared, an unknown severity is ``high``. ``hosts(hostname, registered_domain)`` are
     the distinct hosts, which are matched once each."""
-    found = match_urls(n.where("is_valid"), iocs).join(match_hosts(hosts, iocs), "hostname", "left")
+    found = match_urls(n.where("is_valid"), iocs, large_feed).join(match_hosts(hosts, iocs, large_feed), "hostname", "left")
     return found.select("url_id", F.coalesce("url_ioc", "host_ioc").alias("ioc")).where("ioc IS NOT NULL")
 
 

@@ -26,14 +26,48 @@ def _variants(c: str) -> Column:
     return F.expr(f"array_distinct(concat(array({c}), {first}, {second}))")
 
 
+#: Names of this length and more are found by segments. Two edits touch four of five segments at
+#: most, as a swap may touch two, so one of them stands in the text as it is.
+_LONG, _SEGMENTS = 10, 5
+#: By how much a text is longer than a name, and by how much a segment that two edits left
+#: alone may be moved in it.
+_MOVES = [(more, by) for more in range(-_REACH, _REACH + 1) for by in range(-_REACH, _REACH + 1) if abs(by) + abs(more - by) <= _REACH]
+
+
+def _cut(text: str, size: str, by: str) -> str:
+    """SQL for the segments of ``text`` at their places in a name of length ``size``, moved ``by``."""
+    start = f"(k * {size} div {_SEGMENTS})"
+    length = f"((k + 1) * {size} div {_SEGMENTS} - k * {size} div {_SEGMENTS})"
+    piece = f"struct(cast({size} AS int) AS size, cast(k AS int) AS k, if({start} + {by} >= 0, substr({text}, cast({start} + {by} + 1 AS int), cast({length} AS int)), '') AS piece)"
+    return f"filter(transform(sequence(0, {_SEGMENTS - 1}), k -> {piece}), s -> length(s.piece) = (s.k + 1) * {size} div {_SEGMENTS} - s.k * {size} div {_SEGMENTS})"
+
+
+def segments_of_name(c: str) -> Column:
+    """The five segments of a name, with its length and their numbers."""
+    return F.expr(_cut(c, f"length({c})", "0"))
+
+
+def segments_of_text(c: str) -> Column:
+    """What a text may share with a name of ``_LONG`` characters or more within two edits: at most
+    five segments for each of ``_MOVES``, whatever its length."""
+    moves = ", ".join(f"named_struct('more', {more}, 'by', {by})" for more, by in _MOVES)
+    cut = _cut(c, f"(length({c}) - m.more)", "m.by")
+    return F.expr(f"array_distinct(flatten(transform(filter(array({moves}), m -> length({c}) - m.more >= {_LONG}), m -> {cut})))")
+
+
 def _near(left: DataFrame, trusted: DataFrame) -> DataFrame:
     """Pairs of ``left(text)`` and trusted names that may lie within two edits, and all
-    that do: texts and names that lie so near share a variant with up to two characters
-    deleted. An equi join on the variants, whatever the size of either side."""
-    longest = trusted.agg(F.max(F.length("sld"))).first()[0] or 0
-    a = left.where(F.length("text") <= longest + _REACH).select("text", F.explode(_variants("text")).alias("variant"))
-    b = trusted.select("pos", "domain", F.col("sld").alias("name"), F.explode(_variants("sld")).alias("variant"))
-    return a.join(b, "variant").select("text", "pos", "domain", "name").distinct()
+    that do. Equi joins, whatever the size of either side: long names share a segment with
+    the text, short ones a variant with up to two characters deleted."""
+    is_long = F.length("sld") >= _LONG
+    short = left.where(F.length("text") < _LONG + _REACH)
+    a = short.select("text", F.explode(_variants("text")).alias("variant"))
+    b = trusted.where(~is_long).select("pos", "domain", F.col("sld").alias("name"), F.explode(_variants("sld")).alias("variant"))
+    by_variant = a.join(b, "variant").select("text", "pos", "domain", "name")
+    a = left.where(F.length("text") >= _LONG - _REACH).select("text", F.inline(segments_of_text("text")))
+    b = trusted.where(is_long).select("pos", "domain", F.col("sld").alias("name"), F.inline(segments_of_name("sld")))
+    by_segment = a.join(b, ["size", "k", "piece"]).select("text", "pos", "domain", "name")
+    return by_variant.unionByName(by_segment.where(F.levenshtein(F.col("text"), F.col("name"), 2 * _REACH) >= 0)).distinct()
 
 
 def _near_literal(left: DataFrame, names: list[tuple]) -> DataFrame:
@@ -66,7 +100,7 @@ def similar_domains(domains: DataFrame, trusted: DataFrame, cfg: RiskConfig | No
     characters) and differ. Rule 2: they are equal once digits are read as letters. Rule
     3: a part between hyphens is within one edit (two for trusted names over six), or
     equal once read as letters. ``path``: ``literal`` writes the trusted list into
-    expressions, ``join`` joins on deletion variants, ``auto`` takes the first for lists of
+    expressions, ``join`` joins on segments and variants, ``auto`` takes the first for lists of
     up to ``MAX_LITERALS`` rows. Both give the same rows.
     """
     cfg = cfg or RiskConfig()

@@ -299,6 +299,8 @@ SELECTS = {
     "verify_urls": f"SELECT {VERDICT} FROM verdicts",
     "verify_stream": f"SELECT {VERDICT} FROM verdicts",
     "verify_stream_live": f"SELECT {VERDICT} FROM verdicts_live",
+    "verdict_table": """SELECT CASE WHEN url_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run, risk_level, registered_domain, count(*) AS n_urls, max(risk_score) AS max_score
+        FROM verdicts LEFT JOIN (SELECT url_id, registered_domain FROM full_rows) USING (url_id) WHERE risk_level IN ('HIGH', 'CRITICAL') GROUP BY ALL""",
     "own_detectors": f"SELECT {VERDICT} FROM verdicts_own",
     "message_risk": """SELECT msg_id, count(*) AS n_urls, CAST(sum(n_signals) AS BIGINT) AS n_signals, max(risk_score) AS worst_score, arg_max(risk_level, risk_score * 1000000 - url_id) AS worst_level,
         arg_max(url_id, risk_score * 1000000 - url_id) AS worst_url_id FROM verdicts JOIN (SELECT DISTINCT m.msg_id, p.url_id FROM msg_urls m JOIN url_corpus p ON trim(p.url) = m.url) USING (url_id) GROUP BY msg_id""",

@@ -24,7 +24,7 @@ from urlrisk.plans.verify import campaign_rollup, message_risk, signal_table, ve
 from urlrisk.sources.ioc_table import IocTable
 from urlrisk.sources.reference import References, default_iocs, load_iocs, reference_tables
 from urlrisk.sources.scratch import folder, written
-from urlrisk.sources.urls import extract_urls, split_accepted, verdict_json
+from urlrisk.sources.urls import extract_urls, split_accepted, verdict_json, write_verdicts
 from urlrisk.streaming.streams import current_iocs, ioc_report_stream, stream_of, verify_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,6 +182,16 @@ def campaigns(r: Run) -> DataFrame:
     return campaign_rollup(verify_urls(r.urls, r.iocs, r.refs, CFG, with_domain=True))
 
 
+def verdict_table(r: Run) -> DataFrame:
+    """What a reader of the written table sees, after one of two runs was written again."""
+    at = folder(r.spark, "verdicts")
+    verdicts = verify_urls(r.urls, r.iocs, r.refs, CFG, with_domain=True)
+    for run, part in (("even", "url_id % 2 = 0"), ("odd", "url_id % 2 = 1"), ("even", "url_id % 2 = 0")):
+        write_verdicts(verdicts.where(part), at, run=run)
+    table = r.spark.read.parquet(at).where("risk_level IN ('HIGH', 'CRITICAL')")
+    return table.groupBy("run", "risk_level", "registered_domain").agg(F.count("*").alias("n_urls"), F.max("risk_score").alias("max_score"))
+
+
 #: Detectors of one's own, one of each grain.
 OWN_DETECTORS = (
     Detector("url", lambda n: n.where("scheme = 'http' AND contains(lower(path), 'login')").selectExpr(
@@ -284,6 +294,7 @@ BUILDERS: dict[str, Callable[[Run], DataFrame]] = {
     "verify_stream_live": live_verdicts,
     "ioc_report_stream": streamed_iocs,
     "own_detectors": own_detectors,
+    "verdict_table": verdict_table,
 }
 
 
