@@ -10,8 +10,9 @@ Base kinds are ``email``, ``ip``, ``card`` and ``phone``, with the spans that le
 non-overlapping matches of their patterns give (failing matches are dropped and not
 retried). The anchors add ``url`` (a scheme, ``://`` and what follows, without closing
 marks), ``account`` (a cue such as ``iban`` or ``account no`` and the identifier after it;
-an IBAN must pass its check digits) and ``secret`` (a cue such as ``password`` or
-``token``, a ``=`` or ``:`` and the value after it, or an access key by its first letters).
+an IBAN must pass its check digits, years and dates are none) and ``secret`` (a cue such as
+``password`` or ``token``, a ``=`` or ``:`` and the value after it, if that is no plain word, or
+an access key by its first letters).
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ _UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 #: By ISO 13616 an IBAN has at most 34 characters (and no country's under 15).
 IBAN_MOST = 34
 _IBAN_FORM = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}").fullmatch
+#: Years, pairs of years and dates.
+_DATED = re.compile(r"(?:19|20)[0-9]{2}(?:-(?:[0-9]{2}|(?:19|20)[0-9]{2}|[0-9]{1,2}-[0-9]{1,2}))?|[0-9]{1,2}-[0-9]{1,2}-(?:19|20)[0-9]{2}").fullmatch
+_INNER_UPPER = re.compile(r"[a-z][A-Z]").search
 _LETTER = _PLAIN - _DIGIT
 _VALUE = _PLAIN | frozenset("_-./+=~!@#$%^&*")
 _SCHEME = _PLAIN | frozenset("+.-")
@@ -191,7 +195,8 @@ def _iban_end(t: str, start: int) -> int:
 
 def _account(t: str, at: int) -> tuple[int, int] | None:
     """The identifier after a cue that ends before ``at``: blanks, colons, hashes, equals
-    signs and the word ``is`` may stand between; six or more characters with four or more digits."""
+    signs and the word ``is`` may stand between; six or more characters with four or more digits,
+    which are not years or dates (``_DATED``)."""
     start = _run(t, at, frozenset(" :#=."))
     if t[start : start + 3] == "is ":
         start = _run(t, start + 3, frozenset(" :#="))
@@ -206,11 +211,12 @@ def _account(t: str, at: int) -> tuple[int, int] | None:
     digits = sum(c in _DIGIT for c in value)
     if value[:2].isalpha() and value[2:4].isdigit() and digits > 10:
         return None  # it looks like an IBAN and is none
-    return (start, end) if len(value) >= 6 and digits >= 4 else None
+    return (start, end) if len(value) >= 6 and digits >= 4 and not _DATED(value) else None
 
 
 def _secret(t: str, at: int) -> tuple[int, int] | None:
-    """The value after a cue that ends before ``at``, an equals sign or colon, and quotes."""
+    """The value after a cue that ends before ``at``, an equals sign or colon, and quotes: six
+    or more characters that are no plain word (``_is_random``)."""
     k = _run(t, at, frozenset(" "))
     if k >= len(t) or t[k] not in "=:":
         return None
@@ -218,7 +224,16 @@ def _secret(t: str, at: int) -> tuple[int, int] | None:
     end = _run(t, start, _VALUE)
     while end > start and t[end - 1] in ".!":
         end -= 1
-    return (start, end) if end - start >= 6 else None
+    return (start, end) if end - start >= 6 and _is_random(t[start:end]) else None
+
+
+def _is_random(value: str) -> bool:
+    """Whether a value is no word, hyphenated words, name or number of prose: it has digits and
+    letters, or a sign that words don't have, or upper case after lower case."""
+    letters = sum(c in _LETTER for c in value)
+    digits = sum(c in _DIGIT for c in value)
+    signs = len(value) - letters - digits - sum(c in "-./" for c in value)
+    return digits > 0 and letters > 0 or signs > 0 or digits >= 6 and not _DATED(value) or _INNER_UPPER(value) is not None
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
