@@ -306,6 +306,21 @@ def test_query_finds_most_neighbours(spark):
     assert found / total >= 0.9
 
 
+def test_a_crowd_of_nearly_equal_vectors(spark):
+    """Each leaf gives a query no more than it needs, in the exact order, though single precision can't tell them apart."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([1 + 1e-7 * rng.normal(size=(900, 8)), rng.normal(size=(100, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 100 = 0"), leaf_rows=2000)
+    mine = {}
+    for r in got.collect():
+        mine.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for q in range(0, 1000, 100):
+        cos = (x * x[q]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[q] * x[q]).sum()))
+        order = [j for j in np.lexsort((np.arange(1000), -cos)).tolist() if j != q][:5]
+        assert [mine[q][k + 1] for k in range(5)] == [(j, cos[j]) for j in order]
+
+
 def test_all_leaves_can_be_walked():
     forest = fit_forest(np.random.default_rng(1).normal(size=(500, 8)), 3, 4)
     leaves = list(forest.walk(np.zeros(8, np.float32)))

@@ -7,8 +7,10 @@ split lies nearest among all trees, until it has taken ``n_leaves`` leaves. How
 that takes depends on the data (vectors without clusters need a large share of all), so
 it is measured: for a bounded set of vectors the true neighbours are found by brute
 force, and the count is the least with which the queue reaches ``recall`` of them.
-Queries and vectors then meet by leaf, are scored there as one matrix product, and the
-best of each leaf are merged and ranked by exact cosine.
+Queries and vectors then meet by leaf. One matrix product in single precision leaves the
+few that can be among the best; these are ranked by their exact cosine, so a leaf gives
+each query no more than it can need, however many vectors are nearly equal. The best of
+each leaf are merged.
 """
 
 from __future__ import annotations
@@ -116,10 +118,6 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _packed(unit: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in unit], pa.binary())
-
-
 def _leaves_needed(classes: DataFrame, forest: Forest, held, trial: np.ndarray, k: int, recall: float, d: int) -> int:
     """The least number of leaves with which the queue finds ``recall`` of the true ``k``
     neighbours of the ``trial`` vectors, themselves left out."""
@@ -186,6 +184,8 @@ def nearest(
     ``k + 1`` smallest ids stand for it, of which no query can need more.
     """
     spark = vectors.sparkSession
+    #: Vectors are carried as they are given: those of floats fill half the room.
+    exact = "<f4" if all(df.schema[vector_col].dataType.elementType.typeName() == "float" for df in (vectors, queries)) else "<f8"
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col(vector_col).cast("array<double>")
@@ -202,31 +202,35 @@ def nearest(
     same = own.where(F.size("v") == d).distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     ranked = same.withColumn("r", F.row_number().over(Window.partitionBy("v", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
     classes = ranked.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-    classes = materialize(classes.select(F.col("ids")[0].alias("rep"), "ids", "v"), "vectors")
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), F.col("ids")[0].alias("least"), "ids", "v")
+    classes = materialize(classes, "vectors")
     n = classes.count()
     share = min(1.0, sample_rows / n)
-    picked = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("v").limit(2 * sample_rows)
+    picked = classes.where(F.pmod(F.xxhash64("least"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("v").limit(2 * sample_rows)
     x = np.array([r.v for r in picked.toLocalIterator()] or [classes.first().v], np.float64)
     depth = int(np.clip(np.ceil(np.log2(max(1, n / leaf_rows))), 0, np.floor(np.log2(max(1, len(x) / LEAF_SAMPLE)))))
     forest = fit_forest(x / np.linalg.norm(x, axis=1, keepdims=True), trees, depth)
     held = spark.sparkContext.broadcast(forest)
     n_leaves = _leaves_needed(classes, forest, held, x[: TRIAL_ROWS * (len(x) // TRIAL_ROWS or 1) : len(x) // TRIAL_ROWS or 1], k, recall, d)
 
+    def raw(x: np.ndarray) -> pa.Array:
+        return pa.array([row.tobytes() for row in x.astype(exact)], pa.binary())
+
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:
-        unit = _unit(_matrix(batch.column(1), d))
-        codes = held.value.codes(unit)
-        return pa.RecordBatch.from_arrays([batch.column(0), _packed(unit), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["rep", "v", "codes"])
+        x = _matrix(batch.column(2), d)
+        codes = held.value.codes(_unit(x))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw(x), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["rep", "least", "v", "codes"])
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        unit = _unit(_matrix(batch.column(1), d))
-        codes = [[t * 2**depth + leaf for t, leaf in held.value.search(row, n_leaves)] for row in unit]
-        return pa.RecordBatch.from_arrays([batch.column(0), _packed(unit), pa.array(codes, pa.list_(pa.int64()))], names=["id", "v", "codes"])
+        x = _matrix(batch.column(1), d)
+        codes = [[t * 2**depth + leaf for t, leaf in held.value.search(row, n_leaves)] for row in _unit(x)]
+        return pa.RecordBatch.from_arrays([batch.column(0), raw(x), pa.array(codes, pa.list_(pa.int64()))], names=["id", "v", "codes"])
 
-    indexed = materialize(map_batches(classes.select("rep", "v"), index, "rep long, v binary, codes array<long>"), "indexed")
+    indexed = materialize(map_batches(classes.select("rep", "least", "v"), index, "rep long, least long, v binary, codes array<long>"), "indexed")
     asked = usable(queries).where(F.size("v") == d).distinct()
     asked = materialize(map_batches(asked, probe, "id long, v binary, codes array<long>"), "asked")
     # a crowded leaf's vectors are dealt to several parts and so are its queries, and each part meets each
-    leaves, asked = indexed.select("rep", "v", F.explode("codes").alias("code")), asked.select("id", "v", F.explode("codes").alias("code"))
+    leaves, asked = indexed.select("rep", "least", "v", F.explode("codes").alias("code")), asked.select("id", "v", F.explode("codes").alias("code"))
     parts = leaves.groupBy("code").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("v_parts"))
     parts = parts.join(asked.groupBy("code").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("q_parts")), "code")
     parts = materialize(parts, "parts")  # one row for each leaf that is asked for, at most trees * 2**depth
@@ -236,32 +240,31 @@ def nearest(
     asked = asked.join(F.broadcast(parts.toDF("code", "vs", "qs")), "code").withColumn("qp", deal("id", "qs")).withColumn("vp", every("vs"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The best classes of a leaf for each query that came to it."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "rep": []})
-        reps = right["rep"].to_numpy(np.int64)
-        m = np.frombuffer(b"".join(right["v"]), np.float32).reshape(-1, d)
-        asks = np.frombuffer(b"".join(left["v"]), np.float32).reshape(-1, d)
-        ids, best = [], []
-        want = min(k + 1, len(reps))
-        for a in range(0, len(left), 512):
-            cos = asks[a : a + 512] @ m.T
-            # what ties, within single precision, with the last that is wanted comes along
-            last = np.partition(cos, len(reps) - want, axis=1)[:, len(reps) - want]
-            i, j = np.nonzero(cos >= last[:, None] - 2e-6)
-            ids.append(left["id"].to_numpy(np.int64)[a + i])
-            best.append(reps[j])
-        return pd.DataFrame({"query_id": np.concatenate(ids), "rep": np.concatenate(best)})
-
-    met = asked.select("code", "vp", "qp", "id", "v").groupBy("code", "vp", "qp").cogroup(leaves.select("code", "vp", "qp", "rep", "v").groupBy("code", "vp", "qp")).applyInPandas(meet, "query_id long, rep long").distinct()
-    pairs = met.join(classes, "rep").join(usable(queries).distinct().select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v, q = _matrix(batch.column(2), d), _matrix(batch.column(3), d)
-        cos = (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos)], names=["query_id", "ids", "score"])
-
-    scored = map_batches(pairs.select("query_id", "ids", "v", "q"), score, "query_id long, ids array<long>, score double")
-    scored = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").distinct()
+        """The best ``k + 1`` classes of a leaf for each query that came to it (ties: the smaller id)."""
+        found = []
+        if len(left) and len(right):
+            right = right.sort_values(["least", "rep"])
+            m, asks = (np.frombuffer(b"".join(t["v"]), exact).reshape(-1, d).astype(np.float64) for t in (right, left))
+            sizes = np.sqrt((m * m).sum(axis=1))
+            near = _unit(m)
+            want = min(k + 1, len(m))
+            for a in range(0, len(asks), 512):
+                cos = _unit(asks[a : a + 512]) @ near.T
+                # what ties, within single precision, with the last that is wanted comes along
+                last = np.partition(cos, len(m) - want, axis=1)[:, len(m) - want]
+                for i, (row, least) in enumerate(zip(cos, last, strict=True), a):
+                    at = np.flatnonzero(row >= least - 2e-6)
+                    score = (m[at] * asks[i]).sum(axis=1) / (sizes[at] * np.sqrt((asks[i] * asks[i]).sum()))
+                    best = np.argsort(-score, kind="stable")[:want]
+                    found.append((np.full(len(best), left["id"].iloc[i]), at[best], score[best]))
+        ids, at, score = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+        cols = {c: right[c].to_numpy()[at] if len(at) else [] for c in ("rep", "least")}
+        return pd.DataFrame({"query_id": ids, **cols, "score": score})
+
+    sides = asked.select("code", "vp", "qp", "id", "v").groupBy("code", "vp", "qp"), leaves.select("code", "vp", "qp", "rep", "least", "v").groupBy("code", "vp", "qp")
+    met = sides[0].cogroup(sides[1]).applyInPandas(meet, "query_id long, rep long, least long, score double").distinct()
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "least", "rep")
+    met = met.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    scored = met.join(classes.select("rep", "ids"), "rep").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
