@@ -46,6 +46,13 @@ SELECT page_id AS url_id,
 FROM pages
 """
 
+#: The corpus as lines of CSV and of JSON; some of them are broken, some URLs are empty or missing.
+URL_LINES = {
+    "csv": """SELECT CASE CAST(url_id % 10 AS INT) WHEN 7 THEN concat('n', CAST(url_id AS STRING), ',x') WHEN 8 THEN concat(CAST(url_id AS STRING), ',') ELSE concat(CAST(url_id AS STRING), ',"', url, '"') END AS value FROM url_corpus""",
+    "json": """SELECT CASE CAST(url_id % 10 AS INT) WHEN 7 THEN concat('{"url_id": ', CAST(url_id AS STRING), ', "url": ') WHEN 8 THEN concat('{"url_id": ', CAST(url_id AS STRING), '}')
+        WHEN 9 THEN concat('{"url_id": ', CAST(url_id AS STRING), ', "url": ""}') ELSE concat('{"url_id": ', CAST(url_id AS STRING), ', "url": "', url, '"}') END AS value FROM url_corpus""",
+}
+
 #: Suffixes of two labels and more, under which a name can be registered.
 SUFFIXES = (
     "co.uk org.uk ac.uk com.au net.au edu.au co.nz govt.nz co.za co.jp ne.jp osaka.jp ikeda.osaka.jp bando.ibaraki.jp nishi.fukuoka.jp co.kr co.in gov.in com.br blog.br "
@@ -106,6 +113,11 @@ def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(URL_CORPUS)
 
 
+def url_lines(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    url_corpus(spark, sf_dir).createOrReplaceTempView("url_corpus")
+    return spark.sql(URL_LINES[fmt])
+
+
 def suffix_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "pages")
     return spark.sql(SUFFIX_HOSTS)

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 from urlrisk import config as C
-from urlrisk.plans.fixtures import IOC_FEED, MESSAGES, REPORT_THIRDS, SUFFIX_HOSTS, URL_CORPUS, URL_THIRDS
+from urlrisk.plans.fixtures import IOC_FEED, MESSAGES, REPORT_THIRDS, SUFFIX_HOSTS, URL_CORPUS, URL_LINES, URL_THIRDS
 from urlrisk.sources.reference import default_suffixes
 
 
@@ -249,6 +249,11 @@ VERDICT = "url_id, risk_score, risk_level, classification, confidence, known_ioc
 
 SELECTS = {
     "read_urls": "SELECT url_id, url FROM url_corpus WHERE url IS NOT NULL AND url <> ''",
+    "read_tables": f"""SELECT 'parquet' AS fmt, true AS accepted, url_id, url FROM url_corpus
+        UNION ALL SELECT 'csv', true, url_id, url FROM url_corpus WHERE url_id % 10 NOT IN (7, 8)
+        UNION ALL SELECT 'csv', false, CASE WHEN url_id % 10 = 8 THEN url_id END, CASE WHEN url_id % 10 = 7 THEN value END FROM (SELECT url_id, ({URL_LINES["csv"].replace("FROM url_corpus", "")}) AS value FROM url_corpus) WHERE url_id % 10 IN (7, 8)
+        UNION ALL SELECT 'json', true, url_id, url FROM url_corpus WHERE url_id % 10 NOT IN (7, 8, 9)
+        UNION ALL SELECT 'json', false, CASE WHEN url_id % 10 <> 7 THEN url_id END, CASE url_id % 10 WHEN 7 THEN value WHEN 9 THEN '' END FROM (SELECT url_id, ({URL_LINES["json"].replace("FROM url_corpus", "")}) AS value FROM url_corpus) WHERE url_id % 10 IN (7, 8, 9)""",
     "extract_urls": "SELECT msg_id, pos, url FROM msg_urls",
     "public_suffixes": "SELECT hostname, registered_domain, subdomain FROM dom_listed",
     "ioc_seed": "SELECT s.id, s.indicator, s.severity, count(i.url_id) AS n_urls FROM seeds s LEFT JOIN ioc i USING (id) GROUP BY ALL",

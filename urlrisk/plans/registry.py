@@ -24,7 +24,7 @@ from urlrisk.plans.verify import campaign_rollup, message_risk, signal_table, ve
 from urlrisk.sources.ioc_table import IocTable
 from urlrisk.sources.reference import References, default_iocs, load_iocs, reference_tables
 from urlrisk.sources.scratch import folder, written
-from urlrisk.sources.urls import extract_urls, split_accepted, verdict_json, write_verdicts
+from urlrisk.sources.urls import extract_urls, read_urls, split_accepted, verdict_json, write_verdicts
 from urlrisk.streaming.streams import current_iocs, ioc_report_stream, stream_of, verify_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,21 @@ def _long(rows: DataFrame, signal) -> DataFrame:
     return out.select("url_id", "s.name", "s.severity", "s.evidence", "s.weight")
 
 
+def read_tables(r: Run) -> DataFrame:
+    """The corpus from three formats, with what is rejected of each."""
+    out = None
+    for fmt in ("parquet", "csv", "json"):
+        at = folder(r.spark, fmt)
+        if fmt == "parquet":
+            fixtures.url_corpus(r.spark, r.sf_dir).write.parquet(at)
+        else:
+            fixtures.url_lines(r.spark, r.sf_dir, fmt).write.text(at)
+        for accepted, rows in zip((True, False), read_urls(r.spark, at, fmt), strict=True):
+            rows = rows.select(F.lit(fmt).alias("fmt"), F.lit(accepted).alias("accepted"), "url_id", "url")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def ioc_seed(r: Run) -> DataFrame:
     hits = match_iocs(r.norm, r.hosts, r.iocs).select(F.col("ioc.indicator").alias("indicator"), "url_id")
     return r.iocs.join(hits, "indicator", "left").groupBy("id", "indicator", "severity").agg(F.count("url_id").alias("n_urls"))
@@ -243,6 +258,7 @@ def live_verdicts(r: Run) -> DataFrame:
 
 BUILDERS: dict[str, Callable[[Run], DataFrame]] = {
     "read_urls": lambda r: r.urls,
+    "read_tables": read_tables,
     "extract_urls": lambda r: extract_urls(fixtures.messages(r.spark, r.sf_dir), suffix_rules=r.refs.suffix_rules),
     "ioc_seed": ioc_seed,
     "brand_domains": brand_domains,

@@ -29,10 +29,24 @@ def spread(urls: DataFrame) -> DataFrame:
     return urls if urls.isStreaming or urls.rdd.getNumPartitions() >= cores else urls.repartition(2 * cores)
 
 
-def read_urls(spark: SparkSession, path: str, fmt: str = "parquet", url_col: str = "url", id_col: str = "url_id", **options) -> tuple[DataFrame, DataFrame]:
+#: What Spark calls a line of text that has not the form of the table.
+_BROKEN = "_corrupt_record"
+
+
+def read_urls(
+    spark: SparkSession, path: str, fmt: str = "parquet", url_col: str = "url", id_col: str = "url_id", id_type: str = "long", **options
+) -> tuple[DataFrame, DataFrame]:
     """A table of URLs in Parquet, CSV, JSON or any format that Spark reads, as
-    ``split_accepted`` splits it."""
-    return split_accepted(spark.read.format(fmt).options(**options).load(path), url_col, id_col)
+    ``split_accepted`` splits it. Lines of CSV and JSON that can't be read, or whose id is not
+    of ``id_type``, are rejected too, with the whole line as ``url`` and no id; CSV without a
+    header has the id first."""
+    if fmt not in ("csv", "json"):
+        return split_accepted(spark.read.format(fmt).options(**options).load(path), url_col, id_col)
+    schema = f"`{id_col}` {id_type}, `{url_col}` string, {_BROKEN} string"
+    rows = spark.read.format(fmt).schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN, **options).load(path)
+    is_broken, url = F.col(_BROKEN).isNotNull(), F.col(url_col)
+    rows = rows.select(F.when(~is_broken, F.col(id_col)).alias("url_id"), F.coalesce(_BROKEN, url_col).alias("url"), (~is_broken & url.isNotNull() & (url != "")).alias("_good"))
+    return rows.where("_good").drop("_good"), rows.where("NOT _good").drop("_good")
 
 
 #: Stands before each full URL while hosts are looked for around them.
