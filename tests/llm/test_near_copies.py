@@ -1,10 +1,15 @@
+import os
 import random
+from collections import Counter, defaultdict
 
 import pytest
 
+from urlrisk.llm import near_copies as nc
 from urlrisk.llm import simhash
 from urlrisk.llm.near_copies import MAX_WEIGHT, keep_first, near_copies
 
+SF = "/root/testdata/sf0.1"
+
 
 def grams(text):
     words = (text or "").encode().lower().split()
@@ -41,6 +46,48 @@ def texts(seed, groups, size):
     return rows
 
 
+def linked_pairs(sets, tenths=8):
+    """All pairs of ``sets`` with a Jaccard similarity of ``tenths`` / 10 or more: two such sets share one of
+    the rarest members of each, as many as can be missing and one more."""
+    holders = Counter(g for s in sets for g in s)
+    index, out = defaultdict(list), []
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        s = sorted(sets[i], key=lambda g: (holders[g], g))
+        prefix = s[: len(s) - -(-tenths * len(s) // 10) + 1]
+        for j in {j for g in prefix for j in index[g]}:
+            both = len(sets[i] & sets[j])
+            if 10 * both >= tenths * (len(sets[i]) + len(sets[j]) - both):
+                out.append((i, j))
+        for g in prefix:
+            index[g].append(i)
+    return out
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the generated tables")
+def test_recall_on_a_larger_table(spark):
+    """The texts of sf0.1, many with an edited copy of a similarity around the limit: of all linked pairs, by an
+    exact join, nearly all are in one component, and nothing else is."""
+    rng = random.Random(10)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for t in texts[:4000]:
+        words = (t or "").split()
+        if 60 <= len(words) <= 600:
+            share = rng.choice([0.005, 0.015, 0.02, 0.022, 0.025, 0.04])
+            texts.append(" ".join(f"w{rng.randrange(10**9)}" if rng.random() < share else w for w in words))
+    ids = {}
+    for i, t in enumerate(texts):
+        ids.setdefault(frozenset(grams(t)), i)
+    sets, nodes = list(ids), [nc._node(nc.shingles(texts[i])) for i in ids.values()]
+    pairs = linked_pairs(sets)
+    found = {r.node: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(found) == set(nodes) and len(pairs) > 1000
+    assert sum(found[nodes[i]] == found[nodes[j]] for i, j in pairs) >= 0.999 * len(pairs)
+    together = defaultdict(set)
+    for i, j in pairs:
+        together[found[nodes[i]]].update((i, j))
+    assert all(n == 1 or len(together[c]) == n for c, n in Counter(found.values()).items())
+
+
 @pytest.mark.parametrize("limit", [MAX_WEIGHT, 20_000])
 def test_components_equal_brute_force(spark, limit):
     rows = [(i * 3 + 1, t) for i, t in enumerate([*texts(1, 8, 30), "Alone AND short", "alone and SHORT", "", " \n", None, "ÉCOLE é x y", "école é x y"])]
@@ -79,8 +126,6 @@ def test_heavy_buckets_without_a_large_component(spark):
     import numpy as np
     from pyspark.sql import functions as F
 
-    from urlrisk.llm import near_copies as nc
-
     rng = random.Random(9)
     sets = {}
     for group in range(60):  # of 40 shingles 24 are of the template, and up to one of a copy is its own
