@@ -124,6 +124,20 @@ def suffix_sizes(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
     return hits.groupBy("hostname").agg(F.max_by(F.expr("if(kind = 'exception', k - 1, k)"), F.expr("struct(kind = 'exception', k)")).alias("n_suffix"))
 
 
+def with_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
+    """``hosts``, distinct, with ``registered_domain`` and ``subdomain`` (``registered_domains``)."""
+    best = suffix_sizes(hosts.where("NOT is_ip"), suffix_rules)
+    h = settle(hosts.withColumn("labels", F.split("hostname", r"\.")), "labels")
+    j = h.join(best, "hostname", "left").withColumn("keep", F.expr("CASE WHEN n_suffix IS NULL THEN 2 ELSE n_suffix + 1 END"))
+    whole = F.expr("size(labels) <= coalesce(n_suffix, 1)")
+    j = j.select(
+        *hosts.columns,
+        F.when(F.col("is_ip"), F.col("ip_address")).when(whole, F.col("hostname")).otherwise(F.expr("array_join(slice(labels, greatest(size(labels) - keep + 1, 1), keep), '.')")).alias("registered_domain"),
+        F.when(F.col("is_ip") | whole, "").otherwise(F.expr("array_join(slice(labels, 1, greatest(size(labels) - keep, 0)), '.')")).alias("subdomain"),
+    )
+    return settle(j, "registered_domain", "subdomain")
+
+
 def registered_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
     """``hosts(hostname, is_ip, ip_address)``, distinct, to ``hostname, registered_domain, subdomain``.
 
@@ -131,15 +145,7 @@ def registered_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
     a rule: the last two labels; a single label, or a suffix alone, is itself; so is an
     IP address.
     """
-    h = hosts.withColumn("labels", F.split("hostname", r"\."))
-    best = suffix_sizes(hosts.where("NOT is_ip"), suffix_rules)
-    j = settle(h, "labels").join(best, "hostname", "left").withColumn("keep", F.expr("CASE WHEN n_suffix IS NULL THEN 2 ELSE n_suffix + 1 END"))
-    whole = F.expr("size(labels) <= coalesce(n_suffix, 1)")
-    return settle(j.select(
-        "hostname",
-        F.when(F.col("is_ip"), F.col("ip_address")).when(whole, F.col("hostname")).otherwise(F.expr("array_join(slice(labels, greatest(size(labels) - keep + 1, 1), keep), '.')")).alias("registered_domain"),
-        F.when(F.col("is_ip") | whole, "").otherwise(F.expr("array_join(slice(labels, 1, greatest(size(labels) - keep, 0)), '.')")).alias("subdomain"),
-    ))
+    return with_domains(hosts, suffix_rules).select("hostname", "registered_domain", "subdomain")
 
 
 @F.pandas_udf(T.StructType([T.StructField("is_punycode", T.BooleanType()), T.StructField("unicode_domain", T.StringType())]))
@@ -154,19 +160,24 @@ def _idn(hosts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(h) for h in hosts], columns=["is_punycode", "unicode_domain"])
 
 
+def with_idn(hosts: DataFrame) -> DataFrame:
+    """``hosts`` with ``is_punycode`` and ``unicode_domain`` (``decode_idn``)."""
+    odd = F.col("hostname").contains("xn--") | F.col("hostname").rlike(r"[^\x00-\x7F]")
+    rare = hosts.where(odd).withColumn("i", _idn("hostname")).select(*hosts.columns, "i.*")
+    plain = hosts.where(~odd).select("*", F.lit(False).alias("is_punycode"), F.col("hostname").alias("unicode_domain"))
+    return plain.unionByName(rare)
+
+
 def decode_idn(hosts: DataFrame) -> DataFrame:
     """``hosts(hostname, ...)`` to ``hostname, is_punycode, unicode_domain``. A host with
     ``xn--`` is decoded (kept if that fails); one with other than ASCII that encodes to
     ``xn--`` is punycode too. Only such hosts go through Python."""
-    odd = F.col("hostname").contains("xn--") | F.col("hostname").rlike(r"[^\x00-\x7F]")
-    rare = hosts.where(odd).select("hostname", _idn("hostname").alias("i")).select("hostname", "i.*")
-    plain = hosts.where(~odd).select("hostname", F.lit(False).alias("is_punycode"), F.col("hostname").alias("unicode_domain"))
-    return plain.unionByName(rare)
+    return with_idn(hosts.select("hostname"))
 
 
 def host_table(n: DataFrame, suffix_rules: DataFrame) -> DataFrame:
     """Every distinct host of ``n`` with its registered domain, subdomain and IDN columns.
-    The distinct hosts are written first: three branches read them, and each would
-    otherwise normalize all URLs again."""
+    The distinct hosts are written first: several branches read them, and each would
+    otherwise normalize all URLs again. One join, with the suffixes that were found."""
     hosts = written(distinct_hosts(n), "distinct_hosts")
-    return hosts.join(registered_domains(hosts, suffix_rules), "hostname").join(decode_idn(hosts), "hostname")
+    return with_domains(with_idn(hosts), suffix_rules)
