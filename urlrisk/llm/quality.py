@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlrisk.functions.joins import filter_of, let_through
+
 from ._common import map_batches, materialize, unused
 
 #: What each position of a feature vector says of a text.
@@ -64,16 +66,17 @@ def features(text: str | None) -> list[float]:
 
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id long, h long, x array<double>``: the hash of the text, and one value for each
-    of ``FEATURES``. Null ids and repeated rows are kept; other columns are ignored.
+    """``doc_id long, x array<double>`` with one value for each of ``FEATURES``.
+
+    Null ids and repeated rows are kept; other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "h", "x"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows.withColumn("h", F.xxhash64("text")), run, "doc_id long, h long, x array<double>")
+    return map_batches(rows, run, "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -144,41 +147,56 @@ def held_out(column: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def score_texts(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5
-) -> DataFrame:
-    """``doc_id, h, score double`` for every row of ``docs``, ``h`` being the hash of its text;
-    see ``score_quality``."""
-    table = materialize(document_features(docs, id_col, text_col), "features")
+def fit_quality(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5) -> Discriminant | None:
+    """Fit on the labelled rows of ``table(doc_id, x)`` that are not held out."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)")
-    model = fit_discriminant(table.where(~held_out("doc_id", folds)).join(marked, "doc_id").select("x", "y"))
+    return fit_discriminant(table.where(~held_out("doc_id", folds)).join(marked, "doc_id").select("x", "y"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array(batch.column(2).to_pylist(), np.float64).reshape(-1, len(FEATURES))
-        score = model.score(x) if model else np.full(len(x), 0.5)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["doc_id", "h", "score"])
 
-    return map_batches(table, run, "doc_id long, h long, score double")
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, **how) -> DataFrame:
+def score_quality(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5
+) -> DataFrame:
     """``doc_id, held_out boolean, score double, predicted int`` for every row of ``docs``.
 
     Learns from the labelled rows that are not held out (``held_out``); labels of 0 and 1
     count, others and nulls don't; a document that is labelled twice counts twice. If a
     class has under two rows every score is 0.5. Null and empty texts are scored as empty
     texts; a null id is not held out and never labelled. Other columns are ignored.
-    ``how``: the names of columns, as ``score_texts`` has them.
     """
-    scored = score_texts(docs, labels, folds=folds, **how)
+    table = materialize(document_features(docs, id_col, text_col), "features")
+    model = fit_quality(table, labels, id_col, label_col, folds)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, len(FEATURES))
+        score = model.score(x) if model else np.full(len(x), 0.5)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+
+    scored = map_batches(table, run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", folds).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose text's score reaches ``threshold``; rows of a null id stay.
-    Rows of one id are told apart by their texts: only those whose own text is rejected go."""
-    scored = score_texts(docs, labels, id_col, text_col, **how)
-    i, h = unused(docs, "bad_id"), unused(docs, "bad_h")
-    bad = scored.where((F.col("score") < threshold) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
-    same = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
-    return docs.join(materialize(bad, "rejected"), same, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text's score (``score_quality``) reaches ``threshold``; rows of
+    a null id stay. Each row is judged by its own text, so rows of one id are told apart.
+
+    Once the classifier is fitted, rows are scored and kept or dropped where they are read:
+    documents are not shuffled, at the price of taking the statistics of labelled ones twice,
+    which a filter of their ids finds.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    some = let_through(rows, "doc_id", filter_of(labels.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id"))
+    model = fit_quality(materialize(document_features(some), "features"), labels, id_col, **how)
+
+    cast, null = unused(docs, "scored_text"), unused(docs, "has_no_id")
+    names, n = docs.columns, len(docs.columns)
+    is_text = dict(docs.dtypes)[text_col] == "string"
+    rows = docs.select("*", F.col(id_col).cast("long").isNull().alias(null), *([] if is_text else [F.col(text_col).cast("string").alias(cast)]))
+    at = names.index(text_col) if is_text else n + 1
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([features(t) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+        good = (model.score(x) if model else np.full(len(x), 0.5)) >= threshold
+        kept = pa.array(good | batch.column(n).to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(kept)
+
+    return map_batches(rows, run, docs.schema, rows=250)
