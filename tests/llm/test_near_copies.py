@@ -105,6 +105,20 @@ def test_stage_drops_near_copies(spark):
     assert {r.doc_id for r in kept} == first_of_components(rows) and len(kept) == len({r.doc_id for r in kept})
 
 
+def test_fingerprints_find_what_no_band_holds(spark):
+    """The pipeline's stage goes through SimHash: texts of a similarity of 0.8 that share no band, 6 bits apart at most."""
+    import corpus_pipeline
+
+    words = [f"n148848w{k}" for k in range(24)]
+    rows = [(3, " ".join(words)), (8, " ".join(words[:20]))]
+    a, b = (nc.shingles(t) for _, t in rows)
+    assert (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= 6
+    assert not (nc._minhashes(a).reshape(nc.BANDS, nc.ROWS) == nc._minhashes(b).reshape(nc.BANDS, nc.ROWS)).all(axis=1).any()
+    assert first_of_components(rows) == {3}
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert [r.doc_id for r in kept] == [3]
+
+
 def test_null_ids_and_empty(spark):
     base = " ".join(f"word{i}" for i in range(300))
     near = base.replace("word150", "other")

@@ -1,9 +1,14 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with the same set of shingles are one node. Nodes that agree on all of six MinHash
-values in one of 32 bands are candidates (at a similarity of 0.8 all but 1 in 17,000
-pairs, at 0.9 none to speak of are missed), and every link is verified by the exact
-similarity of the whole sets. A bucket is compared where it stands and gives the edges of
+Texts with the same set of shingles are one node, and every link is verified by the exact
+similarity of the whole sets. Candidates are found in two steps. The SimHash of a node is that of
+its set; the pigeonhole blocks of ``simhash.links`` give the classes of fingerprints that differ
+in at most six bits, and the nodes of a class are compared. Sets right at 0.8 differ in about ten
+bits, more than blocks can search, so MinHash finds the rest: nodes that agree on all of
+six values in one of 32 bands are candidates (at a similarity of 0.8 all but 1 in 17,000
+pairs, at 0.9 none to speak of are missed). A band's bucket is compared unless all its nodes are linked by then.
+
+A bucket, be it a class or of a band, is compared where it stands and gives the edges of
 a spanning forest of its links. A bucket of too many shingles is dealt
 into parts, with eight of its nodes in each; nodes that are not in its largest component
 then are dealt to parts of their own, and each of these meets each part of the bucket in a group of
@@ -13,6 +18,7 @@ bounded size, so its links are those of all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._common import connected_components, keep_rows, map_batches, materialize
 
+#: Bits in which the fingerprints of candidates differ at most: 28 pairs of eight blocks, keys of 16 bits.
+DISTANCE = 6
 BANDS, ROWS = 32, 6
 #: Odd factors: each orders all 32-bit hashes anew.
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -50,25 +59,26 @@ def _minhashes(grams: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, h, node, size, keys``: the hash of a text, the set of its shingles by its
-    hash, their number and the key of each band."""
+    """``doc_id, h, node, size, fp, keys``: the hash of a text, the set of its shingles by its
+    hash, their number, its SimHash and the key of each band."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, fps, keys = [], [], [], []
         for text in batch.column(1).to_pylist():
             grams = shingles(text, width)
             nodes.append(_node(grams))
             sizes.append(len(grams))
+            fps.append(simhash.majority(grams))
             if not len(grams):
                 keys.append([])
                 continue
             bands = _minhashes(grams).reshape(BANDS, ROWS)
             keys.append(np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], "<u8").view("<i8"))
-        cols = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "size", "keys"])
+        cols = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "size", "fp", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    return map_batches(rows, run, "doc_id long, h long, node long, size long, keys array<long>")
+    return map_batches(rows, run, "doc_id long, h long, node long, size long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -143,11 +153,18 @@ def _part(part) -> Column:
 _MEMBERS = ("n", "low", "high", "h")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows(key, node, size)`` whose key several have."""
+    many = materialize(rows.groupBy("key").count().where("count > 1").select("key"), "many")
+    return materialize(rows.join(many, "key", "left_semi"), "shared")
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
-    """``key, n, low, high, h`` and the weight ``w`` of the buckets of more than one node of
-    ``rows(key, node, size)``."""
+    """``key, n, low, high, h`` and the weight ``w`` of the buckets of ``rows(key, node, size, root)``
+    whose nodes have more than one root."""
     members = F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")
-    return rows.groupBy("key").agg(*members, _weight().alias("w")).where("n > 1")
+    roots = F.min("root").alias("first"), F.max("root").alias("last")
+    return rows.groupBy("key").agg(*members, *roots, _weight().alias("w")).where("first <> last").drop("first", "last")
 
 
 def _once(rows: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -170,44 +187,70 @@ def pairs_of_parts(apart: DataFrame, split: DataFrame, max_weight: int) -> DataF
     return both.select(F.xxhash64("key", "g", "p", F.lit(2)).alias("key"), "node").distinct()
 
 
-def _components(once: DataFrame, sets_of: Callable[[DataFrame], DataFrame], tenths: int, max_weight: int) -> DataFrame:
-    """``node, root`` of the links among ``once(node, size, keys)``."""
-    rows = once.select(F.explode("keys").alias("key"), "node", "size")
+def _with_roots(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """``rows`` with the ``root`` of each node in the components of ``edges``."""
+    if edges is None:
+        return rows.withColumn("root", F.col("node"))
+    return materialize(rows.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+
+def _more_edges(shared: DataFrame, edges: DataFrame | None, sets: DataFrame, tenths: int, max_weight: int) -> DataFrame:
+    """``edges`` and those of the links in the buckets of ``shared(key, node, size)`` that join components of theirs."""
+    rows = _with_roots(shared, edges)
     buckets = materialize(_buckets(rows), "buckets")
     is_hot = (F.col("w") > max_weight) & (F.col("n") > 2)
     hot = buckets.where(is_hot).select("key", F.ceil(F.col("w") / max_weight).alias("parts"))
     large = not hot.isEmpty()
     small = _once(rows, buckets.where(~is_hot))
     if large:
-        split = materialize(rows.join(hot, "key").select("key", "node", "size", "parts"), "split")
-        parts = split.select(_part(F.expr("pmod(xxhash64(node), parts)")), "node", "size")
-        heads = F.array_distinct(F.array(*(F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(k))) for k in range(HEADS))))
+        split = materialize(rows.join(hot, "key").select("key", "node", "size", "root", "parts"), "split")
+        parts = split.select(_part(F.expr("pmod(xxhash64(node), parts)")), "node", "size", "root")
+        heads = F.array_distinct(F.array(*(F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", F.lit(k))) for k in range(HEADS))))
         heads = split.groupBy("key", "parts").agg(heads.alias("heads")).select("key", "parts", F.explode("heads").alias("e"))
-        heads = heads.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select(_part(F.col("part")), "e.node", "e.size")
+        heads = heads.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select(_part(F.col("part")), "e.node", "e.size", "e.root")
         dealt = materialize(parts.unionByName(heads).distinct(), "dealt")
         small = small.unionByName(_once(dealt, _buckets(dealt)))
-    small = materialize(small, "candidates")
-    sets = sets_of(small.select("node").distinct())
 
     def compared(rows: DataFrame) -> DataFrame:
         dealt = rows.join(sets, "node").select("key", "node", "grams").repartition("key").sortWithinPartitions("key", "node")
-        return materialize(dealt.mapInArrow(_links(tenths), "a long, b long").distinct(), "links")
+        found = materialize(dealt.mapInArrow(_links(tenths), "a long, b long").distinct(), "links")
+        return found if edges is None else edges.unionByName(found)
 
-    edges = compared(small)
-    roots = connected_components(edges)
+    found = compared(small)
     if large:
-        known = materialize(split.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
+        split = split.drop("root")
+        known = _with_roots(split, found)
         main = known.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"))
         apart = materialize(known.join(main, "key").where("root <> main").select("key", "node", "size", "parts"), "apart")
         if not apart.isEmpty():
-            roots = connected_components(edges.unionByName(compared(pairs_of_parts(apart, split, max_weight))))
-    return roots
+            found = found.unionByName(compared(pairs_of_parts(apart, split, max_weight)))
+    return found
+
+
+def _classes(once: DataFrame) -> DataFrame:
+    """``key, node, size`` of ``once(node, size, fp)``: nodes whose fingerprints are linked have one key."""
+    known = once.where("size > 0").select("fp", "node", "size")
+    near = connected_components(simhash.links(materialize(known.select("fp").distinct(), "distinct"), DISTANCE))
+    return known.join(near.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("key"), "node", "size")
+
+
+def _components(
+    once: DataFrame, sets_of: Callable[[DataFrame], DataFrame], tenths: int, max_weight: int, classes: DataFrame | None = None
+) -> DataFrame:
+    """``node, root`` of the links among ``once(node, size, keys)``, and within ``classes(key, node, size)``."""
+    bands = _shared(once.select(F.explode("keys").alias("key"), "node", "size"))
+    steps = [bands] if classes is None else [_shared(classes), bands]
+    sets = sets_of(reduce(DataFrame.unionByName, [s.select("node") for s in steps]).distinct())
+    edges = None
+    for shared in steps:
+        edges = _more_edges(shared, edges, sets, tenths, max_weight)
+    return connected_components(edges)
 
 
 def _grouped(docs: DataFrame, width: int, tenths: int, max_weight: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``(table, named)``: the signatures of all texts, and ``node, root, component_id``."""
     table = materialize(signatures(docs, width, id_col, text_col), "signatures")
-    once = table.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "keys")))
+    once = table.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "keys")))
     once = materialize(once, "nodes")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -220,7 +263,7 @@ def _grouped(docs: DataFrame, width: int, tenths: int, max_weight: int, id_col:
             found = found.unionByName(_sets(texts.where("doc_id IS NULL"), width))
         return materialize(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "sets")
 
-    roots = _components(once, sets_of, tenths, max_weight)
+    roots = _components(once, sets_of, tenths, max_weight, _classes(once))
     joined = once.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = materialize(joined, "roots")
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")

@@ -24,6 +24,8 @@ from ._common import connected_components, keep_rows, map_batches, materialize
 
 #: Distinct fingerprints that one task compares with each other.
 MAX_BUCKET = 2048
+#: Buckets of up to so many fingerprints are looked through together for any link.
+SMALL = 32
 
 
 def _fingerprint(words: list[bytes], width: int) -> int:
@@ -33,7 +35,11 @@ def _fingerprint(words: list[bytes], width: int) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], "<u8")
+    return majority(np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit ``hashes``."""
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         part = np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -115,7 +121,15 @@ def _links(distance: int):
             two = starts[size == 2]
             near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= distance]
             a, b = [fp[near]], [fp[near + 1]]
-            for s, z in zip(starts[size > 2].tolist(), stops[size > 2].tolist(), strict=True):
+            small = (size > 2) & (size <= SMALL)
+            bucket = np.repeat(np.arange(len(size)), np.where(small, size, 0))
+            at = np.arange(len(bucket)) - np.repeat(np.cumsum(size * small) - size * small, size * small) + starts[bucket]
+            linked = size > SMALL
+            for step in range(1, SMALL):
+                inside = at + step < stops[bucket]
+                bucket, at = bucket[inside], at[inside]
+                linked[bucket[np.bitwise_count((fp[at] ^ fp[at + step]).view(np.uint64)) <= distance]] = True
+            for s, z in zip(starts[linked].tolist(), stops[linked].tolist(), strict=True):
                 if edges := _forest(fp[s:z].view(np.uint64), distance):
                     i, j = np.array(edges).T
                     a.append(fp[s + i])
