@@ -1,5 +1,6 @@
 """Decontamination, quality, language, personal data, components."""
 
+import os
 import random
 import re
 import string
@@ -7,10 +8,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from urlrisk.llm import decontaminate, pii
-from urlrisk.llm._common import connected_components
+from urlrisk.llm._common import connected_components, map_batches
 from urlrisk.llm.decontaminate import drop_contaminated, find_contaminated, words_of
 from urlrisk.llm.language import predict_language
 from urlrisk.llm.pii import BASE, find_pii, find_spans, redact, redact_pii, summarize
@@ -301,3 +303,23 @@ def test_components(spark):
         parent[b] = a
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_worker_gives_back_what_a_task_freed():
+    def resident() -> int:
+        return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            return run
+
+    pins = []
+
+    def fn(batch):
+        held = [np.ones(50_000, "u1") for _ in range(4000)]
+        pins.append(np.ones(50_000, "u1"))  # above what is freed
+        return batch.slice(0, len(held) and 1)
+
+    before = resident()
+    assert len(list(map_batches(Table(), fn, "x long")(iter([pa.RecordBatch.from_pydict({"x": [1, 2]})])))) == 1
+    assert resident() < before + 60

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._common import connected_components, keep_rows, map_batches, materialize
+from ._common import connected_components, giving_back, keep_rows, map_batches, materialize
 
 #: Bits in which the fingerprints of candidates differ at most: 28 pairs of eight blocks, keys of 16 bits.
 DISTANCE = 6
@@ -213,7 +213,7 @@ def _more_edges(shared: DataFrame, edges: DataFrame | None, sets: DataFrame, ten
 
     def compared(rows: DataFrame) -> DataFrame:
         dealt = rows.join(sets, "node").select("key", "node", "grams").repartition("key").sortWithinPartitions("key", "node")
-        found = materialize(dealt.mapInArrow(_links(tenths), "a long, b long").distinct(), "links")
+        found = materialize(dealt.mapInArrow(giving_back(_links(tenths)), "a long, b long").distinct(), "links")
         return found if edges is None else edges.unionByName(found)
 
     found = compared(small)

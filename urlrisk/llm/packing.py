@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import map_batches, materialize
-from .tokens import ENCODE_ROWS, encoder
+from .tokens import ENCODE_BYTES, ENCODE_ROWS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long"
-PLAN = "length long, first_rank long, last_rank long, first_sequence long, per_sequence long, base long"
+PLAN = ["length", "first_rank", "last_rank", "first_sequence", "per_sequence", "base"]
 
 
 def encode_pieces(
@@ -57,7 +57,7 @@ def encode_pieces(
         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, run, PIECES + (", ids_crc32 long" if digest else ", ids binary"), ENCODE_ROWS)
+    return map_batches(rows, run, PIECES + (", ids_crc32 long" if digest else ", ids binary"), ENCODE_ROWS, ENCODE_BYTES)
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -110,6 +110,12 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return plan
 
 
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    """Whole numbers, which Spark takes as they are: plain rows would go through Python workers of their own."""
+    cols = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=names)
+
+
 def assign_slots(pieces: DataFrame, capacity: int = 2048, row_col: str | None = None) -> DataFrame:
     """``pieces`` (with a ``length``) plus ``sequence_id`` and ``offset``.
 
@@ -128,7 +134,7 @@ def assign_slots(pieces: DataFrame, capacity: int = 2048, row_col: str | None =
     keys = [row_col] if row_col else [c for c in kept if dict(pieces.dtypes)[c] != "binary"]
     counted = pieces.groupBy("length").count().collect()  # at most one row for each length up to capacity
     histogram = {r["length"]: r["count"] for r in counted}
-    buckets = spark.createDataFrame([(k, isqrt(n) + 1) for k, n in histogram.items()], "length long, _buckets long")
+    buckets = spark.createDataFrame(_table([(k, isqrt(n) + 1) for k, n in histogram.items()], ["length", "_buckets"]))
     dealt = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.expr(f"pmod(xxhash64({', '.join(keys)}), _buckets)"))
     before = (
         dealt.groupBy("length", "_bucket")
@@ -138,7 +144,7 @@ def assign_slots(pieces: DataFrame, capacity: int = 2048, row_col: str | None =
     )
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*keys)).cast("long") - 1)
     ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    plan = spark.createDataFrame(plan_best_fit(histogram, capacity), PLAN).withColumnRenamed("length", "_length")
+    plan = spark.createDataFrame(_table(plan_best_fit(histogram, capacity), PLAN)).withColumnRenamed("length", "_length")
     placed = ranked.join(F.broadcast(plan), F.expr("length = _length AND _rank BETWEEN first_rank AND last_rank"))
     nth = F.col("_rank") - F.col("first_rank")
     return placed.select(

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, keep_rows, map_batches, materialize
+from ._common import connected_components, giving_back, keep_rows, map_batches, materialize
 
 #: Distinct fingerprints that one task compares with each other.
 MAX_BUCKET = 2048
@@ -167,7 +167,7 @@ def links(fps: DataFrame, distance: int = 3, max_bucket: int = MAX_BUCKET) -> Da
                 hot = None
         cold = rows if hot is None else rows.join(hot, ["mask", "key"], "left_anti")
         dealt = cold.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-        found.append(dealt.mapInArrow(_links(distance), "a long, b long"))
+        found.append(dealt.mapInArrow(giving_back(_links(distance)), "a long, b long"))
         if hot is None:
             break
         finer = {_signed(m): [_signed(x) for x in finer_masks(m, distance)] for m in masks}

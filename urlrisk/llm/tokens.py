@@ -17,6 +17,8 @@ _WORD = r"^(?P<letters>\p{L}+)(?P<marks>[.,;:!?()*#$%&|-]*)$"
 _UNUSUAL = "[^\x00-įı-ɏ]"
 #: Rows of an Arrow batch that are encoded at a time.
 ENCODE_ROWS = 4000
+#: About how many bytes of a batch ``packing`` encodes at a time: words, lists and ids take some thirty times that.
+ENCODE_BYTES = 4 << 20
 #: Words of letters that go to the library as one text.
 JOINED = 50_000
 
